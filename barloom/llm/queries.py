@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, packing, simhash
+from . import decontam, exact, packing, simhash, tokens, warc
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -30,13 +30,62 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"), digests="all").withColumnRenamed("id", "doc_id")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contaminated documents, with the items that each holds."""
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each line of each document."""
+    out = tokens.section_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    return out.select(F.col("id").alias("doc_id"), "section", "start", "length", F.col("n_tokens").cast("long").alias("n_tokens"), "n_crossing")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op4_decontamination": op4_decontamination,
     "op6_simhash": op6_simhash,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_warc": op9_warc,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLES: dict[str, str] = {
+    "op4_decontamination": r"""
+        WITH it AS (
+            SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w
+            FROM benchmark),
+        dt AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w
+            FROM documents),
+        i AS (SELECT item_id, w, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM it WHERE len(w) >= 13),
+        d AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM dt WHERE len(w) >= 13),
+        -- Alignments with at least eleven equal tokens, whatever their places.
+        m AS (
+            SELECT d.doc_id, i.item_id, d.p - i.p AS shift, i.p AS q
+            FROM d JOIN i ON d.t = i.t),
+        g AS (SELECT doc_id, item_id, shift FROM m GROUP BY ALL HAVING count(DISTINCT q) >= 11),
+        e AS (
+            SELECT g.*, count(*) OVER (PARTITION BY g.doc_id, g.item_id, g.shift ORDER BY m.q RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS n, m.q,
+                   greatest(0, -g.shift) AS a, least(len(it.w), len(dt.w) - g.shift) AS z
+            FROM g JOIN m USING (doc_id, item_id, shift) JOIN it USING (item_id) JOIN dt USING (doc_id)),
+        f AS (
+            SELECT doc_id, item_id, shift, count(*) AS matched, max(z - a) AS longest,
+                   max(n) >= 11 AND max(z - a) >= 13 AS near
+            FROM e GROUP BY ALL)
+        SELECT doc_id, item_id, max(matched)::INTEGER AS matched, max(longest)::INTEGER AS longest FROM f WHERE near GROUP BY ALL""",
+    "op9_warc": r"""
+        WITH p AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+        t AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) ELSE page_id END AS top FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> top THEN top END AS refers_to
+        FROM t""",
     "op8_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, length(coalesce(text, '')) AS points,
