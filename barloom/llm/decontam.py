@@ -37,7 +37,8 @@ def seed_keys(h: Column, pos: Column) -> Column:
 
 def _positions(rows: DataFrame, h: str, *keep: str) -> DataFrame:
     """A row per mask and position: ``keep``, pos, mask, key."""
-    at = rows.select(*keep, F.posexplode(h).alias("pos", "_w")).drop("_w")
+    # The outer form: the plain one infers a filter on the array's size, which would compute the array twice.
+    at = rows.select(*keep, F.posexplode_outer(h).alias("pos", "_w")).drop("_w").where("pos is not null")
     return at.select(*keep, "pos", F.posexplode(seed_keys(F.col(h), F.col("pos"))).alias("mask", "key")).where("key is not null")
 
 
@@ -51,30 +52,35 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     are values like others; an empty table on either side gives an empty result; other columns are ignored.
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), token_hashes(text_or_empty(item_text)).alias("it")).where(F.size("it") >= window)
-    rows = docs.select(F.col(id_col).alias("id"), token_hashes(text_or_empty(text_col)).alias("h")).where(F.size("h") >= window)
+    rows = docs.select(F.col(id_col).alias("id"), token_hashes(text_or_empty(text_col)).alias("h"))
     items = items.withColumn("item", F.xxhash64("item_id", "it"))  # names an item by what it holds
-    seeds = _positions(items, "it", "it", "item").select("item", F.col("pos").alias("at"), "mask", "key")
+    seeds = _positions(items, "it", "it", "item").select("item", F.col("pos").alias("at"), "key")  # the hash tells the mask
     small = seeds.count() <= BROADCAST_SEEDS
     texts = items.select("item", "item_id", "it").distinct()
     if small:
         seeds, texts = F.broadcast(seeds.distinct()), F.broadcast(texts)
-        hits = _positions(rows, "h", "id", "h").join(seeds, ["mask", "key"]).join(texts, "item")
+        hits = _positions(rows, "h", "id", "h").join(seeds, "key").join(texts, "item")
         # Of a run of hits on one alignment the first tells all: drop a hit whose mask also fits one token earlier.
         pos, at = F.col("pos"), F.col("at")
         same = [reduce(and_, (F.get("h", pos + (o - 1)).eqNullSafe(F.get("it", at + (o - 1))) for o in m)) for m in MASKS]
         earlier = F.element_at(F.array(*same), F.col("mask") + 1) & (pos > 0) & (at > 0)
         hits = hits.where(~earlier).select("id", "h", "item_id", "it", (pos - at).alias("shift"))
     else:
-        pairs = _positions(rows.withColumn("doc", F.xxhash64("id", "h")), "h", "doc", "h").select("doc", "pos", "mask", "key").join(seeds, ["mask", "key"])
+        pairs = _positions(rows.withColumn("doc", F.xxhash64("id", "h")), "h", "doc", "h").select("doc", "pos", "key").join(seeds, "key")
         pairs = pairs.select("doc", "item", (F.col("pos") - F.col("at")).alias("shift")).distinct()
         hits = pairs.join(rows.withColumn("doc", F.xxhash64("id", "h")), "doc").join(texts, "item").select("id", "h", "item_id", "it", "shift")
     # Tokens that face each other on the alignment, and whether they are equal.
     a = F.greatest(F.lit(0), -F.col("shift"))
     n = F.least(F.size("it"), F.size("h") - F.col("shift")) - a
-    hits = hits.select("id", "item_id", F.zip_with(F.slice("it", a + 1, n), F.slice("h", a + F.col("shift") + 1, n), lambda x, y: (x == y).cast("int")).alias("eq"))
-    sums = F.aggregate("eq", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-    hits = hits.where(F.size("eq") >= window).withColumn("run", sums)
-    ends = F.sequence(F.lit(window), F.size("eq"))
-    near = F.exists(ends, lambda e: F.get("run", e) - F.get("run", e - window) >= window - differ)
-    hits = hits.where(near).select("id", "item_id", F.element_at("run", -1).alias("matched"), F.size("eq").alias("longest"))
-    return hits.groupBy("id", "item_id").agg(F.max("matched").alias("matched"), F.max("longest").alias("longest"))
+    facing = F.zip_with(F.slice("it", a + 1, n), F.slice("h", a + F.col("shift") + 1, n), lambda x, y: (x == y).cast("int"))
+
+    def verdict(run: Column) -> Column:
+        """From the running number of equal tokens, 0 first."""
+        ends = F.sequence(F.least(F.lit(window), F.size(run) - 1), F.size(run) - 1)
+        near = (F.size(run) > window) & F.exists(ends, lambda e: F.get(run, e) - F.get(run, F.greatest(e - window, F.lit(0))) >= window - differ)
+        return F.struct(near.alias("near"), F.element_at(run, -1).alias("matched"), (F.size(run) - 1).alias("longest"))
+
+    # An array of one binds a value once; by name the optimizer would put its whole expression at each use.
+    sums = F.aggregate(facing, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    hits = hits.where(n >= window).select("id", "item_id", F.explode(F.transform(F.array(sums), verdict)).alias("v"))
+    return hits.where("v.near").groupBy("id", "item_id").agg(F.max("v.matched").alias("matched"), F.max("v.longest").alias("longest"))
