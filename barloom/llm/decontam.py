@@ -10,9 +10,6 @@ tries all placements). Seeds of the benchmark are joined with seeds of the docum
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,9 +58,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         seeds, texts = F.broadcast(seeds.distinct()), F.broadcast(texts)
         hits = _positions(rows, "h", "id", "h").join(seeds, "key").join(texts, "item")
         # Of a run of hits on one alignment the first tells all: drop a hit whose mask also fits one token earlier.
-        pos, at = F.col("pos"), F.col("at")
-        same = [reduce(and_, (F.get("h", pos + (o - 1)).eqNullSafe(F.get("it", at + (o - 1))) for o in m)) for m in MASKS]
-        earlier = F.element_at(F.array(*same), F.col("mask") + 1) & (pos > 0) & (at > 0)
+        # (A higher-order function, as it keeps the generated code of the join small enough to be compiled.)
+        pos, at, masks = F.col("pos"), F.col("at"), F.array(*(F.array(*map(F.lit, m)) for m in MASKS))
+        same = F.forall(F.element_at(masks, F.col("mask") + 1), lambda o: F.get("h", pos + o - 1).eqNullSafe(F.get("it", at + o - 1)))
+        earlier = (pos > 0) & (at > 0) & same
         hits = hits.where(~earlier).select("id", "h", "item_id", "it", (pos - at).alias("shift"))
     else:
         pairs = _positions(rows.withColumn("doc", F.xxhash64("id", "h")), "h", "doc", "h").select("doc", "pos", "key").join(seeds, "key")
