@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact, packing, pu_quality, simhash, tokens, warc
+from . import decontam, exact, langid, packing, pu_quality, simhash, tokens, warc
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -34,6 +34,18 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"), digests="all").withColumnRenamed("id", "doc_id")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each document, from its text and its source."""
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(langid.document_evidence(docs), langid.fit(docs)).withColumnRenamed("id", "doc_id")
+
+
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each page, from its text, markup, address suffix and host; fitted on the documents."""
+    model = langid.fit(table(spark, sf_dir, "documents"))
+    return langid.identify(langid.page_evidence(table(spark, sf_dir, "pages")), model).withColumnRenamed("id", "page_id")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contaminated documents, with the items that each holds."""
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
@@ -51,6 +63,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op3_language_id": op3_language_id,
+    "language_id_pages": language_id_pages,
     "op4_decontamination": op4_decontamination,
     "op6_simhash": op6_simhash,
     "op7_quality": op7_quality,
