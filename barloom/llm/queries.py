@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact, langid, packing, pu_quality, simhash, tokens, warc
+from . import decontam, exact, html_blocks, langid, packing, pu_quality, simhash, tokens, warc
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -34,6 +34,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"), digests="all").withColumnRenamed("id", "doc_id")
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id").drop("n_blocks")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of each document, from its text and its source."""
     docs = table(spark, sf_dir, "documents")
@@ -63,6 +67,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_html_extraction": op2_html_extraction,
     "op3_language_id": op3_language_id,
     "language_id_pages": language_id_pages,
     "op4_decontamination": op4_decontamination,
