@@ -66,6 +66,16 @@ def batches(frames: Iterator[pd.DataFrame], column: str, most_chars: int = 4_000
             yield frame.iloc[a:b]
 
 
+def hash_sample(ids: DataFrame, rows: int) -> DataFrame:
+    """The ``rows`` distinct values of ``ids(id)`` with the smallest hashes, or all where there are fewer. A bound on
+    the hash, from a count, is applied first, so that what tasks pass on does not grow with their number."""
+    ids = ids.select("id").distinct()
+    n = ids.count()
+    share = 1 << 20
+    most = share if n <= 4 * rows else -(-share * 3 * rows // n)
+    return ids.where(F.pmod(F.xxhash64("id"), F.lit(share)) < most).orderBy(F.pmod(F.xxhash64("id"), F.lit(share)), "id").limit(rows)
+
+
 def connected(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """The smallest reachable id of every node: ``nodes(id)``, ``edges(a, b)`` to ``(id, component)``.
 

@@ -11,13 +11,14 @@ taken out first, so no text counts twice.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, stored
+from .common import batches, hash_sample, stored
 
 BUCKETS = 1 << 16
 #: Log likelihood of a trigram under no known language.
@@ -37,11 +38,11 @@ def trigrams(text: str | None) -> np.ndarray:
 def fit(docs: DataFrame, per_language: int = 1500, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id") -> dict:
     """Log likelihoods of the trigrams of each language, from at most ``per_language`` labelled rows of each, those
     with the smallest hashes of their ids. Counting is grouped; what comes back is a table of languages and buckets."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = docs.select(F.col(id_col).alias("id"), F.col(label_col).alias("lang")).where("id is not null and lang is not null")
-    few = ids.withColumn("k", F.row_number().over(w)).where(F.col("k") <= per_language).select("id").distinct()
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("lang")).where("id is not null and lang is not null")
+    names = sorted(r["lang"] for r in rows.select("lang").distinct().collect())  # the declared languages: a short list
+    if not names:
+        return {"languages": [], "log": np.zeros((0, BUCKETS), np.float32)}
+    few = reduce(DataFrame.unionByName, (hash_sample(rows.where(F.col("lang") == n), per_language) for n in names))
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
@@ -49,16 +50,14 @@ def fit(docs: DataFrame, per_language: int = 1500, text_col: str = "text", label
             for lang, t in zip(f["lang"], f["text"]):
                 sums[lang] = sums.get(lang, 0) + np.bincount(trigrams(t), minlength=BUCKETS)
         for lang, c in sums.items():
-            yield pd.DataFrame({"lang": lang, "counts": [c.astype("<i8").tobytes()]})
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("lang")).where("lang is not null")
-    few_rows = rows.join(F.broadcast(few), "id").repartition(8, "id")
-    total: dict[str, np.ndarray] = {}
-    for r in few_rows.mapInPandas(count, "lang string, counts binary").collect():  # eight partitions, a row per language in each
-        total[r["lang"]] = total.get(r["lang"], 0) + np.frombuffer(r["counts"], "<i8")
-    names = sorted(total)
-    c = np.array([total[n] for n in names], np.float64).reshape(len(names), BUCKETS)
-    return {"languages": names, "log": np.log((c + 0.02) / (c.sum(1, keepdims=True) + 0.02 * BUCKETS)).astype(np.float32) if names else np.zeros((0, BUCKETS), np.float32)}
+            at = np.flatnonzero(c)
+            yield pd.DataFrame({"lang": lang, "bucket": at, "n": c[at]})
+
+    found = rows.join(F.broadcast(few.distinct()), "id").repartition(8, "id").mapInPandas(count, "lang string, bucket long, n long")
+    got = found.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most 65,536 per language
+    c = np.zeros((len(names), BUCKETS))
+    c[np.searchsorted(names, got["lang"].to_numpy(str)), got["bucket"].to_numpy()] = got["n"].to_numpy()
+    return {"languages": names, "log": np.log((c + 0.02) / (c.sum(1, keepdims=True) + 0.02 * BUCKETS)).astype(np.float32)}
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:

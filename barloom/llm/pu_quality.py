@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches
+from .common import batches, hash_sample
 
 _CLASSES = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n", ".,;:", "!?", "*", "#", "%", "&", "$", "|", "'\"()[]{}<>/-_=+@\\^`~", "\t\r\x0b\x0c")
 _CLASS = np.full(256, 15, np.uint8)
@@ -105,7 +105,7 @@ def class_prior(sp: np.ndarray, su: np.ndarray) -> float:
 
 def _sample(docs: DataFrame, ids: DataFrame, rows: int, id_col: str, text_col: str) -> np.ndarray:
     """Features of the rows with the smallest hashes of ``ids``, at most ``rows`` of them."""
-    few = ids.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(rows)
+    few = hash_sample(ids, rows)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in batches(frames, "text"):
