@@ -56,7 +56,7 @@ def portfolio_roll_forward(steps: DataFrame, *portfolio: str, initial_cash: floa
 
     A portfolio's rebalances are folded in order, one portfolio in one row; its array is bounded by
     rebalances times symbols."""
-    day = steps.groupBy(*portfolio, "execution_date").agg(F.array_sort(F.collect_list(F.struct("symbol", F.col("open").cast("double"), F.col("weight").cast("double")))).alias("legs"), F.max("multiplier").cast("double").alias("m"))
+    day = steps.groupBy(*portfolio, "execution_date").agg(F.array_sort(F.collect_list(F.struct("symbol", F.col("open").cast("double").alias("open"), F.col("weight").cast("double").alias("weight")))).alias("legs"), F.max("multiplier").cast("double").alias("m"))
     runs = day.groupBy(*portfolio).agg(F.array_sort(F.collect_list(F.struct("execution_date", "legs", "m"))).alias("days"))
     leg = "struct<symbol:string,notional:double,cost:double,qty:double>"
     done = f"array<struct<execution_date:date,cash:double,turnover:double,legs:array<{leg}>>>"
