@@ -211,14 +211,6 @@ class Forest:
         return True
 
 
-def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
-    """Jaccard similarity of two sorted sets of hashes, by exact counts."""
-    if min(len(a), len(b)) < least * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both >= least * (len(a) + len(b) - both)
-
-
 def within(ip: np.ndarray, iv: np.ndarray, qp: np.ndarray, qv: np.ndarray, qt: np.ndarray, bits: int, key_bits: int, shard: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions (query, indexed) of all fingerprints within the radius whose part value in this shard the
     query's threshold reaches. ip, qp: fingerprints; iv, qv: the values of the part."""
@@ -250,13 +242,14 @@ def within(ip: np.ndarray, iv: np.ndarray, qp: np.ndarray, qv: np.ndarray, qt: n
                         yield who[near], idx[near]
 
 
-def near_links(points: DataFrame, radius: int = 3, min_jaccard: float = 0.0, shard: int = SHARD) -> DataFrame:
-    """Links ``(a, b)``, a < b, between the ids of ``points(id, fp[, sh])`` whose fingerprints differ in at
-    most ``radius`` bits and, where ``min_jaccard`` is set, whose sorted distinct hashes ``sh`` have that
-    Jaccard similarity: a spanning forest of each shard's links, repeated links removed. Its components
-    are those of all links. ``points`` must be stored (it is read several times) with distinct ids."""
+def near_links(points: DataFrame, radius: int = 3, radius2: int | None = None, shard: int = SHARD) -> DataFrame:
+    """Links ``(a, b)``, a < b, between the ids of ``points(id, fp[, fp2])`` whose fingerprints differ in at most
+    ``radius`` bits, and their second ones, which are only verified, in at most ``radius2``: a spanning forest of each shard's links, repeated links removed. Its components are those
+    of all links, and an id is in it if it has any link. ``points`` must be stored (it is read several
+    times) with distinct ids."""
     n, ones, both = bit_counts(points)
     schema = "a long, b long"
+    points = points.select("id", "fp", (F.col("fp2") if radius2 is not None else F.lit(0).cast("long")).alias("fp2"))
     if n == 0:
         return points.sparkSession.createDataFrame([], schema)
     order = grouped_bits(n, ones, both)
@@ -264,7 +257,6 @@ def near_links(points: DataFrame, radius: int = 3, min_jaccard: float = 0.0, sha
     shares = distance_shares(byte_counts(points, order))
     # A shard holds about n / 2^key_bits fingerprints; one that holds more (a hot group of near copies) is cut into blocks.
     key_bits = max(0, min(8 * min(w for _, w in parts) - 2, int(np.ceil(np.log2(max(n / shard, 1))))))
-    exact = min_jaccard > 0
 
     def part_values(fp: np.ndarray, i: int) -> np.ndarray:
         first, width = parts[i]
@@ -275,7 +267,7 @@ def near_links(points: DataFrame, radius: int = 3, min_jaccard: float = 0.0, sha
         for f in frames:
             p = permuted(f["fp"].to_numpy(np.int64), order)
             for i in range(len(parts)):
-                yield pd.DataFrame({"part": np.int32(i), "shard": (part_values(p, i) & np.uint64((1 << key_bits) - 1)).astype(np.int64), "id": f["id"], "fp": f["fp"]})
+                yield pd.DataFrame({"part": np.int32(i), "shard": (part_values(p, i) & np.uint64((1 << key_bits) - 1)).astype(np.int64), "id": f["id"], "fp": f["fp"], "fp2": f["fp2"]})
 
     def asked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Which shards each fingerprint visits, and with what threshold."""
@@ -289,23 +281,21 @@ def near_links(points: DataFrame, radius: int = 3, min_jaccard: float = 0.0, sha
                     go = np.flatnonzero(t[:, i] >= d)
                     if len(go):
                         for m in ms:
-                            yield pd.DataFrame({"part": np.int32(i), "shard": own[go] ^ int(m), "id": f["id"].to_numpy()[go], "fp": f["fp"].to_numpy()[go], "t": t[go, i].astype(np.int32)})
+                            yield pd.DataFrame({"part": np.int32(i), "shard": own[go] ^ int(m), "id": f["id"].to_numpy()[go], "fp": f["fp"].to_numpy()[go], "fp2": f["fp2"].to_numpy()[go], "t": t[go, i].astype(np.int32)})
 
-    keys = points.select("id", "fp").mapInPandas(held, "part int, shard long, id long, fp long")
+    keys = points.mapInPandas(held, "part int, shard long, id long, fp long, fp2 long")
     sizes = keys.groupBy("part", "shard").agg(F.ceil(F.count("*") / F.lit(2 * shard)).cast("int").alias("blocks"))
     sizes = stored(sizes, "shards")  # a row per shard
     index = keys.join(sizes, ["part", "shard"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int")).drop("blocks")
     index = index.withColumn("role", F.lit(0)).withColumn("t", F.lit(0))
-    queries = points.select("id", "fp").mapInPandas(asked, "part int, shard long, id long, fp long, t int")
+    queries = points.mapInPandas(asked, "part int, shard long, id long, fp long, fp2 long, t int")
     queries = queries.join(sizes, ["part", "shard"])
     queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # Queries of a cut shard go to every block of the index, in blocks of their own.
     queries = queries.withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int")).drop("blocks").withColumn("role", F.lit(1))
     index = index.join(sizes, ["part", "shard"]).withColumn("side", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    cols = ["part", "shard", "block", "side", "role", "id", "fp", "t"]
+    cols = ["part", "shard", "block", "side", "role", "id", "fp", "fp2", "t"]
     rows = index.select(cols).unionByName(queries.select(cols))
-    if exact:
-        rows = rows.join(points.select("id", "sh"), "id")
 
     def search(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         i, own = int(key[0]), int(key[1])
@@ -315,21 +305,69 @@ def near_links(points: DataFrame, radius: int = 3, min_jaccard: float = 0.0, sha
             return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
         ids = np.unique(np.concatenate([ix["id"].to_numpy(), q["id"].to_numpy()]))
         ia, qa = np.searchsorted(ids, ix["id"].to_numpy()), np.searchsorted(ids, q["id"].to_numpy())
-        sets = dict(zip(f["id"], f["sh"])) if exact else {}
         ip, qp = permuted(ix["fp"].to_numpy(np.int64), order), permuted(q["fp"].to_numpy(np.int64), order)
+        i2, q2 = (x["fp2"].to_numpy(np.int64).view(np.uint64) for x in (ix, q))
         forest, out = Forest(len(ids)), []
         for who, idx in within(ip, part_values(ip, i), qp, part_values(qp, i), q["t"].to_numpy(), 8 * parts[i][1], key_bits, own, radius):
+            if radius2 is not None:
+                near = np.bitwise_count(q2[who] ^ i2[idx]) <= radius2
+                who, idx = who[near], idx[near]
             for x, y in zip(qa[who].tolist(), ia[idx].tolist()):
-                if x != y and forest.root(x) != forest.root(y):
-                    a, b = int(ids[min(x, y)]), int(ids[max(x, y)])
-                    if not exact or similar(sets[a], sets[b], min_jaccard):
-                        forest.join(x, y)
-                        out.append((a, b))
+                if x != y and forest.join(x, y):
+                    out.append((int(ids[min(x, y)]), int(ids[max(x, y)])))
         return pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["a", "b"])
 
     return rows.groupBy("part", "shard", "block", "side").applyInPandas(search, schema).distinct()
 
 
+# --- Verification by shingles -----------------------------------------------------------------------
+
+
+def similar_links(ids: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], radius: int, least: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links among a few documents: fingerprints within the radius, and a Jaccard
+    similarity of the sets of at least ``least``, from exact counts."""
+    size = np.array([len(x) for x in sets])
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    first, mark = np.cumsum(size) - size, np.zeros(len(flat) + 1, np.int64)
+    forest, out = Forest(len(ids)), []
+    for a in range(len(ids) - 1):
+        b = a + 1 + np.flatnonzero(np.bitwise_count(fp[a + 1 :] ^ fp[a]) <= radius)
+        b = b[(np.minimum(size[b], size[a]) >= least * np.maximum(size[b], size[a])) & (size[b] > 0)]
+        if not len(b) or not size[a]:
+            continue
+        own = flat[first[a] : first[a] + size[a]]
+        mark[own] = 1
+        n = size[b]
+        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[b], n)
+        both = np.add.reduceat(mark[flat[at]], np.cumsum(n) - n)
+        mark[own] = 0
+        for k in b[both >= least * (size[a] + n - both)].tolist():
+            if forest.join(a, k):
+                out.append((int(min(ids[a], ids[k])), int(max(ids[a], ids[k]))))
+    return out
+
+
+def verified_links(points: DataFrame, radius: int, least: float, block: int = 1500) -> DataFrame:
+    """Links ``(a, b)`` within candidate groups: ``points(id, component, fp, sh)`` to a spanning forest per task. Small groups
+    are dealt together; a group of more than ``block`` is cut into blocks, and each two of its blocks meet in
+    a task of their own, so no task holds more than two blocks, and no link within the group is missed."""
+    n = points.count()
+    sizes = stored(points.groupBy("component").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks")), "groups")
+    rows = points.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    rows = rows.withColumn("g", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(max(1, -(-n // block))))).otherwise(F.col("component")))
+    rows = rows.withColumn("cut", F.col("blocks") > 1)
+
+    def verify(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, int]] = []
+        for _, own in f.sort_values(["component", "id"]).groupby("component", sort=False):
+            out += similar_links(own["id"].to_numpy(), own["fp"].to_numpy(np.int64).view(np.uint64), list(own["sh"]), radius, least)
+        return pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["a", "b"])
+
+    return rows.select("cut", "g", "i", "j", "component", "id", "fp", "sh").groupBy("cut", "g", "i", "j").applyInPandas(verify, "a long, b long").distinct()
+
+
 # --- Operators --------------------------------------------------------------------------------------
 
 
@@ -347,24 +385,34 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, "fp").select("id", "fp", "component")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, min_jaccard: float = 0.8, radius: int = 10) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, min_jaccard: float = 0.8, radius: int = 10, radius2: int = 18) -> DataFrame:
     """``(id, component)`` per row for linked documents: fingerprints within ``radius`` bits, and a Jaccard
     similarity of the distinct ``shingle``-word shingles of at least ``min_jaccard``.
 
-    The fingerprint is that of the distinct words: over five-word shingles, texts of similarity 0.8 differ
-    in ten to fourteen bits, over distinct words in four on the average and ten at most, so the same recall
-    needs far fewer probes. What is decided is decided on the shingles. Texts without words are never near
-    copies of anything. Rows with a null id are left out; ids should be distinct (of repeated rows of one id, any text counts)."""
+    The fingerprint that is probed is that of the distinct words: over five-word shingles, texts of similarity 0.8
+    differ in ten to fourteen bits, over distinct words in four on the average and ten at most, so the same
+    recall needs far fewer probes. Candidates are then verified on the fingerprint of the distinct shingles
+    (``radius2``; at similarity 0.8 its expected distance is 9.7 bits with deviation 2.9), and what is left is
+    decided on the shingles themselves. Texts without words are never near copies of anything. Rows with a
+    null id are left out; ids should be distinct (of repeated rows of one id, any text counts)."""
     docs = docs.where(F.col(id_col).isNotNull())
-    fps = stored(fingerprints(docs, id_col, text_col, 1, distinct=True).where("fp <> 0").dropDuplicates(["id"]), "fingerprints")
-    near = near_links(fps, radius)
-    # Only documents with a candidate need their shingles.
-    some = stored(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidates")
-    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(some, "id", "left_semi")
+
+    def prints(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in batches(frames, "text"):
+            two = [[signed(fingerprint(np.unique(shingle_hashes(t, k)))) for t in f["text"]] for k in (1, shingle)]
+            yield pd.DataFrame({"id": f["id"], "fp": np.array(two[0], np.int64), "fp2": np.array(two[1], np.int64)})
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    fps = stored(rows.mapInPandas(prints, "id long, fp long, fp2 long").where("fp <> 0").dropDuplicates(["id"]), "fingerprints")
+    # Candidate groups: documents without any candidate are out, the others meet only within their group.
+    groups = stored(connected(fps.select("id"), near_links(fps, radius, radius2)), "candidates")
+    some = groups.groupBy("component").agg(F.count("*").alias("k")).where("k > 1").select("component")
+    groups = stored(groups.join(some, "component", "left_semi").join(fps, "id"), "candidate-groups")
+    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(groups.select("id"), "id", "left_semi")
 
     def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in batches(frames, "text"):
             yield pd.DataFrame({"id": f["id"], "sh": [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in f["text"]]})
 
-    points = stored(text.mapInPandas(sets, "id long, sh array<long>").dropDuplicates(["id"]).join(fps, "id"), "points")
-    return connected(points.select("id"), near_links(points, radius, min_jaccard, shard=SHARD // 16))
+    points = stored(text.mapInPandas(sets, "id long, sh array<long>").dropDuplicates(["id"]).join(groups, "id"), "points")
+    return connected(points.select("id"), verified_links(points, radius, min_jaccard))
