@@ -30,7 +30,7 @@ from .common import batches, stored
 
 ANCHOR = 8
 #: Contexts of a shard, and contexts of one anchor from which it is dealt by windows.
-SHARD = 8000
+SHARD = 1500
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[32, 9, 10, 11, 12, 13]] = True

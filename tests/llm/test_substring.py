@@ -27,7 +27,7 @@ def run(spark, rows):
     return {r["id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.remove_repeats(d).collect()}
 
 
-@pytest.mark.parametrize("shard", [8000, 10])
+@pytest.mark.parametrize("shard", [1500, 10])
 def test_equals_brute_force(spark, monkeypatch, shard):
     monkeypatch.setattr(substring, "SHARD", shard)
     rng = random.Random(shard)
