@@ -18,7 +18,7 @@ def reasons(rules: list[tuple[str, Column]]) -> Column:
     return F.array_compact(F.array(*(F.when(broken, F.lit(name)) for name, broken in rules)))
 
 
-def ohlc_rules() -> list[tuple[str, Column]]:
+def ohlc_row_rules() -> list[tuple[str, Column]]:
     return [
         ("missing", F.col("open").isNull() | F.col("high").isNull() | F.col("low").isNull() | F.col("close").isNull() | F.col("volume").isNull()),
         ("price_not_positive", F.least("open", "high", "low", "close") <= 0),
@@ -31,7 +31,7 @@ def ohlc_rules() -> list[tuple[str, Column]]:
 
 def ohlc_validity(bars: DataFrame) -> DataFrame:
     """Rows that break a rule, with the first one they break."""
-    return bars.withColumn("reason", first_reason(ohlc_rules())).where("reason is not null")
+    return bars.withColumn("reason", first_reason(ohlc_row_rules())).where("reason is not null")
 
 
 def duplicate_bars(bars: DataFrame) -> DataFrame:
@@ -66,7 +66,7 @@ def identity_guard(bars: DataFrame, series: str) -> DataFrame:
     return out.where("symbols > 1 or exchanges > 1 or bases > 1 or repeated_dates > 0")
 
 
-def action_rules() -> list[tuple[str, Column]]:
+def action_row_rules() -> list[tuple[str, Column]]:
     return [
         ("cash_needs_cash_only", (F.col("kind") == "cash") & (F.coalesce(F.col("cash_per_unit"), F.lit(0)) <= 0) | (F.col("kind") == "cash") & F.col("split_ratio").isNotNull()),
         ("split_needs_ratio_only", (F.col("kind") == "split") & (F.coalesce(F.col("split_ratio"), F.lit(0)) <= 0) | (F.col("kind") == "split") & F.col("cash_per_unit").isNotNull()),
@@ -78,13 +78,13 @@ def action_rules() -> list[tuple[str, Column]]:
 def action_rules(events: DataFrame, complete: bool = True) -> DataFrame:
     """Events with their broken rules; of a complete ledger also candidates and dates that do not rise."""
     w = Window.partitionBy("ledger_id").orderBy("effective_date", "event_id")
-    rules = list(action_rules())
+    rules = list(action_row_rules())
     if complete:
         rules += [("candidate_in_complete_ledger", F.col("status") == "candidate"), ("date_repeated", F.coalesce(F.lag("effective_date").over(w) >= F.col("effective_date"), F.lit(False)))]
     return events.withColumn("reasons", reasons(rules)).where(F.size("reasons") > 0)
 
 
-def manifest_rules() -> list[tuple[str, Column]]:
+def manifest_row_rules() -> list[tuple[str, Column]]:
     return [
         ("first_after_last", F.col("first_date") > F.col("last_date")),
         ("outside_request", (F.col("first_date") < F.col("start_date")) | (F.col("last_date") > F.col("as_of_date"))),
@@ -95,7 +95,7 @@ def manifest_rules() -> list[tuple[str, Column]]:
 
 
 def manifest_rules(manifests: DataFrame) -> DataFrame:
-    return manifests.withColumn("reasons", reasons(manifest_rules())).where(F.size("reasons") > 0)
+    return manifests.withColumn("reasons", reasons(manifest_row_rules())).where(F.size("reasons") > 0)
 
 
 #: Words of titles that announce distributions, and those that announce splits.

@@ -276,7 +276,7 @@ def ohlc_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.ohlc_validity(dirty(X.bars_dense(spark, sf_dir))).select("symbol", "trading_date", "reason")
 
 
-@query(with_parts("bars") + "SELECT exchange, symbol, price_basis, trading_date, 2 AS n FROM bars WHERE dayofmonth(trading_date) = 13")
+@query(with_parts("bars") + "SELECT exchange, symbol, price_basis, trading_date, 2::BIGINT AS n FROM bars WHERE dayofmonth(trading_date) = 13")
 def duplicate_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = X.bars_dense(spark, sf_dir)
     return V.duplicate_bars(b.unionByName(b.where(F.dayofmonth("trading_date") == 13)))
@@ -324,7 +324,7 @@ def action_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(with_parts("bars") + """
-    SELECT rows, grid, 0 AS repeated, grid - rows AS missing, 0 AS bad_cells, rows > 0 AND grid = rows AS ok
+    SELECT rows, grid, 0::BIGINT AS repeated, grid - rows AS missing, 0::BIGINT AS bad_cells, rows > 0 AND grid = rows AS ok
     FROM (SELECT count(*) AS rows, count(DISTINCT trading_date) * count(DISTINCT symbol) AS grid FROM bars)""")
 def panel_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.panel_guard(X.bars_dense(spark, sf_dir), "close")
@@ -517,7 +517,7 @@ def reconciliation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("max_abs_diff", F.round("max_abs_diff", 6)).withColumn("max_rel_diff", F.round("max_rel_diff", 6))
 
 
-@query(with_parts("bars") + "SELECT DISTINCT exchange, symbol, price_basis, 'alpha' AS provider, 2 AS roles, 'adjudicator,canonical' AS names FROM bars WHERE symbol < 'M'")
+@query(with_parts("bars") + "SELECT DISTINCT exchange, symbol, price_basis, 'alpha' AS provider, 2::BIGINT AS roles, 'adjudicator,canonical' AS names FROM bars WHERE symbol < 'M'")
 def provider_independence(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = manifests(X.bars_dense(spark, sf_dir))
     role = F.when(F.col("provider") == "alpha", "canonical").when(F.col("provider") == "beta", "cross_check").otherwise("adjudicator")
@@ -632,7 +632,7 @@ def distinct_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.ledger(X.bars_dense(spark, sf_dir)).select(F.sha2(F.concat("kind", "k"), 256).alias("sha256")).dropDuplicates(["sha256"])
 
 
-@query(with_parts("universe") + "SELECT exchange, symbol, CASE WHEN symbol < 'F' THEN 0 WHEN symbol > 'S' THEN 2 ELSE 1 END AS series, CASE WHEN symbol < 'F' THEN 'missing' WHEN symbol > 'S' THEN 'duplicate' ELSE 'ready' END AS status FROM universe")
+@query(with_parts("universe") + "SELECT exchange, symbol, CASE WHEN symbol < 'F' THEN 0 WHEN symbol > 'S' THEN 2 ELSE 1 END::BIGINT AS series, CASE WHEN symbol < 'F' THEN 'missing' WHEN symbol > 'S' THEN 'duplicate' ELSE 'ready' END AS status FROM universe")
 def universe_preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = X.universe(X.bars_dense(spark, sf_dir))
     verified = u.where("symbol > 'F'").select("exchange", "symbol")

@@ -298,7 +298,7 @@ def fold_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.fold_bounds(a, "curve").withColumn("fold", F.col("fold").cast("long"))
 
 
-@query(with_parts("curves") + "SELECT curve, count(*) AS points, 0 AS repeated, count(*) FILTER (day(trading_date) = 1) AS bad FROM curves GROUP BY 1 HAVING count(*) FILTER (day(trading_date) = 1) > 0")
+@query(with_parts("curves") + "SELECT curve, count(*) AS points, 0::BIGINT AS repeated, count(*) FILTER (day(trading_date) = 1) AS bad FROM curves GROUP BY 1 HAVING count(*) FILTER (day(trading_date) = 1) > 0")
 def equity_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = curves(spark, sf_dir).withColumn("equity", F.when(F.dayofmonth("trading_date") == 1, 0.0).otherwise(F.col("equity")))
     return V.equity_guard(c, "curve")
