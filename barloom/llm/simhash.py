@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from .common import batches, connected, stored
 
 BITS = 64
-#: Fingerprints that one shard indexes, and queries that one task takes to it.
-SHARD = 1 << 15
+#: Fingerprints that one shard indexes (about 10 MB of them), and queries that one task takes to it. The fewer the
+#: shards, the fewer of them a query visits.
+SHARD = 1 << 18
 
 
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
