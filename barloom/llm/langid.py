@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import batches, hash_sample, stored
 
 BUCKETS = 1 << 16
+#: Most values of one kind of evidence that are broadcast (under 100 bytes each).
+BROADCAST_VALUES = 200_000
 #: Log likelihood of a trigram under no known language.
 BACKGROUND = -9.4
 _LETTER = np.zeros(256, np.uint8) + 32
@@ -118,10 +120,12 @@ def identify(rows: DataFrame, model: dict, most_observations: int = 60, smoothin
     prior = (np.array(share) + 1) / (sum(share) + k)
     whole = F.array(*(F.lit(float(x)) for x in prior))
     out = base
-    # Value tables grow with the number of values; the joins with them are left to the planner.
+    # A row per value: broadcast where counted to be few, else joined by shuffle, rows without a value dealt anywhere.
     for kind in ("declared", "suffix", "domain", "host"):
-        table = base.where(F.col(kind).isNotNull()).groupBy(kind).agg(F.array(*sums).alias(f"{kind}_s"))
-        out = out.join(table, kind, "left")
+        table = stored(base.where(F.col(kind).isNotNull()).groupBy(F.col(kind).alias("v")).agg(F.array(*sums).alias(f"{kind}_s")), f"language-{kind}")
+        few = table.count() <= BROADCAST_VALUES
+        key = F.coalesce(F.col(kind), F.concat(F.lit("\x00"), F.pmod(F.xxhash64("id"), F.lit(100_000)).cast("string")))
+        out = out.withColumn("v", key).join(F.broadcast(table) if few else table, "v", "left").drop("v")
 
     def smoothed(kind: str, parent: Column) -> Column:
         """Shares of the value without this row, drawn toward the parent's; of no value, the parent's."""
