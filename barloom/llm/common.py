@@ -44,6 +44,18 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Stands for a null id inside Python functions, where a column of whole numbers with nulls would turn to floats.
+NO_ID = -(1 << 63)
+
+
+def id_in(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
+
+
+def id_out(df: DataFrame, column: str = "id") -> DataFrame:
+    return df.withColumn(column, F.when(F.col(column) != NO_ID, F.col(column)))
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
@@ -59,7 +71,7 @@ def batches(frames: Iterator[pd.DataFrame], column: str, most_chars: int = 4_000
     for frame in frames:
         if len(frame) == 0:
             continue
-        size = frame[column].str.len().fillna(0).to_numpy(dtype=np.int64)
+        size = np.array([len(t) if t is not None else 0 for t in frame[column]], np.int64)
         part = np.maximum.accumulate((np.cumsum(size) - size) // most_chars)
         edges = [0, *(np.flatnonzero(np.diff(part)) + 1), len(frame)]
         for a, b in zip(edges, edges[1:]):

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, stored, text_or_empty
+from .common import NO_ID, WHITE, id_in, id_out, stored, text_or_empty
 
 
 def normalised(text: Column) -> Column:
@@ -33,7 +33,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     text = text_or_empty(text_col)
     body = normalised(text)
-    id_ = F.col(id_col).alias("id")
+    id_ = id_in(id_col).alias("id")
     full = F.sha2(F.encode(body, "UTF-8"), 256)
 
     # Pass 1 and 2: sizes of lengths, then of (length, prefix hash), both from one narrow scan.
@@ -51,13 +51,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if digests != "all":
         read = docs.select(id_, text.alias("body"))
         left = left.drop("sha").join(read.join(left.select("id").distinct(), "id", "left_semi").select("id", F.sha2(F.encode(normalised(F.col("body")), "UTF-8"), 256).alias("sha")).distinct(), "id")
-    best = F.max_by("id", F.struct("points", (-F.col("id")).alias("first")))
+    best = F.max_by("id", F.struct("points", (F.col("id") != NO_ID).alias("named"), F.bitwise_not("id").alias("first")))
     groups = left.groupBy("n", "sha").agg(F.count("*").alias("size"), best.alias("keep")).where("size > 1")
     grouped = left.join(groups, ["n", "sha"], "left").select("id", "sha", "size", "keep")
     alone = flagged.where("more is null").select("id", "sha", F.lit(None).cast("long").alias("size"), F.lit(None).cast("long").alias("keep"))
     rows = grouped.unionByName(alone)
     keep = F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("keep"))
-    return rows.select(
+    out = rows.select(
         "id", keep.alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
         keep.eqNullSafe(F.col("id")).alias("kept"), F.col("sha").alias("text_sha256"),
     )
+    return id_out(id_out(out), "keep_id")

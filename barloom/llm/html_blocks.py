@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches
+from .common import batches, id_in, id_out
 
 PATH, WORDS, SHAPE = 192, 48, 8
 N_IN = PATH + WORDS + SHAPE
@@ -232,4 +232,4 @@ def extract(pages: DataFrame, params: dict | None = None, id_col: str = "page_id
             text = ["\n".join(t for t, y in zip(b.texts, m) if y) for b, m in zip(cut, main)]
             yield pd.DataFrame({"id": f["id"], "url": f["url"], "text": text, "n_chars": [len(t) for t in text], "n_blocks": [len(b.texts) for b in cut]})
 
-    return pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInPandas(run, "id long, url string, text string, n_chars long, n_blocks long")
+    return id_out(pages.select(id_in(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInPandas(run, "id long, url string, text string, n_chars long, n_blocks long"))

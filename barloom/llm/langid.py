@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, hash_sample, stored
+from .common import batches, hash_sample, id_in, id_out, stored
 
 BUCKETS = 1 << 16
 #: Most values of one kind of evidence that are broadcast (under 100 bytes each).
@@ -114,7 +114,9 @@ def identify(rows: DataFrame, model: dict, most_observations: int = 60, smoothin
             yield out
 
     types = dict(rows.dtypes)
-    base = stored(rows.select("id", "text", "declared", "suffix", "domain", "host").mapInPandas(weigh, f"id {types['id']}, declared string, suffix string, domain string, host string, p array<double>, seen boolean, known boolean"), "language-text")
+    whole_number = types["id"] in ("tinyint", "smallint", "int", "bigint")
+    types["id"] = "bigint" if whole_number else types["id"]
+    base = stored(rows.select(id_in("id").alias("id") if whole_number else F.col("id"), "text", "declared", "suffix", "domain", "host").mapInPandas(weigh, f"id {types['id']}, declared string, suffix string, domain string, host string, p array<double>, seen boolean, known boolean"), "language-text")
     sums = [F.coalesce(F.sum(F.when(F.col("seen"), F.col("p")[i])), F.lit(0.0)) for i in range(k)]
     share = base.agg(F.array(*sums).alias("s")).first()["s"]  # one number per language
     prior = (np.array(share) + 1) / (sum(share) + k)
@@ -142,4 +144,5 @@ def identify(rows: DataFrame, model: dict, most_observations: int = 60, smoothin
     probability = 1 / F.aggregate(F.transform("score", lambda x: F.exp(x - F.col("top"))), F.lit(0.0), lambda a, x: a + x)
     named = F.array(*map(F.lit, names))
     text_best = F.get(named, F.array_position("p", F.array_max("p")).cast("int") - 1)
+    out = id_out(out) if whole_number else out
     return out.select("id", F.get(named, best).alias("language"), probability.alias("probability"), F.when(F.col("seen"), text_best).alias("text_language"), (F.col("known") & (probability >= accept)).alias("kept"))

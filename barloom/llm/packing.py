@@ -19,14 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encode
-from .common import batches, stored
+from .common import batches, id_in, id_out, stored
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, most: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of at most ``most`` tokens of every text and its end id; only longer texts are cut, and of
-    their pieces only the first is shorter. Null text: empty, one piece with the end id alone."""
+    their pieces only the first is shorter. Null text: empty, one piece with the end id alone. A null id is
+    ``NO_ID`` here, for ``pack_documents`` to turn back."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in batches(frames, "text", 8_000_000):
@@ -39,7 +40,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, most: int = 1024, end_id: int
                 rows += [(doc, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, PIECES)
+    return docs.select(id_in(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, PIECES)
 
 
 def best_fit(lengths: np.ndarray, most: int) -> list[list[int]]:
@@ -164,4 +165,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, most: int = 1024, end_id: in
     Defined cases: null and empty texts are one piece of one token (the end id); repeated rows are packed
     once each (with equal doc_id and piece); a null id is packed with a null id; an empty table gives an empty
     result; other columns are ignored, whatever their names."""
-    return pack_pieces(stored(token_pieces(docs, tokenizer, most, end_id, id_col, text_col), "pieces"), most)
+    return id_out(pack_pieces(stored(token_pieces(docs, tokenizer, most, end_id, id_col, text_col), "pieces"), most), "doc_id")

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, hash_sample
+from .common import batches, hash_sample, id_in, id_out
 
 _CLASSES = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n", ".,;:", "!?", "*", "#", "%", "&", "$", "|", "'\"()[]{}<>/-_=+@\\^`~", "\t\r\x0b\x0c")
 _CLASS = np.full(256, 15, np.uint8)
@@ -136,7 +136,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
             z = forward(np.stack([features(t) for t in f["text"]]).astype(np.float64), model)
             yield pd.DataFrame({"id": f["id"], "score": 1 / (1 + np.exp(-np.clip(z, -30, 30)))})
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, score double")
+    return id_out(docs.select(id_in(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, score double"))
 
 
 def held_out(id_: Column, folds: int = 5) -> Column:

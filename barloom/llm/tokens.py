@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encode
-from .common import batches
+from .common import batches, id_in, id_out
 
 RULES = ("first", "last", "most", "share")
 _LINE = re.compile(r"\n")
@@ -78,4 +78,4 @@ def section_tokens(docs: DataFrame, tokenizer: str, rule: str = "first", section
                     c.extend(v)
             yield pd.DataFrame(dict(zip(("id", "section", "name", "start", "length", "n_tokens", "n_crossing"), cols)))
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, section int, name string, start long, length long, n_tokens double, n_crossing long")
+    return id_out(docs.select(id_in(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, section int, name string, start long, length long, n_tokens double, n_crossing long"))

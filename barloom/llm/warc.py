@@ -32,7 +32,7 @@ def _header(*fields: tuple[str, object]) -> Column:
 
 
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", dedupe_from: int = 1000, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """``(id, url, payload_digest, payload_bytes, record_type, refers_to, head, body)``, head and body the text of each
+    """``(record_id, url, payload_digest, payload_bytes, record_type, refers_to, head, body)``, head and body the text of each
     record without the two line ends that close it. Of records with equal payloads of at least ``dedupe_from``
     bytes the one with the largest id is the response, the others revisit it."""
     body = F.coalesce(F.col(html_col), F.lit(""))
@@ -42,16 +42,17 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     # The marks are ids only, of revisits only.
     marks = keys.where(F.col("bytes") >= dedupe_from).join(first, "payload_digest").where("id <> refers_to").select("id", "refers_to").distinct()
     rows = rows.join(marks, "id", "left").withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
+    rows = rows.withColumn("record_id", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(">")))
     revisit = F.col("refers_to").isNotNull()
     content = F.when(revisit, F.lit("")).otherwise(F.col("body"))
     safe_url = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "")
     head = _header(
-        ("WARC-Type", F.col("record_type")), ("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.col("id"), F.lit(">"))), ("WARC-Date", date),
+        ("WARC-Type", F.col("record_type")), ("WARC-Record-ID", F.col("record_id")), ("WARC-Date", date),
         ("WARC-Target-URI", safe_url), ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))), ("X-Payload-Length", F.col("payload_bytes")),
         ("WARC-Profile", F.when(revisit, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))), ("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("refers_to"), F.lit(">"))),
         ("Content-Type", "text/html; charset=utf-8"), ("Content-Length", F.octet_length(content)),
     )
-    return rows.select("id", "url", "payload_digest", "payload_bytes", "record_type", "refers_to", head.alias("head"), content.alias("body"))
+    return rows.select("record_id", "url", "payload_digest", "payload_bytes", "record_type", "refers_to", head.alias("head"), content.alias("body"))
 
 
 def open_store(path: str):
@@ -75,7 +76,7 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = 256 << 20,
         try:
             for f in frames:
                 rows = []
-                for head, body, url, digest, id_, kind in zip(f["head"], f["body"], f["url"], f["payload_digest"], f["id"], f["record_type"]):
+                for head, body, url, digest, name_, kind in zip(f["head"], f["body"], f["url"], f["payload_digest"], f["record_id"], f["record_type"]):
                     if out is None or at >= archive_bytes:
                         if out is not None:
                             out.close()
@@ -84,14 +85,14 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = 256 << 20,
                         out = store.open_output_stream(f"{top}/{name}", compression=None)
                     member = gzip.compress(f"{head}{body}{CRLF}{CRLF}".encode(), 6, mtime=0)
                     out.write(member)
-                    rows.append((name, at, len(member), url, digest, f"<urn:page:{'' if pd.isna(id_) else int(id_)}>", kind))
+                    rows.append((name, at, len(member), url, digest, name_, kind))
                     at += len(member)
                 yield pd.DataFrame(rows, columns=["archive", "offset", "length", "url", "payload_digest", "record_id", "record_type"])
         finally:
             if out is not None:
                 out.close()
 
-    return stored(records(pages, **options).mapInPandas(write, INDEX), "warc-index")
+    return stored(records(pages, **options).drop("refers_to", "payload_bytes").mapInPandas(write, INDEX), "warc-index")
 
 
 def read_records(index: DataFrame, path: str, gap: int = 1 << 16, most: int = 8 << 20) -> DataFrame:
