@@ -321,6 +321,67 @@ def near_links(points: DataFrame, radius: int = 3, radius2: int | None = None, s
     return rows.groupBy("part", "shard", "block", "side").applyInPandas(search, schema).distinct()
 
 
+# --- Candidates by shared bands ---------------------------------------------------------------------
+
+#: Bands of minima of the shingles, and minima of a band: two texts of similarity s share no band with the chance
+#: (1 - s^6)^40, which is 0.000005 at 0.8, whatever form their difference has.
+BANDS, PER_BAND = 40, 6
+_ODD, _FLIP, _JOIN, _OWN = (np.random.default_rng(17 + k).integers(0, 1 << 63, n, dtype=np.uint64) for k, n in enumerate((BANDS * PER_BAND, BANDS * PER_BAND, PER_BAND, BANDS)))
+_ODD = _ODD * np.uint64(2) + np.uint64(1)
+_JOIN = _JOIN * np.uint64(2) + np.uint64(1)
+
+
+def bands(h: np.ndarray) -> np.ndarray:
+    """One key per band of a set of hashes; equal sets have equal keys."""
+    least = np.full(BANDS * PER_BAND, np.iinfo(np.uint64).max, np.uint64)
+    for a in range(0, len(h), 512):
+        least = np.minimum(least, ((h[a : a + 512, None] ^ _FLIP) * _ODD).min(0))
+    x = (least.reshape(BANDS, PER_BAND) * _JOIN).sum(1) + _OWN
+    return ((x ^ (x >> np.uint64(31))) * _JOIN[0]).view(np.int64)
+
+
+def close_pairs(ids: np.ndarray, fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links of at most ``radius`` bits among a few documents: each one that is reached is
+    compared with those not reached yet."""
+    left, out = np.arange(len(ids)), []
+    while len(left):
+        front, left = [int(left[0])], left[1:]
+        while front and len(left):
+            a = front.pop()
+            near = np.bitwise_count(fp[left] ^ fp[a]) <= radius
+            for b in left[near].tolist():
+                out.append((int(min(ids[a], ids[b])), int(max(ids[a], ids[b]))))
+                front.append(b)
+            left = left[~near]
+    return out
+
+
+def band_links(points: DataFrame, radius: int, block: int = 1 << 14, shard: int = SHARD) -> DataFrame:
+    """Links ``(a, b)`` between the ids of ``points(id, fp2, keys)`` that share a key and whose fingerprints differ in at most
+    ``radius`` bits: a spanning forest per task. Keys held once are dropped first; small buckets are dealt together, and
+    of a bucket of more than ``block`` each two blocks meet in a task of their own."""
+    rows = points.select("id", "fp2", F.explode("keys").alias("key"))
+    sizes = stored(rows.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"), "buckets")
+    n = sizes.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
+    sizes = sizes.select("key", F.ceil(F.col("k") / F.lit(block)).cast("int").alias("blocks"))
+    rows = rows.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).withColumn("cut", F.col("blocks") > 1)
+    rows = rows.withColumn("g", F.when(F.col("cut"), F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(max(1, -(-n // shard))))))
+
+    def search(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["key", "id"])
+        ids, fp, keys = f["id"].to_numpy(), f["fp2"].to_numpy(np.int64).view(np.uint64), f["key"].to_numpy()
+        edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(f)]
+        out: set[tuple[int, int]] = set()
+        for a, b in zip(edges, edges[1:]):
+            if b - a > 1:
+                out.update(close_pairs(ids[a:b], fp[a:b], radius))
+        return pd.DataFrame(np.array(sorted(out), np.int64).reshape(-1, 2), columns=["a", "b"])
+
+    return rows.select("cut", "g", "i", "j", "key", "id", "fp2").groupBy("cut", "g", "i", "j").applyInPandas(search, "a long, b long").distinct()
+
+
 # --- Verification by shingles -----------------------------------------------------------------------
 
 
@@ -330,9 +391,10 @@ def similar_links(ids: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], radiu
     size = np.array([len(x) for x in sets])
     flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
     first, mark = np.cumsum(size) - size, np.zeros(len(flat) + 1, np.int64)
-    forest, out = Forest(len(ids)), []
+    group, out = np.arange(len(ids)), []
     for a in range(len(ids) - 1):
-        b = a + 1 + np.flatnonzero(np.bitwise_count(fp[a + 1 :] ^ fp[a]) <= radius)
+        # What is linked already needs no other link.
+        b = a + 1 + np.flatnonzero((np.bitwise_count(fp[a + 1 :] ^ fp[a]) <= radius) & (group[a + 1 :] != group[a]))
         b = b[(np.minimum(size[b], size[a]) >= least * np.maximum(size[b], size[a])) & (size[b] > 0)]
         if not len(b) or not size[a]:
             continue
@@ -343,7 +405,8 @@ def similar_links(ids: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], radiu
         both = np.add.reduceat(mark[flat[at]], np.cumsum(n) - n)
         mark[own] = 0
         for k in b[both >= least * (size[a] + n - both)].tolist():
-            if forest.join(a, k):
+            if group[a] != group[k]:
+                group[group == group[k]] = group[a]
                 out.append((int(min(ids[a], ids[k])), int(max(ids[a], ids[k]))))
     return out
 
@@ -386,29 +449,33 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, "fp").select("id", "fp", "component")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, min_jaccard: float = 0.8, radius: int = 10, radius2: int = 18) -> DataFrame:
-    """``(id, component)`` per row for linked documents: fingerprints within ``radius`` bits, and a Jaccard
-    similarity of the distinct ``shingle``-word shingles of at least ``min_jaccard``.
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, min_jaccard: float = 0.8, radius: int = 10, radius2: int = 18, band_radius: int = 26) -> DataFrame:
+    """``(id, component)`` per row for linked documents: a Jaccard similarity of the distinct ``shingle``-word
+    shingles of at least ``min_jaccard``.
 
-    The fingerprint that is probed is that of the distinct words: over five-word shingles, texts of similarity 0.8
-    differ in ten to fourteen bits, over distinct words in four on the average and ten at most, so the same
-    recall needs far fewer probes. Candidates are then verified on the fingerprint of the distinct shingles
-    (``radius2``; at similarity 0.8 its expected distance is 9.7 bits with deviation 2.9), and what is left is
-    decided on the shingles themselves. Texts without words are never near copies of anything. Rows with a
+    Candidates are found in two ways and united. The fingerprint of the distinct words is probed within ``radius``
+    bits and verified on that of the distinct shingles (``radius2``): this finds scattered edits of single words, not
+    every passage added or cut, which moves the words' fingerprint by more. So texts that share a band of
+    minima of their shingles are candidates too, whatever form their difference has, if the fingerprints of the
+    shingles lie within ``band_radius`` bits (at similarity 0.8 the distance is 9.7 bits with deviation 2.9; of texts
+    of five shingles 12 with 3.1). All are decided on the shingles alone. Texts without words are never near copies of anything. Rows with a
     null id are left out; ids should be distinct (of repeated rows of one id, any text counts)."""
     docs = docs.where(F.col(id_col).isNotNull())
 
     def prints(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in batches(frames, "text"):
-            two = [[signed(fingerprint(np.unique(shingle_hashes(t, k)))) for t in f["text"]] for k in (1, shingle)]
-            yield pd.DataFrame({"id": f["id"], "fp": np.array(two[0], np.int64), "fp2": np.array(two[1], np.int64)})
+            word = [signed(fingerprint(np.unique(shingle_hashes(t, 1)))) for t in f["text"]]
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in f["text"]]
+            two = [signed(fingerprint(x)) for x in sets]
+            yield pd.DataFrame({"id": f["id"], "fp": np.array(word, np.int64), "fp2": np.array(two, np.int64), "keys": [bands(x) if len(x) else None for x in sets]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    fps = stored(rows.mapInPandas(prints, "id long, fp long, fp2 long").where("fp <> 0").dropDuplicates(["id"]), "fingerprints")
+    fps = stored(rows.mapInPandas(prints, "id long, fp long, fp2 long, keys array<long>").where("keys is not null").dropDuplicates(["id"]), "fingerprints")
     # Candidate groups: documents without any candidate are out, the others meet only within their group.
-    groups = stored(connected(fps.select("id"), near_links(fps, radius, radius2)), "candidates")
+    links = near_links(fps, radius, radius2).unionByName(band_links(fps, band_radius))
+    groups = stored(connected(fps.select("id"), links), "candidates")
     some = groups.groupBy("component").agg(F.count("*").alias("k")).where("k > 1").select("component")
-    groups = stored(groups.join(some, "component", "left_semi").join(fps, "id"), "candidate-groups")
+    groups = stored(groups.join(some, "component", "left_semi").join(fps.select("id", "fp"), "id"), "candidate-groups")
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(groups.select("id"), "id", "left_semi")
 
     def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -416,4 +483,4 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pd.DataFrame({"id": f["id"], "sh": [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in f["text"]]})
 
     points = stored(text.mapInPandas(sets, "id long, sh array<long>").dropDuplicates(["id"]).join(groups, "id"), "points")
-    return connected(points.select("id"), verified_links(points, radius, min_jaccard))
+    return connected(points.select("id"), verified_links(points, BITS, min_jaccard))

@@ -94,3 +94,21 @@ def test_cut_groups_agree(spark):
     want = components(range(80), [(a, b) for a in range(80) for b in range(a) if len(set(rows[a][3]) & set(rows[b][3])) >= 0.8 * len(set(rows[a][3]) | set(rows[b][3]))])
     for block in (1000, 15):
         assert components(range(80), [tuple(r) for r in simhash.verified_links(points, 3, 0.8, block).collect()]) == want
+
+
+def test_near_copies_with_passages_added_or_cut(spark):
+    """Every pair of similarity 0.8 or more, where a passage of unseen words is appended or one is cut off."""
+    rng = random.Random(11)
+    rows, want = [], set()
+    for k in range(240):
+        n = rng.choice((12, 40, 120, 400))
+        text = [f"w{rng.getrandbits(30)}" for _ in range(n)]
+        at = n - int(n * rng.choice((0.1, 0.15, 0.19)))
+        other = text[:at] if k % 3 == 0 else text[n - at :] if k % 3 == 1 else text + [f"w{rng.getrandbits(30)}" for _ in range(n - at)]
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(other))]
+        x, y = (set(zip(*(t[j:] for j in range(5)))) for t in (text, other))
+        if len(x & y) >= 0.8 * len(x | y):
+            want.add(2 * k + 1)
+    assert len(want) > 150
+    got = {r["id"] for r in simhash.near_copies(docs(spark, rows)).collect() if r["id"] != r["component"]}
+    assert got == want
