@@ -10,7 +10,8 @@ windows with the same anchor is a context. Where an anchor occurs once, none of
    all documents lie in no recurring window.
 3. Equal contexts are counted once, with their first place; contexts go to shards by anchor. A shard confirms by their words
    the windows that recur, compiles them into an automaton, and streams its contexts through it: each
-   hit tells the window's first place in the corpus. An anchor with very many contexts is dealt by single windows.
+   hit tells the window's first place in the corpus. Of an anchor with very many contexts the distinct windows are dealt,
+   each once with its count and first place, and the confirmed ones are joined back to its contexts.
 4. Occurrences that are not the first are removed from their documents.
 
 Texts travel compressed. Nothing is collected, and a shard holds a bounded number of contexts at every size.
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, stored
@@ -145,6 +146,33 @@ def locate(f: pd.DataFrame, window: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["m", "c1", "c2", "runs"])
 
 
+def windows_of(kinds: DataFrame, window: int) -> DataFrame:
+    """The single windows of contexts: ``m, c1, c2`` of the context, ``base`` the window's place in it, and its words ``ctx``
+    with ``doc, start, n``."""
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for r in f.itertuples(index=False):
+                w = r.ctx.split(" ")
+                out += [(r.m, r.c1, r.c2, k, " ".join(w[k : k + window]), r.doc, r.start + k, r.n) for k in range(len(w) - window + 1)]
+            yield pd.DataFrame(out, columns=f.columns)
+
+    return kinds.mapInPandas(cut, "m long, c1 long, c2 long, base int, ctx string, doc long, start long, n long")
+
+
+def _window_key() -> tuple[Column, Column]:
+    return F.xxhash64("ctx").alias("w1"), F.xxhash64(F.lit(7), "ctx").alias("w2")
+
+
+def hot_windows(kinds: DataFrame, window: int) -> DataFrame:
+    """The distinct windows of contexts as rows for ``locate``: each once per anchor, with the number of its occurrences and its
+    first place, however many contexts hold it."""
+    own = windows_of(kinds, window).groupBy("m", "ctx").agg(F.min(F.struct("doc", "start")).alias("f"), F.sum("n").alias("n"))
+    w1, w2 = _window_key()
+    return own.select("m", w1.alias("c1"), w2.alias("c2"), F.lit(0).alias("base"), "ctx", "f.doc", "f.start", "n")
+
+
 def repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """``(texts, spans)``: ``texts(doc, th, packed)``, the compressed texts of all rows, and ``spans(doc, th, removed)``, for
     rows with such words the word ranges ``array<struct<a, b>>`` covered by a window that also starts earlier."""
@@ -199,19 +227,17 @@ def repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col:
     shards = max(1, -(-kinds.count() // SHARD))
     hot = stored(kinds.groupBy("m").count().where(F.col("count") > SHARD).select("m"), "hot-anchors")
 
-    def by_window(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for r in f.itertuples(index=False):
-                w = r.ctx.split(" ")
-                out += [(r.m, r.c1, r.c2, k, " ".join(w[k : k + window]), r.doc, r.start + k, r.n) for k in range(len(w) - window + 1)]
-            yield pd.DataFrame(out, columns=f.columns)
-
-    schema = "m long, c1 long, c2 long, base int, ctx string, doc long, start long, n long"
+    result = "m long, c1 long, c2 long, runs array<struct<off:int,len:int,doc:long,start:long>>"
     cool = kinds.join(hot, "m", "left_anti").withColumn("g", F.pmod(F.xxhash64("m"), F.lit(shards)))
-    dealt = kinds.join(hot, "m", "left_semi").mapInPandas(by_window, schema).withColumn("g", F.pmod(F.xxhash64("ctx"), F.lit(shards)))
-    hits = cool.unionByName(dealt).groupBy("g").applyInPandas(lambda f: locate(f, window), "m long, c1 long, c2 long, runs array<struct<off:int,len:int,doc:long,start:long>>")
+    hits = cool.groupBy("g").applyInPandas(lambda f: locate(f, window), result)
     hits = hits.select("m", "c1", "c2", F.explode("runs").alias("r")).select("m", "c1", "c2", "r.off", "r.len", F.col("r.doc").alias("fd"), F.col("r.start").alias("fs"))
+    if not hot.isEmpty():
+        of_hot = kinds.join(hot, "m", "left_semi")
+        distinct = stored(hot_windows(of_hot, window), "hot-windows")
+        dealt = distinct.withColumn("g", F.pmod(F.xxhash64("ctx"), F.lit(max(1, -(-distinct.count() // SHARD)))))
+        sure = dealt.groupBy("g").applyInPandas(lambda f: locate(f, window), result).select("m", F.col("c1").alias("w1"), F.col("c2").alias("w2"), F.col("runs")[0].alias("r"))
+        found_in = windows_of(of_hot, window).select("m", "c1", "c2", "base", *_window_key()).join(sure, ["m", "w1", "w2"])
+        hits = hits.unionByName(found_in.select("m", "c1", "c2", F.col("base").alias("off"), F.lit(1).alias("len"), F.col("r.doc").alias("fd"), F.col("r.start").alias("fs")))
     places = occ.select("m", "doc", "th", "start", F.xxhash64("ctx").alias("c1"), F.xxhash64(F.lit(7), "ctx").alias("c2"))
     again_at = places.join(hits, ["m", "c1", "c2"]).where("not (fd = doc and fs = start + off)")
     span = F.struct((F.col("start") + F.col("off")).alias("a"), (F.col("start") + F.col("off") + F.col("len") + (window - 1)).alias("b"))

@@ -52,3 +52,16 @@ def test_empty_null_ids_and_repeated_rows(spark):
     d = spark.createDataFrame([(1, text), (1, text), (None, text)], "doc_id long, text string")
     got = sorted((r["id"] is not None, r["n_removed"]) for r in substring.remove_repeats(d, texts_too=True).collect())
     assert got == [(False, 0), (True, 30), (True, 30)]
+
+
+def test_windows_of_hot_anchors_are_dealt_once(spark, monkeypatch):
+    """A passage between other neighbours in each of many documents: no group holds a row for each of them."""
+    monkeypatch.setattr(substring, "SHARD", 50)
+    rng = random.Random(1)
+    passage = " ".join(f"p{i}" for i in range(24))
+    rows = [(i, " ".join([*(f"x{rng.getrandbits(40)}" for _ in range(20)), passage, *(f"x{rng.getrandbits(40)}" for _ in range(20))])) for i in range(600)]
+    widest = []
+    kept = substring.hot_windows
+    monkeypatch.setattr(substring, "hot_windows", lambda k, w: widest.append((k.groupBy("m").count().agg({"count": "max"}).first()[0], kept(k, w).groupBy("m", "ctx").count().agg({"count": "max"}).first()[0])) or kept(k, w))
+    assert run(spark, rows) == brute(rows)
+    assert widest and widest[0][0] > 300 and widest[0][1] == 1
