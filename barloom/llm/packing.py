@@ -1,7 +1,7 @@
 """Best-fit packing of token pieces into sequences, improved by swap-based local search.
 
-Pieces go to groups of bounded size by a hash of their identity, so no key, however frequent, makes a group
-large. A group is packed by best fit on falling lengths; the local search then moves, exchanges
+Pieces go to groups of bounded size by a hash of their identity and, where rows are equal, of a number within
+them, so no key, however frequent, makes a group large. A group is packed by best fit on falling lengths; the local search then moves, exchanges
 one for one and two for one between underfull sequences whenever that raises the sum of squared fills, until
 sequences become empty. What a group leaves in sequences that are not nearly full is packed again together
 with the other groups' remains, in groups of the same bounded size.
@@ -124,36 +124,48 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, most: int, rounds:
     return [b for b in bins if b]
 
 
+def dealt(rows: DataFrame, level: int, group: int) -> DataFrame:
+    """Adds the group ``g`` to pieces. Equal rows are counted and numbered again, so that they spread over all groups
+    whichever tasks hold them; rows that only share ``doc_id`` and ``piece`` differ in their checksums."""
+    n = rows.count()
+    base = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    # Two steps, so that no array grows with the number of equal rows.
+    rows = rows.groupBy(*base).agg(F.count("*").alias("k")).withColumn("high", F.explode(F.sequence(F.lit(0).cast("long"), F.shiftright(F.col("k") - 1, 12))))
+    rows = rows.withColumn("low", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(4095).cast("long"), F.col("k") - 1 - F.col("high") * 4096))))
+    return rows.select(*base, F.pmod(F.xxhash64(*base, "high", "low", F.lit(level)), F.lit(max(1, -(-n // group)))).alias("g"))
+
+
 def pack_pieces(pieces: DataFrame, most: int = 1024, group: int = 16384, good: float = 0.995) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` (gapless from 0) to ``pieces`` (stored; see ``token_pieces``)."""
+    base = ["doc_id", "piece", "start", "length", "ids_crc32"]
     schema = pieces.select("doc_id", "piece", "start", "length", "ids_crc32").schema.simpleString()[7:-1].replace(":", " ") + ", sequence_id long, offset long, fill long"
 
     def packer(level: int):
         def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-            f = f.sort_values(["doc_id", "piece", "ids_crc32"]).reset_index(drop=True)
+            f = f.sort_values(base).reset_index(drop=True)
             lengths = f["length"].to_numpy(np.int64)
             bins = local_search(best_fit(lengths, most), lengths, most)
             at = np.concatenate([np.array(b, np.int64) for b in bins])
             n = np.array([len(b) for b in bins])
+            if len(bins) >= 1 << 16:
+                raise ValueError(f"{len(bins)} sequences in one group: more than their numbers have room for")
             f = f.iloc[at].drop(columns=["g"]).reset_index(drop=True)
             of = np.repeat(np.arange(len(bins)), n)
             run_ = np.cumsum(f["length"].to_numpy()) - f["length"].to_numpy()
             fills = np.bincount(of, weights=f["length"]).astype(np.int64)
             starts = np.cumsum(fills) - fills
-            f["sequence_id"] = ((level << 54) + (int(key[0]) << 16) + of).astype(np.int64) if len(bins) < 1 << 16 else np.int64(0)
+            f["sequence_id"] = ((level << 54) + (int(key[0]) << 16) + of).astype(np.int64)
             f["offset"], f["fill"] = run_ - starts[of], fills[of]
             return f
 
         return run
 
     def packed(rows: DataFrame, level: int) -> DataFrame:
-        n = rows.count()
-        rows = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", F.lit(level)), F.lit(max(1, -(-n // group)))))
+        rows = dealt(rows, level, group)
         # Groups are dealt by number, several to a task; a group has about `group` pieces at every size.
         return stored(rows.groupBy("g").applyInPandas(packer(level), schema), f"packed{level}")
 
     first = packed(pieces, 0)
-    base = ["doc_id", "piece", "start", "length", "ids_crc32"]
     again = packed(first.where(F.col("fill") < int(good * most)).select(base), 1)
     return first.where(F.col("fill") >= int(good * most)).unionByName(again).select(*base, "sequence_id", "offset", "fill")
 

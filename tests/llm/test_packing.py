@@ -80,3 +80,13 @@ def test_groups_and_second_round(spark):
 
 def test_empty_table(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_equal_rows_spread_over_groups(spark):
+    """Rows that share doc_id and piece, equal or not, are dealt to all groups and keep sequences apart."""
+    rows = [(-(1 << 63), 0, 0, 700, 5)] * 6000 + [(-(1 << 63), 0, 0, 600, k) for k in range(1000)]
+    pieces = spark.createDataFrame(rows, packing.PIECES)
+    sizes = [r["count"] for r in packing.dealt(pieces, 0, 500).groupBy("g").count().collect()]
+    assert sum(sizes) == 7000 and len(sizes) == 14 and max(sizes) < 700
+    got = packing.pack_pieces(pieces, group=500).collect()
+    assert len(got) == 7000 and len({r["sequence_id"] for r in got}) == 7000 and all(r["offset"] == 0 for r in got)
