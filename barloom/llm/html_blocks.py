@@ -35,7 +35,16 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
 ENDS_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+#: Raw elements that run to the end of the page where their end tag is missing.
+TO_END = frozenset("script style textarea title".split())
+
+_TAG = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?P<own>{_TAG})|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+#: Where the content of a raw element ends: at its end tag. An option also ends before any tag that is not inline; of those
+#: that never nest, a second opening tag (``again``) tells that the first has no end tag.
+_RAW_END = {t: re.compile(rf"</{t}(?:\s[^>]*|/)?>", re.I) for t in RAW.split("|")}
+_RAW_END |= {t: re.compile(rf"</{t}(?:\s[^>]*|/)?>|(?P<again><{t}\b)", re.I) for t in ("button", "select", "canvas", "noscript", "iframe")}
+_RAW_END["option"] = re.compile(rf"</option(?:\s[^>]*|/)?>|(?=</?(?!(?:{'|'.join(sorted(INLINE))})\b)[a-z])", re.I)
 _ATTR = re.compile(r"\b(class|id|role|itemprop|hidden|aria-label)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _PART = re.compile(r"[a-z]+|\d+")
 
@@ -65,6 +74,18 @@ class Blocks:
         self.links: list[float] = []
 
 
+def after_raw(page: str, tag: str, own: str, at: int, endless: set[str]) -> int:
+    """Where the raw element ends whose opening tag ends at ``at`` with ``own``. Without an end it is its tag alone, except for
+    the elements of ``TO_END``; ``endless`` keeps the names without any further end, which are not searched again."""
+    if tag in ("svg", "math") and own.endswith("/>"):
+        return at
+    end = None if tag in endless else _RAW_END[tag].search(page, at)
+    if end:
+        return at if end.groupdict().get("again") else end.end()
+    endless.add(tag)
+    return len(page) if tag in TO_END else at
+
+
 def blocks(page: str | None) -> Blocks:
     """The leaf blocks of a page in order. Raw elements, comments and declarations are no text; character
     references are decoded; white space within a block is one space; blocks without text are left out. Unclosed
@@ -99,10 +120,14 @@ def blocks(page: str | None) -> Blocks:
         total += n
         linked += n if depth else 0
 
-    for m in _TOKEN.finditer(page):
+    endless: set[str] = set()
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
+        if m.group("raw"):
+            at = after_raw(page, m.group("raw").lower(), m.group("own"), at, endless)
+            continue
         tag = m.group("tag")
         if not tag:
             continue

@@ -15,6 +15,16 @@ def test_blocks():
     assert html_blocks.blocks(None).texts == [] and html_blocks.blocks("<p").texts == ["<p"] and html_blocks.blocks("plain").texts == ["plain"]
 
 
+def test_raw_elements_without_end_tags():
+    article = "<article><p>Kept text.</p></article>"
+    for head in ("<datalist><option value=a><option value=b></datalist>", "<select><option>A<option>B</select>", "<nav><svg width='1' /></nav>", "<math/>", "<object data=x>", "<template><iframe>", "<svg><path d='M0'/></svg>", "<select><optgroup><option>A</optgroup></select>"):
+        assert html_blocks.blocks(head + article).texts == ["Kept text."], head
+    assert html_blocks.blocks(article + "<script>var a='<p>x</p>'").texts == ["Kept text."]
+    for tag in ("button", "select", "iframe", "canvas", "noscript"):
+        assert html_blocks.blocks(f"<{tag}>{article}<{tag}>B</{tag}>").texts == ["Kept text."], tag
+    assert html_blocks.blocks("<datalist><option>A <b>b</b></option><option>B" + article + "<select><option>C</select>").texts == ["Kept text."]
+
+
 def test_extract_cases(spark):
     rows = [(1, "u", PAGE, "n"), (1, "u", PAGE, "n"), (2, None, None, "n"), (3, "v", "", "n"), (4, "w", "<article><h1>Long</h1>" + "<p>word word word.</p>" * 20000 + "</article>", "n")]
     got = html_blocks.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
