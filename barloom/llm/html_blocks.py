@@ -54,6 +54,11 @@ def _slot(word: str, size: int) -> int:
     return zlib.crc32(word.encode("utf-8", "replace")) % size
 
 
+@functools.lru_cache(1 << 16)
+def _word_slot(word: str) -> int:
+    return _slot(word.lower().strip(".,:;!?()"), WORDS)
+
+
 def path_slots(tag: str, attrs: str) -> list[int]:
     """Hashed features of one tag: its name, and the parts of its class, id and role."""
     out = [_slot("t:" + tag, PATH)]
@@ -160,12 +165,13 @@ def blocks(page: str | None) -> Blocks:
                     break
         if tag in VOID or m.group("attrs").endswith("/"):
             continue
-        key = (tag, m.group("attrs") if not block or len(m.group("attrs")) < 200 else "")
-        if tag == "a":
-            key = ("a", "")
-        if key not in cache:
-            cache[key] = path_slots(*key)
-        stack.append((tag, cache[key]))
+        key = (tag, "" if tag == "a" else m.group("attrs"))
+        slots = cache.get(key)
+        if slots is None:
+            slots = path_slots(*key)
+            if len(key[1]) < 200:  # longer ones seldom come again
+                cache[key] = slots
+        stack.append((tag, slots))
         depth += tag == "a"
         if len(stack) > 400:  # deeper nesting carries no more meaning; the text still counts
             close_to(200)
@@ -176,13 +182,12 @@ def blocks(page: str | None) -> Blocks:
 
 
 def vectors(b: Blocks) -> np.ndarray:
-    """One row per block: path slots, hashed words (its first four and last two), shape counts."""
+    """One row per block: path slots, hashed counts of all words (on a log scale), shape counts."""
     x = np.zeros((len(b.texts), N_IN), np.float32)
     for i, (t, p, link) in enumerate(zip(b.texts, b.paths, b.links)):
         x[i, p] = 1
         k, n = t.count(" ") + 1, len(t)
-        for v in t.split(" ", 4)[:4] + t.rsplit(" ", 2)[-min(2, k) :]:
-            x[i, PATH + _slot(v.lower().strip(".,:;!?()"), WORDS)] = 0.5
+        x[i, PATH : PATH + WORDS] = np.log1p(np.bincount([_word_slot(v) for v in t.split(" ")], minlength=WORDS)) / 2
         x[i, PATH + WORDS :] = (math.log1p(k) / 5, math.log1p(n / k) / 3, link, sum(map(t.count, ".!?")) / k, sum(map(t.count, "|©·»›•")) / k, i / len(b.texts), 1.0 if i == 0 else 0.0, 1.0 if t[-1] in ".!?" else 0.0)
     return x
 

@@ -25,6 +25,16 @@ def test_raw_elements_without_end_tags():
     assert html_blocks.blocks("<datalist><option>A <b>b</b></option><option>B" + article + "<select><option>C</select>").texts == ["Kept text."]
 
 
+def test_long_tags_and_long_blocks_are_read_whole():
+    style = ' style="' + "color:red;" * 40 + '"'
+    for tag in ("div", "nav"):
+        short, long = (html_blocks.blocks(f'<{tag} class="sidebar"{x} id="ads" role="menu">Text</{tag}>').paths for x in ("", style))
+        assert short == long and len(short[0]) > 1
+    one, two, three = (html_blocks.vectors(html_blocks.blocks(f"<p>a b c d {w} e f</p>"))[0] for w in ("cookies", "history", "cookies cookies"))
+    words = slice(html_blocks.PATH, html_blocks.PATH + html_blocks.WORDS)
+    assert (one[words] != two[words]).any() and (one[words] != three[words]).any()
+
+
 def test_extract_cases(spark):
     rows = [(1, "u", PAGE, "n"), (1, "u", PAGE, "n"), (2, None, None, "n"), (3, "v", "", "n"), (4, "w", "<article><h1>Long</h1>" + "<p>word word word.</p>" * 20000 + "</article>", "n")]
     got = html_blocks.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
