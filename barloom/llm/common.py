@@ -21,10 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``. Only where the session has none
-    (as in tests on one machine) a temporary folder is set."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Only a session on one machine (a local master, as
+    in tests) may do without one and gets a temporary folder; on a cluster a missing setting is an error, since
+    what executors write to folders of their own is lost to the others."""
     kept = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not kept:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         kept = "file://" + tempfile.mkdtemp(prefix="spark-barloom-", dir="/tmp" if os.path.isdir("/tmp") else None)
         spark.conf.set("spark.checkpoint.dir", kept)
     return kept.rstrip("/")
@@ -41,7 +44,36 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = new_dir(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def spent(*tables: DataFrame) -> None:
+    """Deletes tables of ``stored`` that no later plan reads."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path.getParent(), True)
+
+
+#: Rows of a stored table of keys that are broadcast (about 100 bytes each), and rows of one whole number alone (16 bytes each).
+BROADCAST_ROWS, BROADCAST_NUMBERS = 400_000, 2_000_000
+#: Parts into which a row of the smaller side is copied where it is too large to be broadcast.
+SALTS = 16
+
+
+def joined(rows: DataFrame, few: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """``rows`` joined with ``few``, a stored table with one row per key: broadcast where its counted rows are few enough,
+    else by a shuffle in which each key of ``few`` stands once in each of SALTS parts, so that a key that many
+    ``rows`` hold is spread. The part of a row is that of its task's number, which is the same when the task runs
+    again."""
+    number = len(few.dtypes) == 1 and few.dtypes[0][1] in ("int", "bigint")
+    if few.count() <= (BROADCAST_NUMBERS if number else BROADCAST_ROWS):
+        return rows.join(F.broadcast(few), keys, how)
+    salted = rows.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    copies = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
 #: Stands for a null id inside Python functions, where a column of whole numbers with nulls would turn to floats.
@@ -93,7 +125,7 @@ def connected(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> Data
 
     Alternates the large-star and small-star steps of the map-reduce method for connected components:
     each step only aggregates and joins, its edges never outnumber the input's, and the number of rounds
-    grows with the logarithm of the longest path. Each round is written to the shared folder. Nodes
+    grows with the logarithm of the longest path. Each round is written to the shared folder, and the one before it deleted. Nodes
     without edges are their own component; edges of a node with itself and repeated edges count for nothing.
     """
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
@@ -104,7 +136,8 @@ def connected(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> Data
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         hang = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stored(hang.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        old, now = now, stored(hang.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        spent(old)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break

@@ -2,9 +2,9 @@
 
 Texts are equal when they agree after deleting every white-space character (space and U+0009 to U+000D).
 Three passes narrow the candidates: by normalised length, then by the hash of a normalised prefix, and
-only what still has company there is read in full and hashed. Grouping moves ids, lengths and hashes,
-never texts; counts are summed before they are shuffled, so a group of copies that holds a third of all
-rows is a few partial rows per task.
+only what still has company there is grouped by the hash of its whole content. Grouping moves ids, lengths and hashes,
+never texts; counts are summed before they are shuffled, and rows meet their group's few values by a broadcast of
+counted size or by salted keys, so a group of copies that holds a third of all rows is a few partial rows per task.
 """
 
 from __future__ import annotations
@@ -12,50 +12,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, WHITE, id_in, id_out, stored, text_or_empty
+from .common import BROADCAST_ROWS, NO_ID, WHITE, id_in, id_out, joined, spent, stored, text_or_empty
 
 
 def normalised(text: Column) -> Column:
     return F.translate(text, WHITE, "")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 256, digests: str = "survivors") -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 256, digests: str = "survivors", rank_col: str | None = None) -> DataFrame:
     """One row per input row: ``id, keep_id, group_size, kept, text_sha256``.
 
-    Of equal texts the row with the most code points in its original text stays, then the smallest id.
-    ``digests="survivors"`` hashes in full only the texts that share length and prefix hash with another
-    (``text_sha256`` is null for the rest, which are unique); ``"all"`` hashes every text, for callers
-    that need each digest anyway.
+    Of equal texts the row with the most code points in its original text stays, then the smallest ``rank_col`` (the
+    id if there is none), then the smallest id. ``digests="survivors"`` hashes in full only the texts that share length and prefix hash with another
+    (``text_sha256`` is null for the rest, which are unique); ``"all"`` also gives the digests of the unique ones, for
+    callers that need them. Groups are decided among the survivors either way.
 
     Defined cases: a null text counts as empty, empty and white-space-only texts are equal to each other;
-    repeated rows (same id) are separate rows of their group; a null id is kept as a value of its own and
+    very long texts are compared whole; rows that share an id, with equal or different texts, are separate rows of their groups (all rows with the
+    id of the one that stays are ``kept`` there); a null id is kept as a value of its own and
     loses ties to any id; an empty table gives an empty result; further columns are ignored.
     """
     text = text_or_empty(text_col)
     body = normalised(text)
-    id_ = id_in(id_col).alias("id")
-    full = F.sha2(F.encode(body, "UTF-8"), 256)
+    n, p = F.length(body).alias("n"), F.xxhash64(F.substring(body, 1, prefix)).alias("p")
 
-    # Pass 1 and 2: sizes of lengths, then of (length, prefix hash), both from one narrow scan.
-    scan = docs.select(
-        id_, F.length(body).alias("n"), F.xxhash64(F.substring(body, 1, prefix)).alias("p"), F.length(text).alias("points"),
-        (full if digests == "all" else F.lit(None).cast("string")).alias("sha"),
-    )
-    keys = stored(scan, "exact-keys")
-    shared_n = keys.groupBy("n").agg(F.count("*").alias("k")).where("k > 1").select("n")
-    shared_p = keys.join(shared_n, "n", "left_semi").groupBy("n", "p").agg(F.count("*").alias("k")).where("k > 1").select("n", "p")
-    flagged = keys.join(shared_p.withColumn("more", F.lit(True)), ["n", "p"], "left")
+    # Pass 1 and 2: lengths, then pairs of length and prefix hash, that more than one row has.
+    keys = stored(docs.select(n, p), "exact-keys")
+    shared_n = stored(keys.groupBy("n").agg(F.count("*").alias("k")).where("k > 1").select("n"), "exact-lengths")
+    shared = joined(keys, shared_n, ["n"], "left_semi").groupBy("n", "p").agg(F.count("*").alias("k")).where("k > 1")
+    shared = stored(shared.select("n", "p"), "exact-prefixes").withColumn("more", F.lit(1))
 
-    # Pass 3: the whole content of what is left.
-    left = flagged.where("more")
-    if digests != "all":
-        read = docs.select(id_, text.alias("body"))
-        left = left.drop("sha").join(read.join(left.select("id").distinct(), "id", "left_semi").select("id", F.sha2(F.encode(normalised(F.col("body")), "UTF-8"), 256).alias("sha")).distinct(), "id")
-    best = F.max_by("id", F.struct("points", (F.col("id") != NO_ID).alias("named"), F.bitwise_not("id").alias("first")))
-    groups = left.groupBy("n", "sha").agg(F.count("*").alias("size"), best.alias("keep")).where("size > 1")
-    grouped = left.join(groups, ["n", "sha"], "left").select("id", "sha", "size", "keep")
-    alone = flagged.where("more is null").select("id", "sha", F.lit(None).cast("long").alias("size"), F.lit(None).cast("long").alias("keep"))
-    rows = grouped.unionByName(alone)
+    # Pass 3: the whole content of what is left. Where the pairs are too many to be broadcast, texts are hashed in their scan, as
+    # moving them costs more.
+    scan = docs.select(id_in(id_col).alias("id"), id_in(rank_col or id_col).alias("rank"), n, p, F.length(text).alias("points"), body.alias("body"))
+    full = F.sha2(F.encode("body", "UTF-8"), 256)
+    if shared.count() <= BROADCAST_ROWS:
+        flagged = scan.join(F.broadcast(shared), ["n", "p"], "left")
+        flagged = flagged.withColumn("sha", full if digests == "all" else F.when(F.col("more").isNotNull(), full)).drop("body")
+    else:
+        flagged = joined(scan.withColumn("sha", full).drop("body"), shared, ["n", "p"])
+        flagged = flagged if digests == "all" else flagged.withColumn("sha", F.when(F.col("more").isNotNull(), F.col("sha")))
+    flagged = stored(flagged.select("id", "rank", "points", "n", "sha", "more"), "exact-rows")
+    spent(keys, shared_n)
+    best = F.max_by("id", F.struct("points", (F.col("rank") != NO_ID).alias("named"), F.bitwise_not("rank").alias("first"), F.bitwise_not("id").alias("then")))
+    groups = flagged.where("more is not null").groupBy("n", "sha").agg(F.count("*").alias("size"), best.alias("keep")).where("size > 1")
+    rows = joined(flagged, stored(groups, "exact-groups"), ["n", "sha"])
     keep = F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("keep"))
     out = rows.select(
         "id", keep.alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
