@@ -17,9 +17,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_dir, stored
+from .common import joined, new_dir, stored
 
 CRLF = "\r\n"
+#: Compressed bytes that one task reads of a large selection.
+TASK_BYTES = 256 << 20
 INDEX = "archive string, offset long, length long, url string, payload_digest string, record_id string, record_type string"
 
 
@@ -34,14 +36,17 @@ def _header(*fields: tuple[str, object]) -> Column:
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", dedupe_from: int = 1000, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """``(record_id, url, payload_digest, payload_bytes, record_type, refers_to, head, body)``, head and body the text of each
     record without the two line ends that close it. Of records with equal payloads of at least ``dedupe_from``
-    bytes the one with the largest id is the response, the others revisit it."""
+    bytes the one with the largest id is the response, the others revisit it. Several rows with that id and payload are
+    responses all, and so are all rows of a payload that only null ids have: a revisit needs a record to name."""
     body = F.coalesce(F.col(html_col), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), body.alias("body"), F.sha1(F.encode(body, "UTF-8")).alias("payload_digest"), F.octet_length(body).cast("long").alias("payload_bytes"))
-    keys = pages.select(F.col(id_col).cast("long").alias("id"), F.sha1(F.encode(body, "UTF-8")).alias("payload_digest"), F.octet_length(body).cast("long").alias("bytes"))
-    first = keys.where(F.col("bytes") >= dedupe_from).groupBy("payload_digest").agg(F.max("id").alias("refers_to"), F.count("*").alias("k")).where("k > 1").drop("k")
-    # The marks are ids only, of revisits only.
-    marks = keys.where(F.col("bytes") >= dedupe_from).join(first, "payload_digest").where("id <> refers_to").select("id", "refers_to").distinct()
-    rows = rows.join(marks, "id", "left").withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
+    digest, size = F.sha1(F.encode(body, "UTF-8")).alias("payload_digest"), F.octet_length(body).cast("long").alias("payload_bytes")
+    keys = pages.select(F.col(id_col).cast("long").alias("id"), digest, size)
+    first = keys.where(F.col("payload_bytes") >= dedupe_from).groupBy("payload_digest", "payload_bytes").agg(F.max("id").alias("top"), F.count("*").alias("k"))
+    # One row per shared payload; the rows meet it by digest and length, whatever their ids.
+    first = stored(first.where("k > 1 and top is not null").drop("k"), "warc-shared")
+    rows = joined(pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), body.alias("body"), digest, size), first, ["payload_digest", "payload_bytes"])
+    rows = rows.withColumn("refers_to", F.when(~F.col("id").eqNullSafe(F.col("top")), F.col("top"))).drop("top")
+    rows = rows.withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
     rows = rows.withColumn("record_id", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(">")))
     revisit = F.col("refers_to").isNotNull()
     content = F.when(revisit, F.lit("")).otherwise(F.col("body"))
@@ -66,8 +71,8 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = 256 << 20,
     """Writes the archives under ``path`` and returns their index, stored: INDEX.
 
     ``pages`` as in ``records``; an archive is closed when it holds ``archive_bytes``. Defined cases: null html is an
-    empty payload; a null URL is empty; rows with the same page id make records with the same name, read back
-    once each (of equal payloads one of them is the response); an empty table writes no archive and gives an
+    empty payload; a null URL is empty; rows with the same page id make records with the same name, each with its own payload, read back
+    once each; a null id makes a record without a name, which no other can revisit; very long payloads are one record; an empty table writes no archive and gives an
     empty index; other columns are ignored."""
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -99,9 +104,13 @@ def read_records(index: DataFrame, path: str, gap: int = 1 << 16, most: int = 8
     """Reads the records of ``index`` (any selection of its rows) back: ``(archive, offset, headers, payload)``.
 
     Ranges of an archive are sorted, and those closer than ``gap`` bytes are read in one request of at
-    most ``most`` bytes (a longer record is one request)."""
-    # Slices of an archive are tasks of their own, so a large archive is not one task.
-    wanted = index.select("archive", "offset", "length", F.floor(F.col("offset") / F.lit(most)).alias("slice"))
+    most ``most`` bytes (a longer record is one request). ``index`` is read twice."""
+    # Slices of an archive are groups of their own, so a large archive is not one task. The tasks are counted by the bytes to be
+    # read: the index rows that are shuffled are too small to tell how many are needed.
+    spark = index.sparkSession
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(1, min(-(-total // most), max(4 * spark.sparkContext.defaultParallelism, -(-total // TASK_BYTES))))
+    wanted = index.select("archive", "offset", "length", F.floor(F.col("offset") / F.lit(most)).alias("slice")).repartition(tasks, "archive", "slice")
 
     def fetch(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         store, top = open_store(path)
@@ -134,7 +143,7 @@ def read_records(index: DataFrame, path: str, gap: int = 1 << 16, most: int = 8
 def round_trip(pages: DataFrame, **options) -> DataFrame:
     """Writes all pages as archives in the shared folder and tells what is read back from them, per record:
     ``id, payload_bytes, payload_digest, record_type, refers_to``. The digest and the length of a response are those
-    of the payload read; a revisit has those of its header, which the record it revisits must confirm."""
+    of the payload read; a revisit, which holds no payload, has those of its own header, counted when it was written."""
     path = new_dir(pages.sparkSession, "warc")
     back = read_records(write_archives(pages, path, **options), path)
     of = lambda name: F.regexp_extract(F.col("headers")[name], r"<urn:page:(-?\d+)>", 1).try_cast("long")
