@@ -3,7 +3,8 @@
 The file's vocabulary is run through tiktoken, whose merges go by the id of the merged token. For vocabularies
 whose ids follow the order of their merges, which is checked when the file is loaded, the ids are those of the
 ``tokenizers`` library, at about four times its speed; ``tests/llm/test_packing.py`` compares the two
-on texts with every kind of white space. Spans come from the lengths of the tokens' bytes, as both libraries count them.
+on texts with every kind of white space and with the file's added tokens, which both libraries cut out of a text before anything
+else. Spans come from the lengths of the tokens' bytes, as both count them.
 """
 
 from __future__ import annotations
@@ -35,17 +36,19 @@ def load(path: str):
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        special = {t["content"] for t in spec.get("added_tokens", [])}
+        added = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
+        if any(t.get(flag) for t in spec.get("added_tokens") or [] for flag in ("lstrip", "rstrip", "single_word")) or any(a != b and a.startswith(b) for a in added for b in added):
+            raise ValueError(f"{path}: added tokens must stand as they are, and none may begin another")
         byte, vocab = _byte_of(), spec["model"]["vocab"]
-        ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if t not in special}
+        ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if t not in added}
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         made = [vocab[a + b] for a, b in pairs]
         if spec["model"]["type"] != "BPE" or spec["pre_tokenizer"]["type"] != "ByteLevel" or any(b <= a for a, b in zip(made, made[1:])):
             raise ValueError(f"{path}: a byte-level BPE whose ids follow its merges is needed")
-        size = np.zeros(max(ranks.values()) + 1, np.int64)
-        for t, i in ranks.items():
+        size = np.zeros(max([*ranks.values(), *added.values()]) + 1, np.int64)
+        for t, i in [*ranks.items(), *((t.encode(), i) for t, i in added.items())]:
             size[i] = len(t)
-        _LOADED[path] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), size
+        _LOADED[path] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added), size
     return _LOADED[path]
 
 
@@ -63,7 +66,7 @@ class Encoded:
 def encode(texts: Sequence[str | None], path: str, spans: bool = False) -> Encoded:
     enc, size = load(path)
     clean = [(t or "").encode("utf-8", "replace").decode() for t in texts]
-    own = [np.array(enc.encode_ordinary(t), np.int64) for t in clean]
+    own = [np.array(enc.encode(t, allowed_special="all"), np.int64) for t in clean]
     bounds = np.concatenate([[0], np.cumsum([len(x) for x in own], dtype=np.int64)]).astype(np.int64)
     out = Encoded(np.concatenate([np.empty(0, np.int64), *own]), bounds)
     if spans:

@@ -11,7 +11,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 def brute(text, rule):
     """Each token is given to its line by its own characters, one by one."""
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     _, ends = tokens.line_sections(text)
     out = [0.0] * len(ends)
     of = lambda c: next(i for i, e in enumerate(ends) if c < e)
