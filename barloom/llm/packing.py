@@ -3,8 +3,8 @@
 Pieces go to groups of bounded size by a hash of their identity and, where rows are equal, of a number within
 them, so no key, however frequent, makes a group large. A group is packed by best fit on falling lengths; the local search then moves, exchanges
 one for one and two for one between underfull sequences whenever that raises the sum of squared fills, until
-sequences become empty. What a group leaves in sequences that are not nearly full is packed again together
-with the other groups' remains, in groups of the same bounded size.
+sequences become empty. What groups leave in sequences that are not nearly full is packed again together, in groups of
+the same bounded size, until one group holds it or it becomes no fewer sequences.
 """
 
 from __future__ import annotations
@@ -67,60 +67,91 @@ def best_fit(lengths: np.ndarray, most: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, most: int, rounds: int = 4) -> list[list[int]]:
-    """Empties bins: takes the emptiest one and passes its pieces to fuller underfull bins, moving a piece
-    that fits, or exchanging one or two of its pieces for one smaller piece there, so that the sum of squared
-    fills rises with each step. Ends when the bins are as few as their contents allow, or none can be emptied."""
+class Places:
+    """The underfull bins by what they can take: ``mask[room]`` has bit y set where some bin with that room holds a piece of
+    length y to give back, and bit 0 for a bin that need give none. Entries whose bin has changed since are dropped when met."""
+
+    def __init__(self, count: int) -> None:
+        self.mask: dict[int, int] = {}
+        self.held: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+        self.version = [0] * count
+
+    def put(self, k: int, room: int, pieces: list[int], size: list[int]) -> None:
+        self.version[k] += 1
+        if room > 0:
+            for i, y in [(-1, 0), *((i, size[i]) for i in pieces)]:
+                self.held.setdefault((room, y), []).append((k, self.version[k], i))
+                self.mask[room] = self.mask.get(room, 0) | 1 << y
+
+    def take(self, k: int) -> None:
+        self.version[k] += 1
+
+    def best(self, n: int, most_room: int, above: int) -> tuple[int, int, int]:
+        """(gain, bin, piece to give back or -1) of the largest gain over ``above`` of putting ``n`` tokens into a bin of at most
+        ``most_room``; gain ``above`` where there is none."""
+        out = (above, -1, -1)
+        for room in list(self.mask):
+            if room > most_room or min(room, n) <= out[0]:
+                continue
+            low = max(0, n - room)
+            while fits := self.mask[room] >> low:
+                y = low + (fits & -fits).bit_length() - 1
+                if n - y <= out[0]:
+                    break
+                own = self.held[room, y]
+                while own and self.version[own[-1][0]] != own[-1][1]:
+                    own.pop()
+                if own:
+                    out = (n - y, own[-1][0], own[-1][2])
+                    break
+                self.mask[room] &= ~(1 << y)
+        return out
+
+
+def local_search(bins: list[list[int]], lengths: np.ndarray, most: int) -> list[list[int]]:
+    """Empties bins: takes the emptiest one and passes its pieces to fuller underfull bins, moving a piece or two
+    that fit, or exchanging one or two of its pieces for one smaller piece there, the exchange that fills most first, so that the sum of squared
+    fills rises with each step. Ends when the bins are as few as their contents allow, or a round over all bins empties none."""
     size = [int(x) for x in lengths]
+    bins = [list(b) for b in bins if b]
     fill = [sum(size[i] for i in b) for b in bins]
-    least = -(-sum(fill) // most)
-    live = sum(1 for b in bins if b)
-    for _ in range(rounds):
-        changed = False
+    least, live = -(-sum(fill) // most), len(bins)
+    places = Places(len(bins))
+    for k, b in enumerate(bins):
+        places.put(k, most - fill[k], b, size)
+    before = live + 1
+    while before > live > least:
+        before = live
         for src in sorted((k for k in range(len(bins)) if bins[k] and fill[k] < most), key=lambda k: fill[k]):
-            if live <= least:
-                return [b for b in bins if b]
-            if not bins[src]:
-                continue
-            targets = sorted((k for k in range(len(bins)) if k != src and bins[k] and fill[k] < most and fill[k] >= fill[src]), key=lambda k: -fill[k])[:400]
-            progress = True
-            while progress and bins[src]:
-                progress = False
+            places.take(src)
+            while bins[src] and live > least:
                 own = sorted(bins[src], key=lambda i: -size[i])
-                for t in targets:
-                    room = most - fill[t]
-                    if not room:
-                        continue
-                    give: tuple[list[int], list[int]] | None = None
-                    one = next((i for i in own if size[i] <= room), None)
-                    if one is not None:
-                        give = ([one], [])
-                    else:
-                        gain = 0
-                        for back in bins[t]:
-                            limit = room + size[back]
-                            for i in own:
-                                if gain < size[i] - size[back] <= room:
-                                    gain, give = size[i] - size[back], ([i], [back])
-                            for x in range(len(own)):
-                                for y in range(x + 1, len(own)):
-                                    two = size[own[x]] + size[own[y]]
-                                    if two <= limit and two - size[back] > gain:
-                                        gain, give = two - size[back], ([own[x], own[y]], [back])
-                    if give:
-                        out, back_ = give
-                        moved = sum(size[i] for i in out) - sum(size[i] for i in back_)
-                        bins[src] = [i for i in bins[src] if i not in out] + back_
-                        bins[t] = [i for i in bins[t] if i not in back_] + out
-                        fill[src] -= moved
-                        fill[t] += moved
-                        own = sorted(bins[src], key=lambda i: -size[i])
-                        progress = changed = True
-                        if not own:
-                            live -= 1
-                            break
-        if not changed:
-            break
+                gain, t, back, out = 0, -1, -1, ()
+                tried = set()
+                for x, i in enumerate(own):
+                    for give in ((i,), *((i, j) for j in own[x + 1 :])):
+                        n = sum(size[g] for g in give)
+                        if n <= most and n not in tried:
+                            tried.add(n)
+                            got = places.best(n, most - fill[src], gain)
+                            if got[0] > gain:
+                                (gain, t, back), out = got, give
+                if t < 0:
+                    break
+                for i in out:
+                    bins[src].remove(i)
+                    bins[t].append(i)
+                if back >= 0:
+                    bins[t].remove(back)
+                    bins[src].append(back)
+                fill[src] -= gain
+                fill[t] += gain
+                places.put(t, most - fill[t], bins[t], size)
+                live -= not bins[src]
+            if live <= least:
+                break
+            if bins[src]:
+                places.put(src, most - fill[src], bins[src], size)
     return [b for b in bins if b]
 
 
@@ -136,9 +167,10 @@ def dealt(rows: DataFrame, level: int, group: int) -> DataFrame:
 
 
 def pack_pieces(pieces: DataFrame, most: int = 1024, group: int = 16384, good: float = 0.995) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` (gapless from 0) to ``pieces`` (stored; see ``token_pieces``)."""
+    """Adds ``sequence_id`` and ``offset`` (gapless from 0) to ``pieces`` (stored; see ``token_pieces``). What lies in sequences
+    less than ``good`` full is dealt and packed again, as long as it fills several groups and becomes fewer sequences."""
     base = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    schema = pieces.select("doc_id", "piece", "start", "length", "ids_crc32").schema.simpleString()[7:-1].replace(":", " ") + ", sequence_id long, offset long, fill long"
+    schema = pieces.select(base).schema.simpleString()[7:-1].replace(":", " ") + ", sequence_id long, offset long, fill long"
 
     def packer(level: int):
         def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
@@ -147,14 +179,13 @@ def pack_pieces(pieces: DataFrame, most: int = 1024, group: int = 16384, good: f
             bins = local_search(best_fit(lengths, most), lengths, most)
             at = np.concatenate([np.array(b, np.int64) for b in bins])
             n = np.array([len(b) for b in bins])
-            if len(bins) >= 1 << 16:
-                raise ValueError(f"{len(bins)} sequences in one group: more than their numbers have room for")
             f = f.iloc[at].drop(columns=["g"]).reset_index(drop=True)
             of = np.repeat(np.arange(len(bins)), n)
             run_ = np.cumsum(f["length"].to_numpy()) - f["length"].to_numpy()
             fills = np.bincount(of, weights=f["length"]).astype(np.int64)
             starts = np.cumsum(fills) - fills
-            f["sequence_id"] = ((level << 54) + (int(key[0]) << 16) + of).astype(np.int64)
+            # Groups have about `group` pieces, so their sequences never come near 2^24; there are fewer than 2^32 groups.
+            f["sequence_id"] = ((level << 56) + (int(key[0]) << 24) + of).astype(np.int64)
             f["offset"], f["fill"] = run_ - starts[of], fills[of]
             return f
 
@@ -165,16 +196,31 @@ def pack_pieces(pieces: DataFrame, most: int = 1024, group: int = 16384, good: f
         # Groups are dealt by number, several to a task; a group has about `group` pieces at every size.
         return stored(rows.groupBy("g").applyInPandas(packer(level), schema), f"packed{level}")
 
-    first = packed(pieces, 0)
-    again = packed(first.where(F.col("fill") < int(good * most)).select(base), 1)
-    return first.where(F.col("fill") >= int(good * most)).unionByName(again).select(*base, "sequence_id", "offset", "fill")
+    def poor(df: DataFrame) -> DataFrame:
+        return df.where(F.col("fill") < int(good * most))
+
+    out, now, level = [], packed(pieces, 0), 0
+    while True:
+        # Offset 0 stands once in each sequence.
+        rows, bins = poor(now).agg(F.count("*"), F.sum((F.col("offset") == 0).cast("long"))).first()
+        if level and (few or bins >= 0.9 * last):
+            break
+        few, last = rows <= group, bins or 0
+        if not rows:
+            break
+        out.append(now.where(F.col("fill") >= int(good * most)))
+        level += 1
+        now = packed(poor(now).select(base), level)
+    for df in out:
+        now = now.unionByName(df)
+    return now.select(*base, "sequence_id", "offset", "fill")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, most: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All documents in as few sequences of at most ``most`` tokens as the search finds: ``doc_id, piece, start,
     length, ids_crc32, sequence_id, offset, fill``.
 
-    Defined cases: null and empty texts are one piece of one token (the end id); repeated rows are packed
-    once each (with equal doc_id and piece); a null id is packed with a null id; an empty table gives an empty
+    Defined cases: null and empty texts are one piece of one token (the end id); very long texts are encoded whole and cut into pieces; repeated rows are packed
+    once each (with equal doc_id and piece), rows that share an id with their own pieces each; of bins that would fill equally, any may be taken; a null id is packed with a null id; an empty table gives an empty
     result; other columns are ignored, whatever their names."""
     return id_out(pack_pieces(stored(token_pieces(docs, tokenizer, most, end_id, id_col, text_col), "pieces"), most), "doc_id")

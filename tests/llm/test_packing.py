@@ -14,15 +14,13 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def tok():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def test_ids_and_spans_equal_the_library(tok, spark, sf):
     rng = random.Random(3)
     pieces = list(" \t\n\r\x0b\x0c\x1c\x1f\x85\xa0​  ab'sllveé日ñ1٣!?.<|endoftext|>😀́")
-    texts = ["".join(rng.choices(pieces, k=rng.randint(0, 40))) for _ in range(3000)] + ["x<|endoftext|> y", "", "a" * 5000]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(0, 40))) for _ in range(3000)] + ["x<|endoftext|> y", "<|endoftext|>hi", "hi  <|endoftext|>", "<|endoftext|><|endoftext|> é", "<|endoftext|", "", "a" * 5000]
     texts += [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
     e = encode([*texts, None], PATH, spans=True)
     for i, y in enumerate(tok.encode_batch([*texts, ""], add_special_tokens=False)):
