@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, connected, stored
+from .common import NO_ID, batches, connected, id_in, joined, spent, stored
 
 BITS = 64
 #: Fingerprints that one shard indexes (about 10 MB of them), and queries that one task takes to it. The fewer the
@@ -357,17 +357,17 @@ def close_pairs(ids: np.ndarray, fp: np.ndarray, radius: int) -> list[tuple[int,
 
 
 def band_links(points: DataFrame, radius: int, block: int = 1 << 14, shard: int = SHARD) -> DataFrame:
-    """Links ``(a, b)`` between the ids of ``points(id, fp2, keys)`` that share a key and whose fingerprints differ in at most
-    ``radius`` bits: a spanning forest per task. Keys held once are dropped first; small buckets are dealt together, and
-    of a bucket of more than ``block`` each two blocks meet in a task of their own."""
+    """Candidate links ``(a, b)`` between the ids of ``points(id, fp2, keys)`` that share a key and whose fingerprints differ in at most
+    ``radius`` bits: a spanning forest per bucket. Keys held once are dropped first, and small buckets are dealt together. All
+    members of a bucket of more than ``block`` are linked with its smallest id, whatever their fingerprints: as candidates
+    are decided later, that only adds some, and no two parts of a bucket need to meet."""
     rows = points.select("id", "fp2", F.explode("keys").alias("key"))
-    sizes = stored(rows.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"), "buckets")
-    n = sizes.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
-    sizes = sizes.select("key", F.ceil(F.col("k") / F.lit(block)).cast("int").alias("blocks"))
-    rows = rows.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).withColumn("cut", F.col("blocks") > 1)
-    rows = rows.withColumn("g", F.when(F.col("cut"), F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(max(1, -(-n // shard))))))
+    sizes = stored(rows.groupBy("key").agg(F.count("*").alias("k"), F.min("id").alias("first")).where("k > 1"), "buckets")
+    few = sizes.where(F.col("k") <= block)
+    n = few.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
+    rows = joined(rows, stored(sizes.where(F.col("k") > block).select("key", "first"), "large-buckets"), ["key"])
+    stars = rows.where("first <> id").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    rows = rows.where("first is null").drop("first").join(few.select("key"), "key").withColumn("g", F.pmod(F.xxhash64("key"), F.lit(max(1, -(-n // shard)))))
 
     def search(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["key", "id"])
@@ -379,22 +379,22 @@ def band_links(points: DataFrame, radius: int, block: int = 1 << 14, shard: int
                 out.update(close_pairs(ids[a:b], fp[a:b], radius))
         return pd.DataFrame(np.array(sorted(out), np.int64).reshape(-1, 2), columns=["a", "b"])
 
-    return rows.select("cut", "g", "i", "j", "key", "id", "fp2").groupBy("cut", "g", "i", "j").applyInPandas(search, "a long, b long").distinct()
+    return rows.groupBy("g").applyInPandas(search, "a long, b long").unionByName(stars).distinct()
 
 
 # --- Verification by shingles -----------------------------------------------------------------------
 
 
-def similar_links(ids: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], radius: int, least: float) -> list[tuple[int, int]]:
-    """A spanning forest of the links among a few documents: fingerprints within the radius, and a Jaccard
-    similarity of the sets of at least ``least``, from exact counts."""
+def similar_links(ids: np.ndarray, sets: list[np.ndarray], least: float, known: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links among a few documents: a Jaccard similarity of the sets of at least ``least``, from
+    exact counts. Documents with equal ``known`` are linked already."""
     size = np.array([len(x) for x in sets])
     flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
     first, mark = np.cumsum(size) - size, np.zeros(len(flat) + 1, np.int64)
-    group, out = np.arange(len(ids)), []
+    group, out = np.arange(len(ids)) if known is None else np.unique(known, return_inverse=True)[1], []
     for a in range(len(ids) - 1):
         # What is linked already needs no other link.
-        b = a + 1 + np.flatnonzero((np.bitwise_count(fp[a + 1 :] ^ fp[a]) <= radius) & (group[a + 1 :] != group[a]))
+        b = a + 1 + np.flatnonzero(group[a + 1 :] != group[a])
         b = b[(np.minimum(size[b], size[a]) >= least * np.maximum(size[b], size[a])) & (size[b] > 0)]
         if not len(b) or not size[a]:
             continue
@@ -411,25 +411,64 @@ def similar_links(ids: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], radiu
     return out
 
 
-def verified_links(points: DataFrame, radius: int, least: float, block: int = 1500) -> DataFrame:
-    """Links ``(a, b)`` within candidate groups: ``points(id, component, fp, sh)`` to a spanning forest per task. Small groups
-    are dealt together; a group of more than ``block`` is cut into blocks, and each two of its blocks meet in
-    a task of their own, so no task holds more than two blocks, and no link within the group is missed."""
-    n = points.count()
-    sizes = stored(points.groupBy("component").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks")), "groups")
-    rows = points.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    rows = rows.withColumn("g", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(max(1, -(-n // block))))).otherwise(F.col("component")))
-    rows = rows.withColumn("cut", F.col("blocks") > 1)
+def _dealt(rows: DataFrame, verify, keys: list[str]) -> DataFrame:
+    return rows.groupBy(*keys).applyInPandas(verify, "a long, b long").distinct()
+
+
+def verified_links(points: DataFrame, least: float, block: int = 1500, weight: int = 2_000_000) -> DataFrame:
+    """Links ``(a, b)`` within candidate groups: ``points(id, component, sh)``, stored, to spanning forests. A task holds
+    about ``block`` documents and ``weight`` shingles, or twice that.
+
+    Small groups are dealt together. A larger group is cut into blocks. First each block is searched together with the group's
+    smallest id, which links the parts of a group of real copies. Then only what is outside the group's largest class meets all its
+    blocks: each of these documents with every document of another class, so no link between two classes is missed. The cost
+    beyond one pass is that of the outsiders times the group; it is that of all pairs of blocks only for a large group
+    without a large class."""
+    size = F.size("sh")
+    n, total = points.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    tasks = max(1, -(-n // block), -(-total // weight))
+    cuts = F.greatest(F.ceil(F.count("*") / F.lit(block)), F.ceil(F.sum(size) / F.lit(weight))).cast("int")
+    large = points.groupBy("component").agg(cuts.alias("blocks"), F.min("id").alias("first")).where("blocks > 1")
+    large = stored(large, "large-groups")
+    rows = joined(points, large, ["component"])
+    small = rows.where("blocks is null").select("component", "id", "sh").withColumn("g", F.pmod(F.xxhash64("component"), F.lit(tasks)))
 
     def verify(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int]] = []
         for _, own in f.sort_values(["component", "id"]).groupby("component", sort=False):
-            out += similar_links(own["id"].to_numpy(), own["fp"].to_numpy(np.int64).view(np.uint64), list(own["sh"]), radius, least)
+            out += similar_links(own["id"].to_numpy(), list(own["sh"]), least)
         return pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["a", "b"])
 
-    return rows.select("cut", "g", "i", "j", "component", "id", "fp", "sh").groupBy("cut", "g", "i", "j").applyInPandas(verify, "a long, b long").distinct()
+    links = _dealt(small, verify, ["g"])
+    if large.isEmpty():
+        return links
+    own = rows.where("blocks is not null").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
+    heads = own.where("id = first").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cols = ["component", "block", "id", "sh"]
+    first = own.where("id <> first").select(cols).unionByName(heads.select(cols))
+    links = stored(links.unionByName(_dealt(first, verify, ["component", "block"])), "links")
+
+    # Classes so far within the large groups, and what lies outside the largest class of each.
+    members = stored(own.select("component", "id", "blocks"), "members")
+    classes = connected(members.select("id"), links.join(members.select(F.col("id").alias("a")), "a", "left_semi").select("a", "b"))
+    classes = stored(members.join(classes.select("id", F.col("component").alias("class")), "id"), "classes")
+    sizes = classes.groupBy("component", "class").agg(F.count("*").alias("k"))
+    main = stored(sizes.groupBy("component").agg(F.max_by("class", F.struct("k", "class")).alias("main"), F.sum("k").alias("n"), F.max("k").alias("most")).where("n > most"), "main-classes")
+    if main.isEmpty():
+        return links
+    main = main.withColumn("askers", F.ceil((F.col("n") - F.col("most")) / F.lit(block)).cast("int"))
+    left = joined(classes, main.select("component", "main", "askers"), ["component"]).where("main is not null").join(points.select("id", "sh"), "id")
+    left = left.withColumn("i", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("askers").cast("long")).cast("int")).withColumn("j", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
+    cols = ["component", "i", "j", "id", "class", "sh"]
+    asked = left.where("class <> main").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(cols)
+    met = left.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("askers") - 1))).select(cols)
+
+    def across(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        f = f.drop_duplicates("id").sort_values("id")
+        out = similar_links(f["id"].to_numpy(), list(f["sh"]), least, f["class"].to_numpy())
+        return pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["a", "b"])
+
+    return links.unionByName(_dealt(asked.unionByName(met), across, ["component", "i", "j"]))
 
 
 # --- Operators --------------------------------------------------------------------------------------
@@ -438,49 +477,74 @@ def verified_links(points: DataFrame, radius: int, least: float, block: int = 15
 def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
     """``(id, fp, component)`` per row: the smallest id reachable over links of at most ``radius`` bits.
 
-    Documents with the same fingerprint are linked through one representative. Null, empty and white-space
-    texts have fingerprint zero and are linked like any other; rows with a null id are left out, since a
-    class is named by an id; repeated rows share their class; an empty table gives an empty result."""
-    fps = stored(fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle), "fingerprints")
-    same = fps.groupBy("fp").agg(F.min("id").alias("first"))
-    points = stored(same.select(F.col("first").alias("id"), "fp"), "points")
-    labels = connected(points.select("id"), near_links(points, radius))
-    named = points.join(labels, "id").select("fp", "component")
-    return fps.join(named, "fp").select("id", "fp", "component")
+    The nodes are the distinct fingerprints, so rows of one fingerprint are linked whatever their ids.
+    Null, empty and white-space
+    texts have fingerprint zero and are linked like any other; very long texts are read whole; rows that share an id are rows of their own, each in the
+    class of its text; a row with a null id belongs to the class of its fingerprint too, but gives it no name (a class of null
+    ids alone has a null one); an empty table gives an empty result; other columns are ignored."""
+    fps = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    points = stored(fps.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("k")), "points")
+    nodes = points.select(F.col("fp").alias("id"), "fp")
+    links = stored(near_links(nodes, radius), "links")
+    touched = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
+    labels = connected(touched, links).join(points.select(F.col("fp").alias("id"), "first"), "id")
+    names = labels.groupBy("component").agg(F.min("first").alias("least"))
+    linked = stored(labels.join(names, "component").select(F.col("id").alias("fp"), "least"), "linked")
+    # A row whose fingerprint no other row has or is linked with is its own class.
+    shared = points.where("k > 1").select("fp", "first").join(linked, "fp", "full").select("fp", F.coalesce("least", "first").alias("least"), F.lit(True).alias("some"))
+    return joined(fps, stored(shared, "shared"), ["fp"]).select("id", "fp", F.when(F.col("some"), F.col("least")).otherwise(F.col("id")).alias("component"))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, min_jaccard: float = 0.8, radius: int = 10, radius2: int = 18, band_radius: int = 26) -> DataFrame:
-    """``(id, component)`` per row for linked documents: a Jaccard similarity of the distinct ``shingle``-word
-    shingles of at least ``min_jaccard``.
+    """``(id, component)`` per row for rows linked with another: a Jaccard similarity of the distinct ``shingle``-word
+    shingles of at least ``min_jaccard``; ``component`` is the smallest id of the class.
 
-    Candidates are found in two ways and united. The fingerprint of the distinct words is probed within ``radius``
+    The nodes are the distinct sets of shingles, so equal texts are one node whatever their number. Candidates are found in two
+    ways and united. The fingerprint of the distinct words is probed within ``radius``
     bits and verified on that of the distinct shingles (``radius2``): this finds scattered edits of single words, not
     every passage added or cut, which moves the words' fingerprint by more. So texts that share a band of
     minima of their shingles are candidates too, whatever form their difference has, if the fingerprints of the
     shingles lie within ``band_radius`` bits (at similarity 0.8 the distance is 9.7 bits with deviation 2.9; of texts
-    of five shingles 12 with 3.1). All are decided on the shingles alone. Texts without words are never near copies of anything. Rows with a
-    null id are left out; ids should be distinct (of repeated rows of one id, any text counts)."""
-    docs = docs.where(F.col(id_col).isNotNull())
+    of five shingles 12 with 3.1). All are decided on the shingles alone. A node is named by a 64-bit hash of its set.
+
+    Defined cases: null and empty texts, and texts without words, are never near copies of anything; very long texts are read
+    whole; rows that share an id are rows of their own, each in the class of its text; a null id is a row like others, but names no class (a class of null ids alone has
+    the name null); an empty table gives an empty result; other columns are ignored."""
 
     def prints(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in batches(frames, "text"):
-            word = [signed(fingerprint(np.unique(shingle_hashes(t, 1)))) for t in f["text"]]
             sets = [np.unique(shingle_hashes(t, shingle)) for t in f["text"]]
-            two = [signed(fingerprint(x)) for x in sets]
-            yield pd.DataFrame({"id": f["id"], "fp": np.array(word, np.int64), "fp2": np.array(two, np.int64), "keys": [bands(x) if len(x) else None for x in sets]})
-
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    fps = stored(rows.mapInPandas(prints, "id long, fp long, fp2 long, keys array<long>").where("keys is not null").dropDuplicates(["id"]), "fingerprints")
-    # Candidate groups: documents without any candidate are out, the others meet only within their group.
-    links = near_links(fps, radius, radius2).unionByName(band_links(fps, band_radius))
-    groups = stored(connected(fps.select("id"), links), "candidates")
-    some = groups.groupBy("component").agg(F.count("*").alias("k")).where("k > 1").select("component")
-    groups = stored(groups.join(some, "component", "left_semi").join(fps.select("id", "fp"), "id"), "candidate-groups")
-    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(groups.select("id"), "id", "left_semi")
+            some = [i for i, x in enumerate(sets) if len(x)]
+            text, sets = f["text"].to_numpy(), [sets[i] for i in some]
+            yield pd.DataFrame({
+                "id": f["id"].to_numpy()[some], "node": np.array([signed(xxhash.xxh64_intdigest(x.tobytes(), 7)) for x in sets], np.int64),
+                "fp": np.array([signed(fingerprint(np.unique(shingle_hashes(text[i], 1)))) for i in some], np.int64),
+                "fp2": np.array([signed(fingerprint(x)) for x in sets], np.int64), "keys": pd.Series([bands(x) for x in sets], dtype=object),
+            })
+
+    rows = docs.select(id_in(id_col).alias("id"), F.col(text_col).alias("text"))
+    fps = stored(rows.mapInPandas(prints, "id long, node long, fp long, fp2 long, keys array<long>"), "fingerprints")
+    nodes = fps.groupBy(F.col("node").alias("id")).agg(F.min("fp").alias("fp"), F.min("fp2").alias("fp2"), F.first("keys").alias("keys"), F.max("id").alias("row"), F.count("*").alias("k"))
+    nodes = stored(nodes, "nodes")
+    # Candidate groups: nodes without any candidate are out, the others meet only within their group.
+    links = stored(near_links(nodes.select("id", "fp", "fp2"), radius, radius2).unionByName(band_links(nodes, band_radius)), "candidates")
+    touched = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct()
+    groups = stored(connected(touched, links), "candidate-groups")
+    read = stored(nodes.join(groups, "id").select(F.col("row").alias("id")).distinct(), "candidate-rows")
 
     def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in batches(frames, "text"):
-            yield pd.DataFrame({"id": f["id"], "sh": [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in f["text"]]})
-
-    points = stored(text.mapInPandas(sets, "id long, sh array<long>").dropDuplicates(["id"]).join(groups, "id"), "points")
-    return connected(points.select("id"), verified_links(points, BITS, min_jaccard))
+            own = [np.unique(shingle_hashes(t, shingle)) for t in f["text"]]
+            yield pd.DataFrame({"id": np.array([signed(xxhash.xxh64_intdigest(x.tobytes(), 7)) for x in own], np.int64), "sh": [x.view(np.int64) for x in own]})
+
+    found = joined(rows, read, ["id"], "left_semi").mapInPandas(sets, "id long, sh array<long>").dropDuplicates(["id"])
+    points = stored(found.join(groups, "id"), "points")
+    sure = stored(verified_links(points, min_jaccard), "links")
+    touched = sure.select(F.col("a").alias("id")).unionByName(sure.select(F.col("b").alias("id"))).distinct()
+    labels = stored(connected(touched, sure).withColumnRenamed("id", "node").withColumnRenamed("component", "class"), "labels")
+    some = nodes.where("k > 1").select(F.col("id").alias("node")).join(labels, "node", "full").select("node", F.coalesce("class", "node").alias("class"))
+    out = joined(fps.select("id", "node"), stored(some, "classes"), ["node"]).where("class is not null")
+    names = out.groupBy("class").agg(F.min(F.when(F.col("id") != NO_ID, F.col("id"))).alias("component"))
+    out = stored(out.select("id", "class"), "rows")
+    spent(points, read)
+    return joined(out, stored(names, "names"), ["class"]).select(F.when(F.col("id") != NO_ID, F.col("id")).alias("id"), "component")
