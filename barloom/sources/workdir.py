@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def new_dir(spark: SparkSession, what: str) -> str:
-    """A fresh path under ``spark.checkpoint.dir``; only a session without one (as in tests) gets a temporary folder."""
+    """A fresh path under ``spark.checkpoint.dir``; only a session on one machine (a local master, as in tests) may do
+    without one and gets a temporary folder."""
     top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="spark-barloom-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/barloom-{uuid.uuid4().hex[:12]}/{what}"
