@@ -43,13 +43,16 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language of each document, from its text and its source."""
-    docs = table(spark, sf_dir, "documents")
-    return langid.identify(langid.document_evidence(docs), langid.fit(docs)).withColumnRenamed("id", "doc_id")
+    """Language of each page, from its text, declared language, address suffix, domain and host, and of each document, from
+    its text and source; fitted on labelled documents. A row has ``page_id`` or ``doc_id``."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    rows = langid.page_evidence(pages).withColumn("page", F.lit(True)).unionByName(langid.document_evidence(docs).withColumn("page", F.lit(False)))
+    out = langid.identify(rows, langid.fit(docs), carry=("page",))
+    return out.select(F.when(~F.col("page"), F.col("id")).alias("doc_id"), F.when(F.col("page"), F.col("id")).alias("page_id"), "language", "probability", "text_language", "kept")
 
 
 def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language of each page, from its text, markup, address suffix and host; fitted on the documents."""
+    """Language of each page, weighed among pages alone; fitted on the documents."""
     model = langid.fit(table(spark, sf_dir, "documents"))
     return langid.identify(langid.page_evidence(table(spark, sf_dir, "pages")), model).withColumnRenamed("id", "page_id")
 
