@@ -57,6 +57,12 @@ def spent(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path.getParent(), True)
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """Adds a number of its own to each row, whatever ids the rows have. ``docs`` must be read from files: their splits, and so the
+    numbers, are the same in every plan of a session and when a task runs again."""
+    return docs.withColumn(name, F.monotonically_increasing_id())
+
+
 #: Rows of a stored table of keys that are broadcast (about 100 bytes each), and rows of one whole number alone (16 bytes each).
 BROADCAST_ROWS, BROADCAST_NUMBERS = 400_000, 2_000_000
 #: Parts into which a row of the smaller side is copied where it is too large to be broadcast.

@@ -44,10 +44,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     consecutive tokens differ in at most ``differ`` places: the most such equal tokens on one alignment, and
     the most tokens that one alignment compares.
 
-    Defined cases: null and empty texts match nothing; items of fewer than ``window`` tokens are too short to
-    be evidence and match nothing; repeated documents and items give one row per distinct pair; null ids
-    are values like others; an empty table on either side gives an empty result; other columns are ignored.
+    Defined cases: null and empty texts match nothing; very long texts are read whole; items of fewer than ``window`` tokens are too short to
+    be evidence and match nothing; repeated documents and items give one row per distinct pair, and of rows that share an id each
+    counts; of alignments that match equally well any may be told, as their figures are the same; null ids
+    are values like others; an empty table on either side gives an empty result; other columns are ignored. The masks lose nothing for windows of 13 or more
+    tokens with at most two differences; other values are refused.
     """
+    if window < 13 or differ > 2:
+        raise ValueError("the masks cover windows of 13 tokens or more with at most two differences")
     items = benchmark.select(F.col(item_col).alias("item_id"), token_hashes(text_or_empty(item_text)).alias("it")).where(F.size("it") >= window)
     rows = docs.select(F.col(id_col).alias("id"), token_hashes(text_or_empty(text_col)).alias("h"))
     items = items.withColumn("item", F.xxhash64("item_id", "it"))  # names an item by what it holds
@@ -73,12 +77,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     facing = F.zip_with(F.slice("it", a + 1, n), F.slice("h", a + F.col("shift") + 1, n), lambda x, y: (x == y).cast("int"))
 
     def verdict(run: Column) -> Column:
-        """From the running number of equal tokens, 0 first."""
-        ends = F.sequence(F.least(F.lit(window), F.size(run) - 1), F.size(run) - 1)
-        near = (F.size(run) > window) & F.exists(ends, lambda e: F.get(run, e) - F.get(run, F.greatest(e - window, F.lit(0))) >= window - differ)
-        return F.struct(near.alias("near"), F.element_at(run, -1).alias("matched"), (F.size(run) - 1).alias("longest"))
+        """From the equal tokens on an alignment, 1 or 0 each: the windows are counted one by one."""
+        starts = F.sequence(F.lit(1), F.size(run) - window + 1)
+        count = lambda x: F.aggregate(x, F.lit(0), lambda acc, y: acc + y)
+        near = F.exists(starts, lambda k: count(F.slice(run, k, window)) >= window - differ)
+        return F.struct(near.alias("near"), count(run).alias("matched"), F.size(run).alias("longest"))
 
     # An array of one binds a value once; by name the optimizer would put its whole expression at each use.
-    sums = F.aggregate(facing, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-    hits = hits.where(n >= window).select("id", "item_id", F.explode(F.transform(F.array(sums), verdict)).alias("v"))
+    hits = hits.where(n >= window).select("id", "item_id", F.explode(F.transform(F.array(facing), verdict)).alias("v"))
     return hits.where("v.near").groupBy("id", "item_id").agg(F.max("v.matched").alias("matched"), F.max("v.longest").alias("longest"))
