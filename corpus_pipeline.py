@@ -1,7 +1,12 @@
 """A corpus pipeline over ``documents``: language, exact copies, near copies, benchmark leaks, packing.
 
 Each stage is ``(name, function)``; a function takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is
-written as Parquet and read again as the next one's ``docs``. All but the last return the columns of documents."""
+written as Parquet and read again as the next one's ``docs``. All but the last return the columns of documents.
+
+Stages decide row by row, not by ``doc_id``. Defined cases: a null id, or one that other rows share, is judged by its own text;
+of equal rows one stays; null and empty texts have no language and go in the first stage; very long texts are read whole; of copies with equal
+lengths the smallest id stays; an empty table stays empty through all stages; further columns, whatever
+their names, are passed on."""
 
 from __future__ import annotations
 
@@ -10,31 +15,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import decontam, exact, langid, packing, simhash
-from barloom.llm.common import stored, table
+from barloom.llm.common import joined, numbered, stored, table
+
+ROW = "_row"
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs``, numbered, less the rows that ``gone`` names."""
+    return joined(docs, stored(gone.select(ROW), "gone"), [ROW], "left_anti").drop(ROW)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is known; documents with a null id go."""
-    found = langid.identify(langid.document_evidence(docs), langid.fit(docs))
-    return docs.join(found.where(~F.col("kept")).select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_anti").where("doc_id is not null")
+    """Keeps documents whose language is known."""
+    docs = numbered(docs, ROW)
+    found = langid.identify(langid.document_evidence(docs, ROW), langid.fit(docs))
+    return without(docs, found.where(~F.col("kept")).withColumnRenamed("id", ROW))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of equal texts."""
-    gone = exact.exact_dedup(docs).where(~F.col("kept")).select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    docs = numbered(docs, ROW)
+    found = exact.exact_dedup(docs, ROW, rank_col="doc_id")
+    return without(docs, found.where(~F.col("kept")).withColumnRenamed("id", ROW))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies: five-word shingles, similarity 0.8."""
-    gone = simhash.near_copies(docs).where("id <> component").select(F.col("id").alias("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti")
+    docs = numbered(docs, ROW)
+    found = stored(simhash.near_copies(docs, ROW).withColumnRenamed("id", ROW), "near")
+    found = stored(joined(docs.select(ROW, "doc_id"), found, [ROW], "inner"), "near-ids")
+    stays = found.groupBy("component").agg(F.min_by(ROW, F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias(ROW))
+    return without(docs, found.select(ROW).join(stays.select(ROW), ROW, "left_anti"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that hold no passage of a benchmark item."""
-    gone = decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    docs = numbered(docs, ROW)
+    found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark"), ROW)
+    return without(docs, found.select(F.col("id").alias(ROW)).distinct())
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
