@@ -2,39 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import PRICES
-from .calendar import asof_forward
+from ..schema import PRICES, SERIES
+from .calendar import asof_forward, shared_series
+
+
+def rising():
+    return Window.partitionBy(*SERIES).orderBy("trading_date")
+
+
+def fault(message: str, type_: str) -> Column:
+    """Ends the job with the message and the symbol of the row."""
+    return F.raise_error(F.concat(F.lit(message + ": "), F.col("symbol"))).cast(type_)
 
 
 def _with_events(bars: DataFrame, events: DataFrame) -> DataFrame:
-    """Bars with the previous close and, on application sessions, their event."""
-    w = Window.partitionBy("symbol").orderBy("trading_date")
-    at = asof_forward(events.select("symbol", "effective_date", "split_ratio", "cash_per_unit"), bars).where("application_date is not null")
-    at = at.select("symbol", F.col("application_date").alias("trading_date"), F.col("split_ratio").cast("double"), F.col("cash_per_unit").cast("double"))
-    return bars.withColumn("_prev", F.lag(F.col("close").cast("double")).over(w)).join(at, ["symbol", "trading_date"], "left")
+    """Bars with the previous close and, on application sessions, their event. An event of an instrument applies to each of its
+    series; one that no session follows is an error (``application_errors`` lists such events)."""
+    e = events.select(*shared_series(events, bars), "effective_date", "split_ratio", "cash_per_unit").join(bars.select(*SERIES).distinct(), shared_series(events, bars))
+    at = asof_forward(e, bars).select(*SERIES, F.coalesce("application_date", fault("no session follows an event", "date")).alias("trading_date"), "split_ratio", "cash_per_unit")
+    at = at.groupBy(*SERIES, "trading_date").agg(F.count("*").alias("_events"), F.max(F.col("split_ratio").cast("double")).alias("split_ratio"), F.max(F.col("cash_per_unit").cast("double")).alias("cash_per_unit"))
+    return bars.withColumn("_prev", F.lag(F.col("close").cast("double")).over(rising())).join(at, [*SERIES, "trading_date"], "left")
+
+
+def _factor(split: Column, cash: Column) -> Column:
+    """The factor of a bar's event, or one. Errors: a basis other than raw, two events on one session, an event on the first bar, and a
+    distribution that reaches the previous close."""
+    own = F.when(F.col("price_basis") != "raw", fault("only raw prices can be adjusted", "double"))
+    own = own.when(F.col("_events") > 1, fault("two events on one session", "double"))
+    own = own.when(F.col("_events").isNotNull() & F.col("_prev").isNull(), fault("an event on the first bar", "double"))
+    own = own.when(F.col("cash_per_unit") >= F.col("_prev"), fault("a distribution reaches the previous close", "double"))
+    return own.when(F.col("split_ratio").isNotNull(), split).when(F.col("cash_per_unit").isNotNull(), cash).otherwise(1.0)
 
 
-def _scaled(bars: DataFrame) -> DataFrame:
-    return bars.select(*[(F.col(c).cast("double") * F.col("factor")).alias(c) if c in PRICES else F.col(c) for c in bars.columns if not c.startswith("_")])
+def _scaled(bars: DataFrame, basis: str) -> DataFrame:
+    rows = bars.drop("split_ratio", "cash_per_unit")
+    return rows.select(*[(F.col(c).cast("double") * F.col("factor")).alias(c) if c in PRICES else F.col(c) for c in rows.columns if not c.startswith("_")]).withColumn("price_basis", F.lit(basis))
 
 
 def backward_adjust(bars: DataFrame, events: DataFrame) -> DataFrame:
     """Front-adjusted prices: bars before an event are scaled so that the last bar keeps its price."""
-    rows = _with_events(bars, events)
-    own = F.when(F.col("split_ratio").isNotNull(), 1 / F.col("split_ratio")).when(F.col("cash_per_unit").isNotNull(), (F.col("_prev") - F.col("cash_per_unit")) / F.col("_prev")).otherwise(1.0)
-    after = Window.partitionBy("symbol").orderBy("trading_date").rowsBetween(1, Window.unboundedFollowing)
-    return _scaled(rows.withColumn("_f", own).withColumn("factor", F.coalesce(F.product("_f").over(after), F.lit(1.0))).drop("split_ratio", "cash_per_unit")).withColumn("price_basis", F.lit("qfq"))
+    prev, cash = F.col("_prev"), F.col("cash_per_unit")
+    rows = _with_events(bars, events).withColumn("_f", _factor(1 / F.col("split_ratio"), (prev - cash) / prev))
+    # The product over all later bars, as a running one in falling order.
+    later = Window.partitionBy(*SERIES).orderBy(F.col("trading_date").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    return _scaled(rows.withColumn("factor", F.coalesce(F.product("_f").over(later), F.lit(1.0))), "qfq")
 
 
 def forward_adjust(bars: DataFrame, events: DataFrame) -> DataFrame:
     """Causal prices: bars from an event on are scaled; earlier rows never change."""
-    rows = _with_events(bars, events)
-    own = F.when(F.col("split_ratio").isNotNull(), F.col("split_ratio")).when(F.col("cash_per_unit").isNotNull(), F.col("_prev") / (F.col("_prev") - F.col("cash_per_unit"))).otherwise(1.0)
-    upto = Window.partitionBy("symbol").orderBy("trading_date").rowsBetween(Window.unboundedPreceding, 0)
-    return _scaled(rows.withColumn("_f", own).withColumn("factor", F.product("_f").over(upto)).drop("split_ratio", "cash_per_unit")).withColumn("price_basis", F.lit("causal_adjusted"))
+    prev, cash = F.col("_prev"), F.col("cash_per_unit")
+    rows = _with_events(bars, events).withColumn("_f", _factor(F.col("split_ratio"), prev / (prev - cash)))
+    return _scaled(rows.withColumn("factor", F.product("_f").over(rising().rowsBetween(Window.unboundedPreceding, 0))), "causal_adjusted")
 
 
 def cash_errors(bars: DataFrame, events: DataFrame) -> DataFrame:

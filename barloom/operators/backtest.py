@@ -97,14 +97,14 @@ def portfolio_roll_forward(steps: DataFrame, *portfolio: str, initial_cash: floa
     return log.select(*portfolio, "d.execution_date", "d.cash", "d.turnover", F.explode("d.legs").alias("l")).select(*portfolio, "execution_date", "l.symbol", "l.notional", "l.cost", "l.qty", "cash", "turnover")
 
 
-def mark_to_market(rolled: DataFrame, bars: DataFrame, *portfolio: str, initial_cash: float = INITIAL_CASH) -> DataFrame:
-    """``portfolio, trading_date, equity, cash_weight`` on every bar date: the latest rebalance's holdings at the close;
-    before the first, cash."""
+def mark_to_market(rolled: DataFrame, bars: DataFrame, days: DataFrame, *portfolio: str, initial_cash: float = INITIAL_CASH) -> DataFrame:
+    """``portfolio, trading_date, equity, cash_weight`` on each of ``days(trading_date, some of portfolio)``, the sessions of the portfolios that
+    share their values: the latest rebalance's holdings at the close; before the first, cash."""
     state = rolled.groupBy(*portfolio, "execution_date").agg(F.first("cash").alias("cash"), F.collect_list(F.struct("symbol", "qty")).alias("legs"))
-    days = bars.select("trading_date").distinct()
-    keys = rolled.select(*portfolio).distinct()
+    on = [c for c in portfolio if c in days.columns]
+    days = rolled.select(*portfolio).distinct().join(days.select(*on, "trading_date").distinct(), on)
     # A date has at most one state: the last on or before it, by one ordered pass per portfolio.
-    rows = keys.join(days, how="cross").select(*portfolio, F.col("trading_date"), F.lit(1).alias("_d")).join(state.withColumnRenamed("execution_date", "trading_date"), [*portfolio, "trading_date"], "left")
+    rows = days.join(state.withColumnRenamed("execution_date", "trading_date"), [*portfolio, "trading_date"], "left")
     w = Window.partitionBy(*portfolio).orderBy("trading_date").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("cash", F.last("cash", ignorenulls=True).over(w)).withColumn("legs", F.last("legs", ignorenulls=True).over(w))
     held = rows.select(*portfolio, "trading_date", "cash", F.explode_outer("legs").alias("l")).select(*portfolio, "trading_date", "cash", F.col("l.symbol").alias("symbol"), F.col("l.qty").alias("qty"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schema import SERIES
 
 def calendar_sessions(years: DataFrame, closures: DataFrame) -> DataFrame:
     """Sessions of ``years(exchange, year)``: weekdays that are no closure, numbered per exchange."""
@@ -47,36 +48,43 @@ def documented_conflict(bars: DataFrame, sessions: DataFrame, documented: DataFr
     return off.unionByName(on)
 
 
+def shared_series(*tables: DataFrame) -> list[str]:
+    """The columns that name a series, as far as all tables have them."""
+    return [c for c in SERIES if all(c in t.columns for t in tables)]
+
+
 def asof_forward(events: DataFrame, bars: DataFrame, date: str = "effective_date") -> DataFrame:
-    """Adds ``application_date``, the first bar date of the symbol on or after the event's; one shuffle by symbol: events
-    and bars in one order, events before the bars of their day."""
-    cols = [c for c in events.columns if c != "symbol"]
-    e = events.select("symbol", F.col(date).alias("_d"), F.lit(0).alias("_bar"), F.struct(*cols).alias("_e"))
-    b = bars.select("symbol", F.col("trading_date").alias("_d"), F.lit(1).alias("_bar"), F.lit(None).cast(e.schema["_e"].dataType).alias("_e"))
-    w = Window.partitionBy("symbol").orderBy("_d", "_bar").rowsBetween(0, Window.unboundedFollowing)
-    nxt = F.first(F.when(F.col("_bar") == 1, F.col("_d")), ignorenulls=True).over(w)
-    return e.unionByName(b).withColumn("application_date", nxt).where("_bar = 0").select("symbol", "_e.*", "application_date")
+    """Adds ``application_date``, the first bar date of the series on or after the event's, series told by the columns that both
+    tables have; one shuffle: events and bars in one falling order, events after the bars of their day, so that the last bar so far is the
+    one sought and each row is looked at once."""
+    by = shared_series(events, bars)
+    cols = [c for c in events.columns if c not in by]
+    e = events.select(*by, F.col(date).alias("_d"), F.lit(0).alias("_bar"), F.struct(*cols).alias("_e"))
+    b = bars.select(*by, F.col("trading_date").alias("_d"), F.lit(1).alias("_bar"), F.lit(None).cast(e.schema["_e"].dataType).alias("_e"))
+    w = Window.partitionBy(*by).orderBy(F.col("_d").desc(), F.col("_bar").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    nxt = F.last(F.when(F.col("_bar") == 1, F.col("_d")), ignorenulls=True).over(w)
+    return e.unionByName(b).withColumn("application_date", nxt).where("_bar = 0").select(*by, "_e.*", "application_date")
 
 
 def application_errors(applied: DataFrame, bars: DataFrame) -> DataFrame:
     """Events that no bar follows, that share a session with another, or that land on the first bar."""
-    first = bars.groupBy("symbol").agg(F.min("trading_date").alias("first_bar"))
-    n = F.count("*").over(Window.partitionBy("symbol", "application_date"))
-    out = applied.withColumn("n", n).join(first, "symbol", "left")
+    by = shared_series(applied, bars)
+    first = bars.groupBy(*by).agg(F.min("trading_date").alias("first_bar"))
+    n = F.count("*").over(Window.partitionBy(*by, "application_date"))
+    out = applied.withColumn("n", n).join(first, by, "left")
     why = F.when(F.col("application_date").isNull(), "no_session_follows").when(F.col("n") > 1, "session_shared").when(F.col("application_date") == F.col("first_bar"), "first_bar")
     return out.withColumn("error", why).where("error is not null").drop("n", "first_bar")
 
 
 def session_neighbors(dates: DataFrame, sessions: DataFrame) -> DataFrame:
-    """``exchange, day, previous_session, next_session`` of any dates ``(exchange, day)``."""
-    rows = dates.select("exchange", F.col("day"), F.lit(1).alias("_q")).unionByName(sessions.select("exchange", F.col("session_date").alias("day"), F.lit(0).alias("_q")))
-    s = F.when(F.col("_q") == 0, F.col("day"))
-    w = Window.partitionBy("exchange").orderBy("day")
-    back, ahead = w.rangeBetween(Window.unboundedPreceding, -1), w.rangeBetween(1, Window.unboundedFollowing)
-    rows = rows.withColumn("day", F.datediff("day", F.lit("1970-01-01").cast("date")))
-    s = F.when(F.col("_q") == 0, F.date_add(F.lit("1970-01-01").cast("date"), F.col("day")))
-    out = rows.select("exchange", "day", "_q", F.max(s).over(back).alias("previous_session"), F.min(s).over(ahead).alias("next_session")).where("_q = 1")
-    return out.select("exchange", F.date_add(F.lit("1970-01-01").cast("date"), F.col("day")).alias("day"), "previous_session", "next_session")
+    """``exchange, day, previous_session, next_session`` of any dates ``(exchange, day)``. Only the distinct days are put in order,
+    once rising and once falling; the rows are joined to them."""
+    rows = dates.select("exchange", "day", F.lit(False).alias("s")).unionByName(sessions.select("exchange", F.col("session_date").alias("day"), F.lit(True).alias("s")))
+    days = rows.groupBy("exchange", "day").agg(F.max("s").alias("s"))  # a calendar's length at most
+    session = F.when(F.col("s"), F.col("day"))
+    before = lambda order: F.last(session, ignorenulls=True).over(Window.partitionBy("exchange").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    found = days.select("exchange", "day", before(F.col("day")).alias("previous_session"), before(F.col("day").desc()).alias("next_session"))
+    return dates.select("exchange", "day").join(found, ["exchange", "day"])
 
 
 def execution_schedule(signals: DataFrame, sessions: DataFrame, delay: int = 1) -> DataFrame:
@@ -133,15 +141,12 @@ def classify_date(rows: DataFrame, universe: DataFrame, sessions: DataFrame, lat
 def latest_completed_session(instants: DataFrame, sessions: DataFrame, zone: str = "Asia/Shanghai", close: str = "16:00") -> DataFrame:
     """``now, latest``: today's session from its close on (local time), else the one before."""
     local = F.from_utc_timestamp("now", zone)
-    rows = instants.select("now", F.when(F.date_format(local, "HH:mm") >= close, F.to_date(local)).otherwise(F.date_sub(F.to_date(local), 1)).alias("upto"))
-    days = sessions.select("session_date").distinct()
-    both = rows.select("now", F.col("upto").alias("d"), F.lit(1).alias("q")).unionByName(days.select(F.lit(None).cast("timestamp").alias("now"), F.col("session_date").alias("d"), F.lit(0).alias("q")))
-    # Years part the calendar, so no single task orders all of it; the last session of the year before is joined in.
-    both = both.withColumn("y", F.year("d"))
-    w = Window.partitionBy("y").orderBy("d", "q").rowsBetween(Window.unboundedPreceding, 0)
-    within = both.withColumn("s", F.max(F.when(F.col("q") == 0, F.col("d"))).over(w)).where("q = 1")
-    ends = days.groupBy((F.year("session_date") + 1).alias("y")).agg(F.max("session_date").alias("before"))
-    return within.join(ends, "y", "left").select("now", F.coalesce("s", "before").alias("latest"))
+    rows = instants.select("now", F.when(F.date_format(local, "HH:mm") >= close, F.to_date(local)).otherwise(F.date_sub(F.to_date(local), 1)).alias("d"))
+    # Only the distinct days are put in order, a calendar's length at most; the instants are joined to them.
+    both = rows.select("d", F.lit(False).alias("s")).unionByName(sessions.select(F.col("session_date").alias("d"), F.lit(True).alias("s"))).groupBy("d").agg(F.max("s").alias("s"))
+    w = Window.partitionBy(F.lit(0)).orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
+    latest = both.select("d", F.last(F.when(F.col("s"), F.col("d")), ignorenulls=True).over(w).alias("latest"))
+    return rows.join(latest, "d").select("now", "latest")
 
 
 def market_symbol(exchange: Column, symbol: Column) -> Column:

@@ -41,13 +41,19 @@ def _ratio(mean: Column, dev: Column) -> Column:
 
 
 def curve_metrics(curves: DataFrame, *keys: str) -> DataFrame:
-    """One row per curve; risk-free rate zero, 252 days a year, population deviations."""
-    base = curves.groupBy(*keys).agg(F.count("*").alias("points"), F.min_by("equity", "trading_date").alias("first"), F.max_by("equity", "trading_date").alias("last"))
-    r = daily_returns(curves, *keys).groupBy(*keys).agg(F.avg("ret").alias("mean"), F.stddev_pop("ret").alias("sd"), F.stddev_pop(F.when(F.col("ret") < 0, F.col("ret"))).alias("down"))
-    d = drawdown(curves, *keys).groupBy(*keys).agg(F.min("dd").alias("max_drawdown"))
+    """One row per curve; risk-free rate zero, 252 days a year, population deviations. Returns, running high and runs below
+    it share one sort; the rows of a run and the years are summed before they meet."""
+    w = _by(keys)
+    rows = curves.withColumn("ret", F.col("equity") / F.lag("equity").over(w) - 1).withColumn("dd", F.col("equity") / F.max("equity").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    rows = rows.withColumn("island", F.sum(F.when(F.col("dd") >= 0, 1).otherwise(0)).over(w))
+    base = rows.groupBy(*keys).agg(
+        F.count("*").alias("points"), F.min_by("equity", "trading_date").alias("first"), F.max_by("equity", "trading_date").alias("last"),
+        F.avg("ret").alias("mean"), F.stddev_pop("ret").alias("sd"), F.stddev_pop(F.when(F.col("ret") < 0, F.col("ret"))).alias("down"), F.min("dd").alias("max_drawdown"),
+    )
+    runs = rows.groupBy(*keys, "island").agg(F.count_if(F.col("dd") < 0).alias("n")).groupBy(*keys).agg(F.max("n").alias("longest_drawdown"))
     y = calendar_year_returns(curves, *keys).groupBy(*keys).agg(F.max("year_return").alias("best"), F.min("year_return").alias("worst"))
     keys_ = list(keys)
-    out = base.join(r, keys_, "left").join(d, keys_).join(drawdown_streak(curves, *keys), keys_).join(y, keys_, "left")
+    out = base.join(runs, keys_).join(y, keys_, "left")
     total = F.col("last") / F.col("first") - 1
     cagr = F.pow(F.col("last") / F.col("first"), F.lit(float(YEAR)) / (F.col("points") - 1)) - 1
     out = out.withColumn("total_return", total).withColumn("cagr", cagr).withColumn("volatility", F.col("sd") * F.sqrt(F.lit(float(YEAR))))
@@ -66,7 +72,17 @@ def trade_stats(rolled: DataFrame, *keys: str) -> DataFrame:
     return day.groupBy(*keys).agg(F.sum("turnover").alias("turnover"), F.sum("cost").alias("cost_total"), F.count("*").alias("rebalances"))
 
 
+def unmatched_dates(curves: DataFrame, benchmark: DataFrame, keys: tuple[str, ...], on: tuple[str, ...]) -> DataFrame:
+    """Dates that a curve has and its benchmark lacks, or the benchmark of the same ``on`` values has and the curve lacks: ``keys,
+    trading_date, only_in``. Curves with such dates cannot be compared day by day."""
+    own = curves.select(*keys, "trading_date").distinct().withColumn("_a", F.lit(True))
+    base = benchmark.select(*on, "trading_date").distinct().join(curves.select(*keys).distinct(), list(on)).withColumn("_b", F.lit(True))
+    both = own.join(base, [*keys, "trading_date"], "full_outer").where("_a is null or _b is null")
+    return both.select(*keys, "trading_date", F.when(F.col("_b").isNull(), "curve").otherwise("benchmark").alias("only_in"))
+
+
 def active_returns(curves: DataFrame, benchmark: DataFrame, keys: tuple[str, ...], on: tuple[str, ...]) -> DataFrame:
+    """Daily differences on the dates that both have; ``unmatched_dates`` tells the others."""
     b = daily_returns(benchmark, *on).select(*on, "trading_date", F.col("ret").alias("bench_ret"))
     return daily_returns(curves, *keys).join(b, [*on, "trading_date"]).withColumn("active", F.col("ret") - F.col("bench_ret"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .calendar import shared_series
 from .reconcile import scale_equal
 from .validate import reasons
 
@@ -14,9 +15,10 @@ def candidate_event_match(events: DataFrame, candidates: DataFrame, bars: DataFr
     events with exactly one candidate match; a candidate that fits two events goes to the earlier.
 
     ``events`` need ``application_date`` and ``official_value``, its value as reported text."""
-    w = Window.partitionBy("symbol").orderBy("trading_date")
-    nxt = bars.select("symbol", F.col("trading_date").alias("application_date"), F.lead("trading_date").over(w).alias("next_date"))
-    e = events.join(nxt, ["symbol", "application_date"], "left").select("symbol", "event_id", "effective_date", "kind", "official_value", F.explode(F.array("application_date", "next_date")).alias("candidate_date")).where("candidate_date is not null")
+    by = shared_series(events, bars)
+    w = Window.partitionBy(*by).orderBy("trading_date")
+    nxt = bars.select(*by, "trading_date").distinct().select(*by, F.col("trading_date").alias("application_date"), F.lead("trading_date").over(w).alias("next_date"))
+    e = events.join(nxt, [*by, "application_date"], "left").select("symbol", "event_id", "effective_date", "kind", "official_value", F.explode(F.array("application_date", "next_date")).alias("candidate_date")).where("candidate_date is not null")
     fits = e.join(candidates, ["symbol", "kind", "candidate_date"]).where(scale_equal(F.col("value"), F.col("official_value")))
     alone = fits.withColumn("n", F.count("*").over(Window.partitionBy("event_id"))).where("n = 1")
     first = alone.withColumn("k", F.row_number().over(Window.partitionBy("candidate_id").orderBy("effective_date", "event_id")))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import KEY, PRICES
+from ..schema import KEY, PRICES, SERIES
+from .calendar import shared_series
 
 
 def volume_multiplier(src: Column, dst: Column) -> Column:
@@ -31,10 +32,11 @@ def reconcile_overlap(source: DataFrame, check: DataFrame, events: DataFrame, sr
     """Dates that both providers have, with price and volume agreement and whether an event applies there."""
     units = (F.lit(src_unit), F.lit(check_unit))
     b = check.select(*KEY, *(F.col(c).alias(c + "_b") for c in (*PRICES, "volume")))
-    edge = events.select("symbol", F.col("application_date").alias("trading_date"), F.lit(True).alias("_edge")).distinct()
+    by = shared_series(events, source)
+    edge = events.select(*by, F.col("application_date").alias("trading_date"), F.lit(True).alias("_edge")).distinct()
     d_abs, d_rel = price_difference()
     off = F.abs(F.col("volume") * volume_multiplier(*units) - F.col("volume_b"))
-    out = source.join(b, KEY).join(edge, ["symbol", "trading_date"], "left")
+    out = source.join(b, KEY).join(edge, [*by, "trading_date"], "left")
     return out.withColumn("abs_diff", d_abs).withColumn("rel_diff", d_rel).withColumn("price_match", F.col("abs_diff").isNull()).withColumn("volume_match", F.coalesce(off <= volume_tolerance(*units, F.lit(lots_provider)), F.lit(False))).withColumn("boundary", F.coalesce("_edge", F.lit(False))).drop("_edge")
 
 
@@ -50,14 +52,19 @@ def adjudicate(overlap: DataFrame, third: DataFrame) -> DataFrame:
     return rows.withColumn("verdict", verdict)
 
 
-def reconciliation_report(overlap: DataFrame, judged: DataFrame) -> DataFrame:
-    """Per symbol: counts, largest differences, mismatch dates and the status."""
-    base = overlap.groupBy("symbol").agg(F.count("*").alias("overlap"), F.count_if(F.col("boundary")).alias("boundary_dates"), F.max("abs_diff").alias("max_abs_diff"), F.max("rel_diff").alias("max_rel_diff"))
-    bad = judged.groupBy("symbol").agg(F.count("*").alias("mismatched"), *(F.count_if(F.col("verdict") == v).alias(v) for v in ("adjudicated", "source_rejected", "unexplained")), F.array_join(F.transform(F.array_sort(F.collect_list("trading_date")), lambda d: d.cast("string")), ",").alias("mismatch_dates"))
-    out = base.join(bad, "symbol", "left")
+def reconciliation_report(overlap: DataFrame, judged: DataFrame, instruments: DataFrame | None = None) -> DataFrame:
+    """Per series: counts, largest differences, mismatch dates, the status and why it is blocked. Series of ``instruments`` whose
+    providers share no session are blocked with ``no_overlap``."""
+    base = overlap.groupBy(*SERIES).agg(F.count("*").alias("overlap"), F.count_if(F.col("boundary")).alias("boundary_dates"), F.max("abs_diff").alias("max_abs_diff"), F.max("rel_diff").alias("max_rel_diff"))
+    bad = judged.groupBy(*SERIES).agg(F.count("*").alias("mismatched"), *(F.count_if(F.col("verdict") == v).alias(v) for v in ("adjudicated", "source_rejected", "unexplained")), F.array_join(F.transform(F.array_sort(F.collect_list("trading_date")), lambda d: d.cast("string")), ",").alias("mismatch_dates"))
+    if instruments is not None:
+        base = instruments.select(*SERIES).distinct().join(base, SERIES, "left")
+    out = base.join(bad, SERIES, "left")
     counts = ("mismatched", "adjudicated", "source_rejected", "unexplained")
-    out = out.select("symbol", "overlap", "boundary_dates", "max_abs_diff", "max_rel_diff", *(F.coalesce(c, F.lit(0)).alias(c) for c in counts), F.coalesce("mismatch_dates", F.lit("")).alias("mismatch_dates"))
-    return out.withColumn("status", F.when((F.col("source_rejected") == 0) & (F.col("unexplained") == 0), "pass").otherwise("blocked"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    out = out.select(*SERIES, zero("overlap"), zero("boundary_dates"), "max_abs_diff", "max_rel_diff", *map(zero, counts), F.coalesce("mismatch_dates", F.lit("")).alias("mismatch_dates"))
+    reason = F.when(F.col("overlap") == 0, "no_overlap").when(F.col("source_rejected") > 0, "source_rejected").when(F.col("unexplained") > 0, "unexplained")
+    return out.withColumn("reason", reason).withColumn("status", F.when(F.col("reason").isNull(), "pass").otherwise("blocked"))
 
 
 def provider_independence(roles: DataFrame) -> DataFrame:
@@ -67,10 +74,11 @@ def provider_independence(roles: DataFrame) -> DataFrame:
 
 
 def date_set_difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Dates that only one of two series tables has, per symbol."""
-    x = a.select("symbol", "trading_date").distinct().withColumn("_a", F.lit(True))
-    y = b.select("symbol", "trading_date").distinct().withColumn("_b", F.lit(True))
-    return x.join(y, ["symbol", "trading_date"], "full_outer").where("_a is null or _b is null").select("symbol", "trading_date", F.when(F.col("_a").isNull(), "right").otherwise("left").alias("only_in"))
+    """Dates that only one of two series tables has, per series."""
+    keys = [*shared_series(a, b), "trading_date"]
+    x = a.select(*keys).distinct().withColumn("_a", F.lit(True))
+    y = b.select(*keys).distinct().withColumn("_b", F.lit(True))
+    return x.join(y, keys, "full_outer").where("_a is null or _b is null").select(*keys, F.when(F.col("_a").isNull(), "right").otherwise("left").alias("only_in"))
 
 
 def scale_equal(reported: Column, official: Column) -> Column:

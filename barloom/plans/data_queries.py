@@ -49,6 +49,13 @@ def dirty(bars: DataFrame) -> DataFrame:
     return bars.withColumn("low", F.when(d % 53 == 0, F.col("high") + 1).otherwise(F.col("low"))).withColumn("volume", F.when(d % 59 == 0, -F.col("volume")).otherwise(F.col("volume"))).withColumn("close", F.when(d % 61 == 0, -F.col("close")).otherwise(F.col("close")))
 
 
+DIRTY = """,
+    dirty AS (
+        SELECT symbol, trading_date, open, high, CASE WHEN dayofyear(trading_date) % 53 = 0 THEN high + 1 ELSE low END AS low,
+               CASE WHEN dayofyear(trading_date) % 61 = 0 THEN -close ELSE close END AS close, CASE WHEN dayofyear(trading_date) % 59 = 0 THEN -volume ELSE volume END AS volume FROM bars)
+"""
+
+
 # --- Sources and sinks: files are made from the bars, then read back ----------------------------------
 
 
@@ -59,12 +66,40 @@ def scan_bars_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_double(scans.scan_bars_csv(spark, path))
 
 
-@query(with_parts("bars") + "SELECT 'PROMO' AS symbol, 'SZSE' AS exchange, 'raw' AS price_basis, trading_date, open, high, low, close, volume FROM bars WHERE symbol = 'PROMO'")
-def scan_provider_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(with_parts("bars") + DIRTY + """
+    SELECT symbol, trading_date, CASE WHEN least(open, high, low, close) <= 0 THEN 'price_not_positive' WHEN volume < 0 THEN 'volume_negative'
+        WHEN low > least(open, close) THEN 'low_above_body' WHEN high < greatest(open, close) THEN 'high_below_body' WHEN low > high THEN 'low_above_high' ELSE 'duplicate' END AS reason
+    FROM dirty, (VALUES (1), (2)) v(copy)
+    WHERE (copy = 1 OR day(trading_date) = 13) AND (day(trading_date) = 13 OR least(open, high, low, close) <= 0 OR volume < 0 OR low > least(open, close) OR high < greatest(open, close))""")
+def bars_csv_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The faulty rows of a file with invalid bars and with each thirteenth day twice."""
+    path = new_dir(spark, "csv")
+    b = dirty(X.bars_dense(spark, sf_dir))
+    b.unionByName(b.where(F.dayofmonth("trading_date") == 13)).write.option("header", True).csv(path)
+    return scans.bars_csv_rejects(spark, path).select("symbol", "trading_date", "reason")
+
+
+def export_files(spark: SparkSession, bars: DataFrame) -> str:
+    """An export per symbol, in a folder named by it."""
     path = new_dir(spark, "export")
-    b = X.bars_dense(spark, sf_dir).where("symbol = 'PROMO'")
-    b.select(*(F.col(c).alias(n) for c, n in scans.EXPORT_COLUMNS.items())).write.option("header", True).csv(path)
-    return as_double(scans.scan_provider_export(spark, path, "PROMO", "SZSE", "raw"))
+    bars.select("symbol", *(F.col(c).alias(n) for c, n in scans.EXPORT_COLUMNS.items())).repartition("symbol").write.partitionBy("symbol").option("header", True).csv(path)
+    return path
+
+
+@query(with_parts("bars") + "SELECT symbol, 'SZSE' AS exchange, 'raw' AS price_basis, trading_date, open, high, low, close, volume FROM bars")
+def scan_provider_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_double(scans.scan_provider_export(spark, export_files(spark, X.bars_dense(spark, sf_dir)), None, "SZSE", "raw"))
+
+
+@query(with_parts("bars") + """
+    SELECT symbol, CASE WHEN dayofyear(trading_date) % 41 = 0 THEN NULL ELSE trading_date END AS trading_date,
+           CASE WHEN dayofyear(trading_date) % 41 = 0 THEN 'unreadable_date' WHEN trading_date NOT BETWEEN DATE '1996-01-01' AND DATE '2000-12-31' THEN 'out_of_range' ELSE 'missing' END AS reason
+    FROM bars WHERE dayofyear(trading_date) % 41 = 0 OR trading_date NOT BETWEEN DATE '1996-01-01' AND DATE '2000-12-31' OR dayofyear(trading_date) % 43 = 0""")
+def provider_export_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The faulty rows of exports with unreadable dates and numbers, for a range that leaves out the ends."""
+    b, d = X.bars_dense(spark, sf_dir), F.dayofyear("trading_date")
+    text = b.withColumn("close", F.when(d % 43 == 0, F.lit("--")).otherwise(F.col("close").cast("string"))).withColumn("trading_date", F.when(d % 41 == 0, F.lit("n/a")).otherwise(F.col("trading_date").cast("string")))
+    return scans.provider_export_rejects(spark, export_files(spark, text), None, "SZSE", "raw", "1996-01-01", "2000-12-31").select("symbol", "trading_date", "reason")
 
 
 def _text(df: DataFrame, path: str) -> None:
@@ -80,6 +115,20 @@ def scan_kline_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_double(scans.scan_kline_positional(spark, path + "/*", "SZSE"))
 
 
+@query(with_parts("bars") + """
+    SELECT symbol, CASE WHEN symbol = 'LARGE' THEN 'answer_refused' ELSE 'short_row' END AS reason, count(*) AS n FROM bars
+    WHERE symbol = 'LARGE' OR dayofyear(trading_date) % 37 = 0 GROUP BY ALL""")
+def kline_positional_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One answer has another code than 0, and some rows of the others end early."""
+    path = new_dir(spark, "kline")
+    whole = F.array(F.col("trading_date").cast("string"), *(F.col(c).cast("string") for c in ("open", "close", "low", "high")), F.lit("0"), F.lit("0"), F.col("volume").cast("string"), F.lit("0"))
+    row = F.when(F.dayofyear("trading_date") % 37 == 0, F.slice(whole, 1, 5)).otherwise(whole)
+    doc = X.bars_dense(spark, sf_dir).select("symbol", row.alias("row")).groupBy("symbol").agg(F.collect_list("row").alias("rows"))
+    code = F.when(F.col("symbol") == "LARGE", "1").otherwise("0")
+    _text(doc.select(F.to_json(F.struct(code.alias("code"), F.struct(F.col("symbol").alias("code"), F.col("rows").alias("picupdata")).alias("data"))).alias("value"), F.col("symbol").alias("part")), path)
+    return scans.kline_positional_rejects(spark, path + "/*")
+
+
 @query(with_parts("bars") + f"SELECT symbol, 'SSE' AS exchange, 'raw' AS price_basis, trading_date, open, high, low, close, volume FROM bars WHERE symbol <> 'LARGE'")
 def scan_kline_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One file states a wrong count and is rejected."""
@@ -255,19 +304,13 @@ def artifact_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_parts("ledger") + "SELECT kind, count(*) AS records, count(*) AS ids FROM ledger GROUP BY kind")
 def sink_reports_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_dir(spark, "reports")
-    scans.sink_reports_json(X.ledger(X.bars_dense(spark, sf_dir)).where("k <= 2 or k > 2").select("event_id", "kind", "effective_date"), path)
+    scans.sink_reports_json(X.ledger(X.bars_dense(spark, sf_dir)).select("event_id", "kind", "effective_date"), path)
     back = spark.read.schema("event_id string, kind string, effective_date date, report_id string").json(path)
     return back.groupBy("kind").agg(F.count("*").alias("records"), F.count_distinct("report_id").alias("ids"))
 
 
 # --- Rules --------------------------------------------------------------------------------------------
 
-DIRTY = """,
-    dirty AS (
-        SELECT symbol, trading_date, open, high, CASE WHEN dayofyear(trading_date) % 53 = 0 THEN high + 1 ELSE low END AS low,
-               CASE WHEN dayofyear(trading_date) % 61 = 0 THEN -close ELSE close END AS close, CASE WHEN dayofyear(trading_date) % 59 = 0 THEN -volume ELSE volume END AS volume FROM bars)
-"""
-
 
 @query(with_parts("bars") + DIRTY + """
     SELECT * FROM (SELECT symbol, trading_date, CASE WHEN least(open, high, low, close) <= 0 THEN 'price_not_positive' WHEN volume < 0 THEN 'volume_negative'
@@ -339,7 +382,7 @@ def aligned_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def date_set_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = X.bars_dense(spark, sf_dir)
     d, m = F.dayofmonth("trading_date"), F.month("trading_date")
-    return R.date_set_difference(b.where(~((d == 9) & (m == 4))), b.where(~((d == 9) & (m == 3))))
+    return R.date_set_difference(b.where(~((d == 9) & (m == 4))), b.where(~((d == 9) & (m == 3)))).select("symbol", "trading_date", "only_in")
 
 
 # --- Calendar -----------------------------------------------------------------------------------------
@@ -513,10 +556,19 @@ def adjudicate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reconciliation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     b, o = overlap(spark, sf_dir)
     o = stored(o, "overlap")
-    out = R.reconciliation_report(o, R.adjudicate(o, X.bars_c(b)))
+    out = R.reconciliation_report(o, R.adjudicate(o, X.bars_c(b)), b).drop("exchange", "price_basis", "reason")
     return out.withColumn("max_abs_diff", F.round("max_abs_diff", 6)).withColumn("max_rel_diff", F.round("max_rel_diff", 6))
 
 
+@query(with_parts("bars") + "SELECT symbol, CASE WHEN symbol < 'N' THEN 0 ELSE count(*) FILTER (dayofyear(trading_date) % 53 <> 0) END AS overlap, CASE WHEN symbol < 'N' THEN 'no_overlap' END AS reason, CASE WHEN symbol < 'N' THEN 'blocked' ELSE 'pass' END AS status FROM bars GROUP BY symbol")
+def reconciliation_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every instrument of the source has a report, also those whose providers share no session."""
+    b = stored(X.bars_dense(spark, sf_dir), "bars")
+    check = b.where("symbol >= 'N'").where(F.dayofyear("trading_date") % 53 != 0).withColumn("volume", F.col("volume") * 0.01)
+    o = stored(R.reconcile_overlap(b, check, C.asof_forward(X.ledger(b), b)), "overlap")
+    return R.reconciliation_report(o, R.adjudicate(o, b), b).select("symbol", "overlap", "reason", "status")
+
+
 @query(with_parts("bars") + "SELECT DISTINCT exchange, symbol, price_basis, 'alpha' AS provider, 2::BIGINT AS roles, 'adjudicator,canonical' AS names FROM bars WHERE symbol < 'M'")
 def provider_independence(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = manifests(X.bars_dense(spark, sf_dir))

@@ -37,6 +37,14 @@ def forward_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.forward_adjust(b, X.ledger(b)).select("symbol", "trading_date", F.round(F.col("close") + 0.0000003, 4).alias("close"), F.round("factor", 6).alias("factor"))
 
 
+@query(with_parts("ledger") + "SELECT symbol, effective_date AS trading_date, round(cash_per_unit * 200, 4) AS cash_per_unit FROM ledger WHERE kind = 'cash' AND k % 4 = 0")
+def cash_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distributions that reach the previous close: every second one is made to."""
+    b = X.bars_dense(spark, sf_dir)
+    led = X.ledger(b).withColumn("cash_per_unit", F.when(F.col("k") % 4 == 0, F.col("cash_per_unit") * 200).otherwise(F.col("cash_per_unit")))
+    return A.cash_errors(b, led).select("symbol", "trading_date", F.round("cash_per_unit", 4).alias("cash_per_unit"))
+
+
 @query(with_parts("bars") + "SELECT symbol, trading_date FROM bars WHERE false")
 def no_lookahead_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows before 2000 that a later action or later bars would change: none."""
@@ -224,6 +232,13 @@ def active_return_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(a.select("curve", "fold", "trading_date", "active"), 6, "active")
 
 
+@query(with_parts("curves") + """
+    SELECT k.curve, b.fold, b.trading_date, 'benchmark' AS only_in FROM bench b JOIN (SELECT DISTINCT curve, fold FROM curves) k USING (fold)
+    WHERE NOT EXISTS (SELECT 1 FROM curves c WHERE c.curve = k.curve AND c.fold = b.fold AND c.trading_date = b.trading_date)""")
+def curve_date_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.unmatched_dates(curves(spark, sf_dir), benchmark(spark, sf_dir), ("curve", "fold"), ("fold",))
+
+
 RELATIVE = with_parts("metrics", "returns") + """,
     relative AS (
         SELECT m.curve, m.fold, m.cagr - b.cagr AS excess_cagr, m.sharpe - b.sharpe AS sharpe_difference, m.max_drawdown - b.max_drawdown AS drawdown_difference, t.te AS tracking_error
@@ -407,7 +422,8 @@ def marked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     bars, s = steps(spark, sf_dir)
     rolled = stored(B.portfolio_roll_forward(s, *KEYS), "rolled")
     f = X.folds(spark).select("fold", "test_start", "test_end")
-    curve = B.mark_to_market(rolled, bars, *KEYS).join(f, "fold").where("trading_date between test_start and test_end").drop("test_start", "test_end")
+    days = E.fold_assignment(bars.select("trading_date").distinct(), f).select("fold", "trading_date")
+    curve = B.mark_to_market(rolled, bars, days, *KEYS)
     sc = X.scenarios(spark).select("scenario", "trim_start", "trim_end")
     up, down = Window.partitionBy(*KEYS).orderBy("trading_date"), Window.partitionBy(*KEYS).orderBy(F.col("trading_date").desc())
     curve = curve.join(sc, "scenario").withColumn("a", F.row_number().over(up)).withColumn("z", F.row_number().over(down)).where("a > trim_start and z > trim_end")

@@ -6,40 +6,78 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import content_hash, parse_date, parse_decimal
+from ..operators.validate import load_faults, whole_load
 from ..schema import BAR, MANIFEST, PRICES
 
 #: Column names of tabular exports, by bar column.
 EXPORT_COLUMNS = {"trading_date": "日期", "open": "开盘", "close": "收盘", "high": "最高", "low": "最低", "volume": "成交量"}
 
 
-def scan_bars_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Daily bars from CSV with a header; a malformed row fails the load."""
+def _bars_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(BAR).option("header", True).option("mode", "FAILFAST").csv(path)
 
 
-def scan_provider_export(spark: SparkSession, path: str, symbol: str, exchange: str, basis: str) -> DataFrame:
-    """A tabular export: its columns must be there; rows as bars. Use ``range_violations`` for the strict range."""
+def scan_bars_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Daily bars from CSV with a header. A malformed or invalid row, or a repeated key, fails the whole load."""
+    return whole_load(_bars_csv(spark, path))
+
+
+def bars_csv_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """The rows that fail such a load, with their reasons."""
+    return load_faults(_bars_csv(spark, path)).where("reason is not null")
+
+
+def _export(spark: SparkSession, path: str, symbol: str | None, exchange: str, basis: str, start: str | None, as_of: str | None) -> tuple[DataFrame, list]:
     df = spark.read.option("header", True).csv(path)
     lacking = [c for c in EXPORT_COLUMNS.values() if c not in df.columns]
     if lacking:
         raise ValueError(f"columns missing: {lacking}")
+    if df.isEmpty():
+        raise ValueError(f"no rows: {path}")
+    named = F.lit(symbol) if symbol is not None else F.regexp_extract(F.col("_metadata.file_path"), "symbol=([^/]+)/", 1)
     value = lambda c: parse_decimal(F.col(EXPORT_COLUMNS[c])).alias(c)
-    return df.select(F.lit(symbol).alias("symbol"), F.lit(exchange).alias("exchange"), F.lit(basis).alias("price_basis"), parse_date(F.col(EXPORT_COLUMNS["trading_date"])).alias("trading_date"), *(value(c) for c in (*PRICES, "volume")))
+    rows = df.select(named.alias("symbol"), F.lit(exchange).alias("exchange"), F.lit(basis).alias("price_basis"), parse_date(F.col(EXPORT_COLUMNS["trading_date"])).alias("trading_date"), *(value(c) for c in (*PRICES, "volume")))
+    day = F.col("trading_date")
+    return rows, [("unreadable_date", day.isNull()), ("out_of_range", (day < F.lit(start).cast("date")) | (day > F.lit(as_of).cast("date")))]
+
+
+def scan_provider_export(spark: SparkSession, path: str, symbol: str | None, exchange: str, basis: str, start: str | None = None, as_of: str | None = None) -> DataFrame:
+    """A tabular export: its columns and at least one row must be there; rows as bars. Without ``symbol``, that of a row is named by its file's folder
+    (``symbol=...``). A value that is no date or number, a date outside ``start`` to ``as_of``, an invalid bar or a repeated key fails the whole load."""
+    rows, rules = _export(spark, path, symbol, exchange, basis, start, as_of)
+    return whole_load(rows, *rules)
+
+
+def provider_export_rejects(spark: SparkSession, path: str, symbol: str | None, exchange: str, basis: str, start: str | None = None, as_of: str | None = None) -> DataFrame:
+    """The rows that fail such a load, with their reasons; unreadable numbers are ``missing``."""
+    rows, rules = _export(spark, path, symbol, exchange, basis, start, as_of)
+    return load_faults(rows, *rules).where("reason is not null")
 
 
 def _bar(symbol, exchange: str, basis: str, day, items: dict) -> list:
     return [symbol.alias("symbol"), F.lit(exchange).alias("exchange"), F.lit(basis).alias("price_basis"), day.alias("trading_date"), *(parse_decimal(items[c]).alias(c) for c in (*PRICES, "volume"))]
 
 
-def scan_kline_positional(spark: SparkSession, path: str, exchange: str, basis: str = "raw") -> DataFrame:
-    """Positional K-line files ``{code, data: {code, picupdata: [[date, open, close, low, high, _, _, volume, ...]]}}``; only
-    answers with code 0 and rows of nine items or more."""
+def _positional(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of positional K-line files with the reason that makes one unfit."""
     doc = F.from_json("value", "code string, data struct<code:string,picupdata:array<array<string>>>")
-    rows = spark.read.text(path, wholetext=True).select(doc.alias("d")).where("d.code = '0'").select(F.col("d.data.code").alias("symbol"), F.explode("d.data.picupdata").alias("r")).where(F.size("r") >= 9)
+    rows = spark.read.text(path, wholetext=True).select(doc.alias("d")).select(F.col("d.data.code").alias("symbol"), F.coalesce(F.col("d.code") == "0", F.lit(False)).alias("good"), F.explode_outer("d.data.picupdata").alias("r"))
+    return rows.withColumn("reason", F.when(~F.col("good"), "answer_refused").when(F.col("r").isNotNull() & (F.size("r") < 9), "short_row")).where("r is not null or not good")
+
+
+def scan_kline_positional(spark: SparkSession, path: str, exchange: str, basis: str = "raw") -> DataFrame:
+    """Positional K-line files ``{code, data: {code, picupdata: [[date, open, close, low, high, _, _, volume, ...]]}}``; an
+    answer with a code other than 0 or a row of fewer than nine items fails the whole load."""
+    what = F.concat_ws(" ", F.lit("load rejected:"), "reason", "symbol")
+    rows = _positional(spark, path).where(F.when(F.col("reason").isNull(), True).otherwise(F.raise_error(what).cast("boolean")))
     r = F.col("r")
     return rows.select(*_bar(F.col("symbol"), exchange, basis, parse_date(r[0]), {"open": r[1], "close": r[2], "low": r[3], "high": r[4], "volume": r[7]}))
 
 
+def kline_positional_rejects(spark: SparkSession, path: str) -> DataFrame:
+    return _positional(spark, path).where("reason is not null").groupBy("symbol", "reason").agg(F.count("*").alias("n"))
+
+
 def scan_kline_counted(spark: SparkSession, path: str, exchange: str, basis: str = "raw") -> DataFrame:
     """Counted K-line files ``{code, total, kline: [[yyyymmdd, open, high, low, close, volume]]}``. A wrong count or row width rejects
     the file's rows: they are not returned (see ``kline_counted_rejects``)."""
@@ -104,5 +142,7 @@ def sink_bars_parquet(bars: DataFrame, path: str) -> None:
 
 
 def sink_reports_json(records: DataFrame, path: str) -> None:
-    """Records as JSON under the hash of their content."""
-    records.withColumn("report_id", content_hash(*records.columns)).write.partitionBy("report_id").mode("errorifexists").json(path)
+    """Records as JSON with the hash of their content (``report_id``), in folders by its first two digits: as many as there are records at
+    most, and 256 however many there are."""
+    named = records.withColumn("report_id", content_hash(*records.columns)).withColumn("part", F.substring("report_id", 1, 2))
+    named.repartition("part").write.partitionBy("part").mode("errorifexists").json(path)

@@ -90,4 +90,4 @@ def test_roll_forward_equals_loop(spark):
 def test_mark_to_market(spark):
     rolled = spark.createDataFrame([(1, day(1), "A", 10.0, 500.0)], "p int, execution_date date, symbol string, qty double, cash double")
     b = spark.createDataFrame([("A", day(0), 1.0), ("A", day(1), 2.0), ("A", day(2), 3.0)], "symbol string, trading_date date, close double")
-    assert [(r["equity"], round(r["cash_weight"], 4)) for r in B.mark_to_market(rolled, b, "p").orderBy("trading_date").collect()] == [(100000, 1), (520, 0.9615), (530, 0.9434)]
+    assert [(r["equity"], round(r["cash_weight"], 4)) for r in B.mark_to_market(rolled, b, b.select(F.lit(1).alias("p"), "trading_date"), "p").orderBy("trading_date").collect()] == [(100000, 1), (520, 0.9615), (530, 0.9434)]

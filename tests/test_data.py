@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from helpers import bars, day
 from pyspark.sql import functions as F
 
@@ -68,7 +69,13 @@ def test_latest_completed(spark):
 
 
 def test_parsers(spark, tmp_path):
-    (tmp_path / "k.json").write_text('{"code":"0","data":{"code":"159919","picupdata":[["2024-01-02",1,3,0.5,4,0,0,700,9],["2024-01-03",1]]}}')
+    (tmp_path / "k.json").write_text('{"code":"0","data":{"code":"159919","picupdata":[["2024-01-02",1,3,0.5,4,0,0,700,9]]}}')
+    (tmp_path / "short.json").write_text('{"code":"0","data":{"code":"159919","picupdata":[["2024-01-02",1,3,0.5,4,0,0,700,9],["2024-01-03",1]]}}')
+    (tmp_path / "refused.json").write_text('{"code":"7","message":"busy"}')
+    for name, reason in (("short", "short_row"), ("refused", "answer_refused")):
+        assert [(x["reason"], x["n"]) for x in scans.kline_positional_rejects(spark, str(tmp_path / f"{name}.json")).collect()] == [(reason, 1)]
+        with pytest.raises(Exception, match=reason):
+            scans.scan_kline_positional(spark, str(tmp_path / f"{name}.json"), "SZSE").collect()
     r = scans.scan_kline_positional(spark, str(tmp_path / "k.json"), "SZSE").collect()
     assert len(r) == 1 and (float(r[0]["open"]), float(r[0]["close"]), float(r[0]["low"]), float(r[0]["high"]), float(r[0]["volume"])) == (1, 3, 0.5, 4, 700)
     (tmp_path / "c.json").write_text('{"code":"510300","total":2,"kline":[[20240102,1,2,1,2,5]]}')
@@ -81,8 +88,13 @@ def test_parsers(spark, tmp_path):
 
 
 def test_bad_csv_fails(spark, tmp_path):
-    import pytest
-
+    head, good = "symbol,exchange,price_basis,trading_date,open,high,low,close,volume\n", "A,T,raw,2024-01-02,1,1,1,1,1\n"
+    (tmp_path / "g.csv").write_text(head + good)
+    assert scans.scan_bars_csv(spark, str(tmp_path / "g.csv")).count() == 1
+    for name, row, reason in (("d", good, "duplicate"), ("n", "A,T,raw,2024-01-03,1,1,-1,1,1\n", "price_not_positive")):
+        (tmp_path / f"{name}.csv").write_text(head + good + row)
+        with pytest.raises(Exception, match=reason):
+            scans.scan_bars_csv(spark, str(tmp_path / f"{name}.csv")).select("trading_date").collect()
     (tmp_path / "b.csv").write_text("symbol,exchange,price_basis,trading_date,open,high,low,close,volume\nA,T,raw,2024-01-02,x,1,1,1,1\n")
     with pytest.raises(Exception, match="(?i)malformed|parse|cast"):
         scans.scan_bars_csv(spark, str(tmp_path / "b.csv")).collect()
@@ -104,3 +116,26 @@ def test_stream_validators(spark, tmp_path):
     q = validators.first_bars(validators.bar_stream(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("once").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.sql("SELECT * FROM once").count() == 3
+
+
+def test_export_is_loaded_whole_or_not_at_all(spark, tmp_path):
+    head, good = "日期,开盘,收盘,最高,最低,成交量\n", "2024-01-02,1,1,1,1,5\n"
+    load = lambda name, **k: scans.scan_provider_export(spark, str(tmp_path / name), "A", "T", "raw", **k).collect()
+    (tmp_path / "g.csv").write_text(head + good)
+    assert len(load("g.csv")) == 1
+    for name, row, reason in (("x", "2024-01-03,1,--,1,1,5\n", "missing"), ("y", "soon,1,1,1,1,5\n", "unreadable_date"), ("z", good, "duplicate")):
+        (tmp_path / f"{name}.csv").write_text(head + good + row)
+        with pytest.raises(Exception, match=reason):
+            load(f"{name}.csv")
+    with pytest.raises(Exception, match="out_of_range"):
+        load("g.csv", start="2024-01-03", as_of="2024-02-01")
+    (tmp_path / "e.csv").write_text(head)
+    with pytest.raises(ValueError, match="no rows"):
+        load("e.csv")
+
+
+def test_instruments_without_overlap_are_blocked(spark):
+    a = bars(spark, [10, 11]).unionByName(bars(spark, [5], "B"))
+    o = reconcile.reconcile_overlap(a, a.where("symbol = 'A'").withColumn("volume", F.lit(1.0)), spark.createDataFrame([], "symbol string, application_date date"))
+    got = {r["symbol"]: (r["overlap"], r["status"], r["reason"]) for r in reconcile.reconciliation_report(o, reconcile.adjudicate(o, a), a).collect()}
+    assert got == {"A": (2, "pass", None), "B": (0, "blocked", "no_overlap")}

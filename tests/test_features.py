@@ -67,3 +67,33 @@ def test_t1_shift(spark):
     got = features.t1_signal_shift(b, "signal", "symbol").orderBy("trading_date").collect()
     assert [r["entry"] for r in got] == [False, False, True, False]
     assert [r["equity"] for r in got] == [100000, 100000, 100000, 200000]
+
+
+def test_adjustment_refuses_bad_events(spark):
+    b = bars(spark, [10, 9, 8])
+    two = events(spark, [("A", day(1), 2.0, None), ("A", day(1), None, 1.0)])
+    for e, why in ((two, "two events"), (events(spark, [("A", day(9), 2.0, None)]), "no session follows"), (events(spark, [("A", day(0), 2.0, None)]), "first bar"), (events(spark, [("A", day(1), None, 10.0)]), "previous close")):
+        for f in (adjust.forward_adjust, adjust.backward_adjust):
+            with pytest.raises(Exception, match=why):
+                f(b, e).collect()
+    with pytest.raises(Exception, match="only raw"):
+        adjust.forward_adjust(b.withColumn("price_basis", F.lit("qfq")), events(spark, [])).collect()
+
+
+def test_series_of_one_symbol_are_adjusted_apart(spark):
+    b = bars(spark, [10, 5, 5]).unionByName(bars(spark, [20, 10], exchange="OTHER"))
+    e = events(spark, [("A", day(1), 2.0, None)])
+    got = {(r["exchange"], r["trading_date"]): r["factor"] for r in adjust.forward_adjust(b, e).collect()}
+    assert got == {("TEST", day(0)): 1, ("TEST", day(1)): 2, ("TEST", day(2)): 2, ("OTHER", day(0)): 1, ("OTHER", day(1)): 2}
+
+
+def test_long_series_take_linear_time(spark):
+    """One series of 100,000 bars, as a hot key would be."""
+    import time
+
+    n = 100_000
+    b = spark.range(n).selectExpr("'A' as symbol", "'T' as exchange", "'raw' as price_basis", "date_add(date'1700-01-01', cast(id as int)) as trading_date", "10.0D as open", "10.0D as high", "10.0D as low", "10.0D as close", "1.0D as volume")
+    e = b.where("dayofyear(trading_date) = 200").selectExpr("symbol", "trading_date as effective_date", "1.0D as split_ratio", "cast(null as double) as cash_per_unit")
+    began = time.perf_counter()
+    assert adjust.backward_adjust(b, e).where("factor = 1").count() == n and adjust.forward_adjust(b, e).where("factor = 1").count() == n
+    assert time.perf_counter() - began < 60

@@ -17,8 +17,10 @@ def test_equals_sql(spark, sf, db, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
-def test_runs(spark, sf, name):
-    assert registry.QUERIES[name](spark, sf).columns
+def test_runs(spark, name):
+    """On tables long enough for trailing features; what they build on is compared with loops in test_backtest.py."""
+    sf = "/root/testdata/sf0.01"
+    assert registry.QUERIES[name](spark, sf).count() > 0
 
 
 def test_entry(spark):
