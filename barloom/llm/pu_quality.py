@@ -4,12 +4,14 @@ Trusted positives and unlabelled texts train a small network on the non-negative
 (Kiryo et al. 2017) with logistic loss, given the share of positives among the unlabelled. That share is
 estimated first (best bin estimation, Garg et al. 2021): of a classifier between positives and
 unlabelled, the lowest ratio of the two tails over all cuts on rows it did not see bounds the share from above.
-Labels of the other class are never read. Features are counts over the whole text.
+Labels of the other class are never read. Features are counts over the whole text: of classes of bytes and their pairs, of hashed
+words and byte trigrams, and measures of length and repetition.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,17 +26,21 @@ _CLASSES = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456
 _CLASS = np.full(256, 15, np.uint8)
 for _k, _chars in enumerate(_CLASSES):
     _CLASS[[ord(c) for c in _chars]] = _k
-N_FEATURES = 256 + 16 + 10
+#: Slots that words and byte trigrams are hashed to.
+SLOTS = 256
+N_FEATURES = 256 + 16 + 10 + 2 * SLOTS
+CONTENT = 0.1
 
 
 def features(text: str | None) -> np.ndarray:
-    """Shares of byte classes and of pairs of neighbouring classes, and measures of length and repetition,
-    over the whole text. The empty text gives zeros."""
+    """Shares of byte classes and of pairs of neighbouring classes, measures of length and repetition, and shares of hashed words
+    and of hashed byte trigrams, over the whole text. The empty text gives zeros."""
     out = np.zeros(N_FEATURES, np.float32)
     raw = (text or "").encode("utf-8", "replace")
     if not raw:
         return out
-    c = _CLASS[np.frombuffer(raw, np.uint8)]
+    codes = np.frombuffer(raw, np.uint8)
+    c = _CLASS[codes]
     out[:256] = np.sqrt(np.bincount(c[:-1].astype(np.int64) * 16 + c[1:], minlength=256) / len(c))
     out[256:272] = np.sqrt(np.bincount(c, minlength=16) / len(c))
     w = raw.split()
@@ -47,6 +53,12 @@ def features(text: str | None) -> np.ndarray:
             math.log1p(n) / 8, len(seen) / n, math.log(n / len(seen)), max(seen.values()) / n, pairs / max(n - 1, 1), alike / n,
             sum(map(len, w)) / n / 10, len(set(lines)) / len(lines), math.log1p(n / len(lines)) / 5, max(ends.values()) / n,
         )
+        slots = np.fromiter(map(zlib.crc32, seen), np.int64, len(seen)) % SLOTS
+        out[282 : 282 + SLOTS] = np.sqrt(np.bincount(slots, weights=np.fromiter(seen.values(), np.float64, len(seen)), minlength=SLOTS) / n)
+    if len(codes) > 2:
+        b = codes.astype(np.uint32)
+        grams = (b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(2654435761) >> np.uint32(24)
+        out[282 + SLOTS :] = np.sqrt(np.bincount(grams, minlength=SLOTS) / len(grams))
     return out
 
 
@@ -54,16 +66,37 @@ def forward(x: np.ndarray, m: dict) -> np.ndarray:
     return np.tanh(((x - m["mean"]) / m["sd"]) @ m["w1"] + m["b1"]) @ m["w2"] + m["b2"]
 
 
-def train(xp: np.ndarray, xu: np.ndarray, prior: float | None, hidden: int = 24, epochs: int = 30, rate: float = 0.01, decay: float = 1e-4, seed: int = 7) -> dict:
+def _sig(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def nn_risk(fp: np.ndarray, fu: np.ndarray, prior: float) -> float:
+    """The non-negative risk of outputs on positives and unlabelled rows, logistic loss."""
+    soft = lambda z: np.logaddexp(0, z).mean()
+    return float(prior * soft(-fp) + max(0.0, soft(fu) - prior * soft(fp)))
+
+
+def nn_gradient(fp: np.ndarray, fu: np.ndarray, prior: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """The step's gradient by the outputs: that of the risk while the estimated risk of the negatives is not below zero, else
+    the one that raises it again; without a prior, that of the plain risk of positives against unlabelled."""
+    soft = lambda z: np.logaddexp(0, z).mean()
+    if prior is None:
+        return -_sig(-fp) / len(fp), _sig(fu) / len(fu)
+    if soft(fu) - prior * soft(fp) >= 0:
+        return prior * (-_sig(-fp) - _sig(fp)) / len(fp), _sig(fu) / len(fu)
+    return prior * _sig(fp) / len(fp), -_sig(fu) / len(fu)
+
+
+def train(xp: np.ndarray, xu: np.ndarray, prior: float | None, hidden: int = 24, epochs: int = 15, rate: float = 0.01, decay: float = 1e-3, seed: int = 7) -> dict:
     """Adam on the non-negative risk with the prior, or, without one, on the plain risk of positives against
     unlabelled."""
     rng = np.random.default_rng(seed)
     x = np.concatenate([xp, xu])
-    m = {"mean": x.mean(0), "sd": x.std(0) + 0.02, "w1": rng.normal(0, 1 / math.sqrt(x.shape[1]), (x.shape[1], hidden)), "b1": np.zeros(hidden), "w2": rng.normal(0, 0.3, hidden), "b2": np.zeros(1)}
+    # The many sparse features of content weigh a tenth each, so that they cannot learn the rows by heart.
+    weight = np.where(np.arange(x.shape[1]) < N_FEATURES - 2 * SLOTS, 1.0, CONTENT)
+    m = {"mean": x.mean(0), "sd": (x.std(0) + 0.02) / weight, "w1": rng.normal(0, 1 / math.sqrt(x.shape[1]), (x.shape[1], hidden)), "b1": np.zeros(hidden), "w2": rng.normal(0, 0.3, hidden), "b2": np.zeros(1)}
     names = ("w1", "b1", "w2", "b2")
     mom, sq, step = {k: np.zeros_like(m[k]) for k in names}, {k: np.zeros_like(m[k]) for k in names}, 0
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    soft = lambda z: np.logaddexp(0, z)
     zp, zu = (xp - m["mean"]) / m["sd"], (xu - m["mean"]) / m["sd"]
     size = 256
     for _ in range(epochs):
@@ -73,14 +106,7 @@ def train(xp: np.ndarray, xu: np.ndarray, prior: float | None, hidden: int = 24,
             z = np.concatenate([a, b])
             h = np.tanh(z @ m["w1"] + m["b1"])
             f = h @ m["w2"] + m["b2"]
-            fp, fu = f[: len(a)], f[len(a) :]
-            if prior is None:
-                g = np.concatenate([-sig(-fp), sig(fu)])
-            elif soft(fu).mean() - prior * soft(fp).mean() >= 0:
-                g = np.concatenate([prior * (-sig(-fp) - sig(fp)), sig(fu)])
-            else:  # the estimated risk of the negatives went below zero: undo it
-                g = np.concatenate([prior * sig(fp), -sig(fu)])
-            g = g / size
+            g = np.concatenate(nn_gradient(f[: len(a)], f[len(a) :], prior))
             dh = np.outer(g, m["w2"]) * (1 - h * h)
             grad = {"w1": z.T @ dh + decay * m["w1"], "b1": dh.sum(0), "w2": h.T @ g + decay * m["w2"], "b2": np.array([g.sum()])}
             step += 1
@@ -104,15 +130,16 @@ def class_prior(sp: np.ndarray, su: np.ndarray) -> float:
 
 
 def _sample(docs: DataFrame, ids: DataFrame, rows: int, id_col: str, text_col: str) -> np.ndarray:
-    """Features of the rows with the smallest hashes of ``ids``, at most ``rows`` of them."""
+    """Features of the rows with the smallest hashes of ``ids``, one per id and at most ``rows`` of them."""
     few = hash_sample(ids, rows)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in batches(frames, "text"):
             yield pd.DataFrame({"id": f["id"], "x": [features(t).tobytes() for t in f["text"]]})
 
-    got = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(few), "id").mapInPandas(run, "id long, x binary").toPandas()
-    got = got.drop_duplicates("id").sort_values("id")
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(few), "id").mapInPandas(run, "id long, x binary")
+    # One row per id, however many share it: the least by its features.
+    got = found.groupBy("id").agg(F.min("x").alias("x")).toPandas().sort_values("id")
     return np.stack([np.frombuffer(x, np.float32) for x in got["x"]]).astype(np.float64) if len(got) else np.empty((0, N_FEATURES))
 
 
@@ -148,7 +175,8 @@ def quality(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float
     out: nothing is learnt from them, labelled or not.
 
     Defined cases: null and empty texts are scored like any other (all features zero); null ids are not held out
-    and never learnt from; repeated rows get the same score each; an empty table gives an empty result; null labels
+    and never learnt from; very long texts are read whole; repeated rows, and rows that share an id, get the score of their own text each (one of an id's texts is learnt
+    from at most); equal texts have equal scores; an empty table gives an empty result; null labels
     count as none; other columns, clashing or not, are never read."""
     mark = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where("y is not null")
     free = ~held_out(F.col("id"), folds)
