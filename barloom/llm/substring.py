@@ -8,9 +8,9 @@ windows with the same anchor is a context. Where an anchor occurs once, none of
 1. Anchors of all documents are counted; those that occur again are kept.
 2. Documents are joined with their recurring anchors and cut into the contexts around them. All other words of
    all documents lie in no recurring window.
-3. Equal contexts are counted once, with their first place; contexts go to shards by anchor. A shard confirms by their words
-   the windows that recur, compiles them into an automaton, and streams its contexts through it: each
-   hit tells the window's first place in the corpus. Of an anchor with very many contexts the distinct windows are dealt,
+3. Equal contexts are counted once, with their first place; contexts go to shards by anchor. A shard takes the windows whose hashes
+   recur, compiles the passages they form where they first stand into an automaton, and streams the contexts of all documents through it: what it
+   finds, word by word, tells how often a window occurs and its first place in the corpus. Of an anchor with very many contexts the distinct windows are dealt,
    each once with its count and first place, and the confirmed ones are joined back to its contexts.
 4. Occurrences that are not the first are removed from their documents.
 
@@ -21,17 +21,20 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, stored
+from .common import batches, spent, stored
 
 ANCHOR = 8
 #: Contexts of a shard, and contexts of one anchor from which it is dealt by windows.
-SHARD = 1500
+SHARD = 3000
+#: Letters of each place of a spelled word: no node of an automaton has more branches.
+LETTERS = 128
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[32, 9, 10, 11, 12, 13]] = True
@@ -109,41 +112,79 @@ def _unpack(packed: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(packed)
 
 
+def _window_hashes(ids: np.ndarray, window: int) -> np.ndarray:
+    """A hash of each ``window`` consecutive numbers, from one running sum of powers."""
+    base, back = np.uint64(int(_BASE) | 1), np.uint64(pow(int(_BASE) | 1, -1, 1 << 64))
+    ones = np.concatenate([[np.uint64(1)], np.full(max(len(ids) - 1, 0), base, np.uint64)])
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(_mix(ids.astype(np.uint64) + np.uint64(1)) * np.cumprod(ones))])
+    inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(len(ids) - 1, 0), back, np.uint64)]))
+    n = max(0, len(ids) - window + 1)
+    return _mix((sums[window:] - sums[:-window])[:n] * inverse[:n])
+
+
 def locate(f: pd.DataFrame, window: int) -> pd.DataFrame:
-    """One shard: rows ``m, c1, c2, base, ctx, doc, start, n`` to ``m, c1, c2, runs``: for each context the stretches
-    of confirmed windows, with the place where their first occurrence begins."""
+    """One shard: contexts ``m, c1, c2, base, ctx, doc, start, n`` to ``m, c1, c2, off, len, fd, fs``: the stretches of recurring
+    windows of each context, with the place where their first occurrence begins.
+
+    Windows whose hashes occur again are candidates. Their stretches where they first stand, the passages, are compiled into an
+    automaton, window by window, over words spelled in a few letters each, so that no node has many branches. All contexts are
+    streamed through it, and what it finds, word by word, gives the counts and the first places."""
     import ahocorasick
 
     number: dict[str, int] = {}
-    seqs = [tuple(number.setdefault(w, len(number)) for w in c.split(" ")) for c in f["ctx"]]
-    seen: dict[tuple, list] = {}
-    for s, doc, start, n in zip(seqs, f["doc"].tolist(), f["start"].tolist(), f["n"].tolist()):
-        for k in range(len(s) - window + 1):
-            own = seen.get(w := s[k : k + window])
-            if own is None:
-                seen[w] = [n, doc, start + k]
-            else:
-                own[0] += n
-                if (doc, start + k) < (own[1], own[2]):
-                    own[1:] = doc, start + k
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for w, own in seen.items():
-        if own[0] > 1:
-            automaton.add_word(w, own)
-    out = []
-    if len(automaton):
+    seqs = [[number.setdefault(w, len(number)) for w in c.split(" ")] for c in f["ctx"]]
+    sizes = np.array([len(s) for s in seqs])
+    ids = np.fromiter(chain.from_iterable(seqs), np.int64, int(sizes.sum()))
+    digits = 1
+    while LETTERS**digits < len(number):
+        digits += 1
+    letters = ["".join(chr(0x100 + k * LETTERS + w // LETTERS**k % LETTERS) for k in range(digits)) for w in range(len(number))]
+    spelled = ["".join(map(letters.__getitem__, s)) for s in seqs]
+
+    # Places of all windows: context and number within it.
+    h = _window_hashes(ids, window)
+    first = np.cumsum(sizes) - sizes
+    count = np.maximum(sizes - window + 1, 0)
+    ctx = np.repeat(np.arange(len(sizes)), count)
+    k = np.arange(len(ctx)) - np.repeat(np.cumsum(count) - count, count)
+    h = h[first[ctx] + k]
+    n, doc, start = f["n"].to_numpy(np.int64), f["doc"].to_numpy(np.int64), f["start"].to_numpy(np.int64)
+    order = np.lexsort((start[ctx] + k, doc[ctx], h))
+    head = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]])) if len(order) else order
+    many = np.add.reduceat(n[ctx[order]], head) > 1 if len(order) else head
+    wanted = np.zeros(len(ctx), bool)
+    wanted[order] = np.repeat(many, np.diff(np.append(head, len(order))))
+    new = order[head[many]]
+    hits: list[tuple[int, int, int]] = []
+    automaton, step, patterns = ahocorasick.Automaton(), digits * window, 0
+    while len(new):
+        for c, at in zip(ctx[new].tolist(), (k[new] * digits).tolist()):
+            word = spelled[c][at : at + step]
+            if word not in automaton:
+                automaton.add_word(word, patterns)
+                patterns += 1
         automaton.make_automaton()
-        for s, m, c1, c2, base in zip(seqs, f["m"].tolist(), f["c1"].tolist(), f["c2"].tolist(), f["base"].tolist()):
-            runs: list = []
-            for end, (_, doc, start) in automaton.iter(s):
-                k = end - window + 1
-                if runs and runs[-1][0] + runs[-1][1] == base + k and runs[-1][2] == doc and runs[-1][3] + runs[-1][1] == start:
-                    runs[-1][1] += 1
-                else:
-                    runs.append([base + k, 1, doc, start])
-            if runs:
-                out.append((m, c1, c2, [{"off": a, "len": b, "doc": c, "start": d} for a, b, c, d in runs]))
-    return pd.DataFrame(out, columns=["m", "c1", "c2", "runs"])
+        hits = [(c, end, p) for c, s in enumerate(spelled) for end, p in automaton.iter(s)]
+        # A candidate that no pattern matches shares another window's hash: it is a pattern of its own.
+        place = np.array([(c, end + 1) for c, end, _ in hits], np.int64).reshape(-1, 2)
+        found = np.zeros(len(ctx), bool)
+        found[(np.cumsum(count) - count)[place[:, 0]] + place[:, 1] // digits - window] = True
+        new = np.flatnonzero(wanted & ~found)
+    hit = np.array(hits, np.int64).reshape(-1, 3)
+    c, k, p = hit[:, 0], (hit[:, 1] + 1) // digits - window, hit[:, 2]
+    times = np.bincount(p, weights=n[c], minlength=patterns)
+    order = np.lexsort((start[c] + k, doc[c], p))
+    top = order[np.concatenate([[True], p[order][1:] != p[order][:-1]])] if len(order) else order
+    fd, fs = np.zeros(patterns, np.int64), np.zeros(patterns, np.int64)
+    fd[p[top]], fs[p[top]] = doc[c[top]], (start[c] + k)[top]
+    sure = times[p] > 1
+    c, k, fd, fs = c[sure], k[sure], fd[p[sure]], fs[p[sure]]
+    order = np.lexsort((k, c))
+    c, k, fd, fs = c[order], k[order], fd[order], fs[order]
+    new = np.concatenate([[True], (c[1:] != c[:-1]) | (k[1:] != k[:-1] + 1) | (fd[1:] != fd[:-1]) | (fs[1:] != fs[:-1] + 1)]) if len(c) else np.zeros(0, bool)
+    at = np.flatnonzero(new)
+    own = f.iloc[c[at]]
+    return pd.DataFrame({"m": own["m"].to_numpy(), "c1": own["c1"].to_numpy(), "c2": own["c2"].to_numpy(), "off": (own["base"].to_numpy() + k[at]).astype(np.int32), "len": np.diff(np.append(at, len(c))).astype(np.int32), "fd": fd[at], "fs": fs[at]})
 
 
 def windows_of(kinds: DataFrame, window: int) -> DataFrame:
@@ -187,6 +228,7 @@ def repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col:
             yield pd.DataFrame({"m": own["m"], "k": np.minimum(own["k"], 2).astype(np.int32), "doc": f["doc"].to_numpy()[own["i"]], "th": f["th"].to_numpy()[own["i"]]})
 
     found = rows.mapInPandas(anchors, "m long, k int, doc long, th long")
+    found = stored(found, "found")
     again = stored(found.groupBy("m").agg(F.sum("k").alias("k")).where("k > 1").select("m"), "anchors")
     lists = found.select("m", "doc", "th").join(again, "m", "left_semi").groupBy("doc", "th").agg(F.collect_set("m").alias("ms"))
 
@@ -221,23 +263,23 @@ def repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col:
                 yield pd.DataFrame(out, columns=["m", "doc", "th", "start", "ctx"])
 
     occ = stored(texts.join(lists, ["doc", "th"]).mapInPandas(cut, "m long, doc long, th long, start long, ctx string"), "contexts")
+    spent(found, again)
     first = F.min(F.struct("doc", "start"))
     kinds = occ.groupBy("m", "ctx").agg(first.alias("f"), F.count("*").alias("n")).select("m", F.xxhash64("ctx").alias("c1"), F.xxhash64(F.lit(7), "ctx").alias("c2"), F.lit(0).alias("base"), "ctx", "f.doc", "f.start", "n")
     kinds = stored(kinds, "distinct-contexts")
     shards = max(1, -(-kinds.count() // SHARD))
     hot = stored(kinds.groupBy("m").count().where(F.col("count") > SHARD).select("m"), "hot-anchors")
 
-    result = "m long, c1 long, c2 long, runs array<struct<off:int,len:int,doc:long,start:long>>"
+    result = "m long, c1 long, c2 long, off int, len int, fd long, fs long"
     cool = kinds.join(hot, "m", "left_anti").withColumn("g", F.pmod(F.xxhash64("m"), F.lit(shards)))
     hits = cool.groupBy("g").applyInPandas(lambda f: locate(f, window), result)
-    hits = hits.select("m", "c1", "c2", F.explode("runs").alias("r")).select("m", "c1", "c2", "r.off", "r.len", F.col("r.doc").alias("fd"), F.col("r.start").alias("fs"))
     if not hot.isEmpty():
         of_hot = kinds.join(hot, "m", "left_semi")
         distinct = stored(hot_windows(of_hot, window), "hot-windows")
         dealt = distinct.withColumn("g", F.pmod(F.xxhash64("ctx"), F.lit(max(1, -(-distinct.count() // SHARD)))))
-        sure = dealt.groupBy("g").applyInPandas(lambda f: locate(f, window), result).select("m", F.col("c1").alias("w1"), F.col("c2").alias("w2"), F.col("runs")[0].alias("r"))
+        sure = dealt.groupBy("g").applyInPandas(lambda f: locate(f, window), result).select("m", F.col("c1").alias("w1"), F.col("c2").alias("w2"), "fd", "fs")
         found_in = windows_of(of_hot, window).select("m", "c1", "c2", "base", *_window_key()).join(sure, ["m", "w1", "w2"])
-        hits = hits.unionByName(found_in.select("m", "c1", "c2", F.col("base").alias("off"), F.lit(1).alias("len"), F.col("r.doc").alias("fd"), F.col("r.start").alias("fs")))
+        hits = hits.unionByName(found_in.select("m", "c1", "c2", F.col("base").alias("off"), F.lit(1).alias("len"), "fd", "fs"))
     places = occ.select("m", "doc", "th", "start", F.xxhash64("ctx").alias("c1"), F.xxhash64(F.lit(7), "ctx").alias("c2"))
     again_at = places.join(hits, ["m", "c1", "c2"]).where("not (fd = doc and fs = start + off)")
     span = F.struct((F.col("start") + F.col("off")).alias("a"), (F.col("start") + F.col("off") + F.col("len") + (window - 1)).alias("b"))
@@ -249,7 +291,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     (``kept``): every word is removed that a window covers whose word sequence also starts earlier, in a
     document with a smaller id or earlier in the same one.
 
-    Defined cases: null and empty texts have no words; texts of fewer words than a window lose none; rows that share an id are
+    Defined cases: null and empty texts have no words; very long texts are read whole; texts of fewer words than a window lose none; rows that share an id are
     places of one document each (equal rows do not repeat each other; only other ids do); a null id counts as the
     smallest; an empty table gives an empty result; other columns are ignored."""
     texts, spans = repeats(docs, window, id_col, text_col)

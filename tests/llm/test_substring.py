@@ -65,3 +65,18 @@ def test_windows_of_hot_anchors_are_dealt_once(spark, monkeypatch):
     monkeypatch.setattr(substring, "hot_windows", lambda k, w: widest.append((k.groupBy("m").count().agg({"count": "max"}).first()[0], kept(k, w).groupBy("m", "ctx").count().agg({"count": "max"}).first()[0])) or kept(k, w))
     assert run(spark, rows) == brute(rows)
     assert widest and widest[0][0] > 300 and widest[0][1] == 1
+
+
+def test_equal_hashes_of_different_windows(monkeypatch):
+    """Where hashes tell nothing apart, the automaton still decides by the words."""
+    import numpy as np
+    import pandas as pd
+
+    text = ["a b c d e", "b c d e f", "x y z u v", "x y z u w", "q q q q q"]
+    rows = pd.DataFrame({"m": 1, "c1": range(5), "c2": 0, "base": 0, "ctx": text, "doc": range(5), "start": 0, "n": [1, 1, 1, 1, 3]})
+    want = sorted(substring.locate(rows, 4).itertuples(index=False, name=None))
+    assert want == [(1, 0, 0, 1, 1, 0, 1), (1, 1, 0, 0, 1, 0, 1), (1, 2, 0, 0, 1, 2, 0), (1, 3, 0, 0, 1, 2, 0), (1, 4, 0, 0, 1, 4, 0), (1, 4, 0, 1, 1, 4, 0)]
+    monkeypatch.setattr(substring, "_window_hashes", lambda ids, w: np.zeros(max(0, len(ids) - w + 1), np.uint64))
+    assert sorted(substring.locate(rows, 4).itertuples(index=False, name=None)) == want
+    monkeypatch.setattr(substring, "LETTERS", 2)
+    assert sorted(substring.locate(rows, 4).itertuples(index=False, name=None)) == want
