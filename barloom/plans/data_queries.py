@@ -402,6 +402,11 @@ def coverage_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return missing(spark, X.bars_dense(spark, sf_dir))
 
 
+@query(with_parts("missing", wide=True) + "SELECT * FROM missing")
+def coverage_missing_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return missing(spark, stored(X.bars_wide(spark, sf_dir), "bars"))
+
+
 @query(with_parts("documented") + "SELECT a.symbol, a.session_date, d.reason FROM absent a JOIN documented d USING (exchange, symbol, session_date)")
 def documented_absence(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = X.bars_dense(spark, sf_dir)
@@ -530,36 +535,48 @@ OVERLAP = """,
 """
 
 
-def overlap(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    b = stored(X.bars_dense(spark, sf_dir), "bars")
+def overlap(bars: DataFrame) -> tuple[DataFrame, DataFrame]:
+    b = stored(bars, "bars")
     events = C.asof_forward(X.ledger(b), b)
     return b, R.reconcile_overlap(b, X.bars_b(b), events)
 
 
 @query(with_parts("bars_c", "applied") + OVERLAP + "SELECT symbol, trading_date, round(CASE WHEN d <> 0 THEN d END, 6) AS abs_diff, round(CASE WHEN d <> 0 THEN d / m END, 6) AS rel_diff, d = 0 AS price_match, volume_match, boundary FROM overlap")
 def reconcile_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlap(spark, sf_dir)[1].select("symbol", "trading_date", F.round("abs_diff", 6).alias("abs_diff"), F.round("rel_diff", 6).alias("rel_diff"), "price_match", "volume_match", "boundary")
+    return overlap(X.bars_dense(spark, sf_dir))[1].select("symbol", "trading_date", F.round("abs_diff", 6).alias("abs_diff"), F.round("rel_diff", 6).alias("rel_diff"), "price_match", "volume_match", "boundary")
 
 
 @query(with_parts("bars_c", "applied") + OVERLAP + "SELECT symbol, trading_date, verdict FROM judged")
 def adjudicate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b, o = overlap(spark, sf_dir)
+    b, o = overlap(X.bars_dense(spark, sf_dir))
     return R.adjudicate(o, X.bars_c(b)).select("symbol", "trading_date", "verdict")
 
 
-@query(with_parts("bars_c", "applied") + OVERLAP + """
+REPORT = OVERLAP + """
     SELECT o.*, coalesce(j.mismatched, 0) AS mismatched, coalesce(j.adjudicated, 0) AS adjudicated, coalesce(j.source_rejected, 0) AS source_rejected, coalesce(j.unexplained, 0) AS unexplained, coalesce(j.dates, '') AS mismatch_dates,
            CASE WHEN coalesce(j.source_rejected, 0) = 0 AND coalesce(j.unexplained, 0) = 0 THEN 'pass' ELSE 'blocked' END AS status
     FROM (SELECT symbol, count(*) AS overlap, count(*) FILTER (boundary) AS boundary_dates, round(max(d) FILTER (d <> 0), 6) AS max_abs_diff, round(max(d / m) FILTER (d <> 0), 6) AS max_rel_diff FROM overlap GROUP BY symbol) o
     LEFT JOIN (SELECT symbol, count(*) AS mismatched, count(*) FILTER (verdict = 'adjudicated') AS adjudicated, count(*) FILTER (verdict = 'source_rejected') AS source_rejected,
-        count(*) FILTER (verdict = 'unexplained') AS unexplained, string_agg(CAST(trading_date AS VARCHAR), ',' ORDER BY trading_date) AS dates FROM judged GROUP BY symbol) j USING (symbol)""")
-def reconciliation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b, o = overlap(spark, sf_dir)
+        count(*) FILTER (verdict = 'unexplained') AS unexplained, string_agg(CAST(trading_date AS VARCHAR), ',' ORDER BY trading_date) AS dates FROM judged GROUP BY symbol) j USING (symbol)"""
+
+
+def report(bars: DataFrame) -> DataFrame:
+    b, o = overlap(bars)
     o = stored(o, "overlap")
     out = R.reconciliation_report(o, R.adjudicate(o, X.bars_c(b)), b).drop("exchange", "price_basis", "reason")
     return out.withColumn("max_abs_diff", F.round("max_abs_diff", 6)).withColumn("max_rel_diff", F.round("max_rel_diff", 6))
 
 
+@query(with_parts("bars_c", "applied") + REPORT)
+def reconciliation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(X.bars_dense(spark, sf_dir))
+
+
+@query(with_parts("bars_c", "applied", wide=True) + REPORT)
+def reconciliation_report_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(X.bars_wide(spark, sf_dir))
+
+
 @query(with_parts("bars") + "SELECT symbol, CASE WHEN symbol < 'N' THEN 0 ELSE count(*) FILTER (dayofyear(trading_date) % 53 <> 0) END AS overlap, CASE WHEN symbol < 'N' THEN 'no_overlap' END AS reason, CASE WHEN symbol < 'N' THEN 'blocked' ELSE 'pass' END AS status FROM bars GROUP BY symbol")
 def reconciliation_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every instrument of the source has a report, also those whose providers share no session."""
@@ -723,7 +740,7 @@ def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT u.symbol, CASE WHEN coalesce(j.bad, 0) = 0 THEN 'r-' || u.symbol END AS report_id FROM (SELECT DISTINCT symbol FROM bars) u
     LEFT JOIN (SELECT symbol, count(*) FILTER (verdict <> 'adjudicated') AS bad FROM judged WHERE year(trading_date) = 1996 GROUP BY 1) j USING (symbol)""")
 def report_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b, o = overlap(spark, sf_dir)
+    b, o = overlap(X.bars_dense(spark, sf_dir))
     o = stored(o, "overlap")
     report = R.reconciliation_report(o, R.adjudicate(o, X.bars_c(b)).where(F.year("trading_date") == 1996)).withColumn("report_id", F.concat(F.lit("r-"), "symbol"))
     return P.report_lookup(b.select("symbol").distinct(), report, F.col("status") == "pass", ["symbol"])

@@ -31,12 +31,23 @@ def backward_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.backward_adjust(b, X.ledger(b)).select("symbol", "trading_date", F.round(F.col("close") + 0.0000003, 4).alias("close"), F.round("factor", 8).alias("factor"))
 
 
-@query(with_parts("factors") + "SELECT symbol, trading_date, round(close * forward + 0.0000003, 4) AS close, round(forward, 6) AS factor FROM factors")
-def forward_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = X.bars_dense(spark, sf_dir)
+FORWARD = "SELECT symbol, trading_date, round(close * forward + 0.0000003, 4) AS close, round(forward, 6) AS factor FROM factors"
+
+
+def forward(b: DataFrame) -> DataFrame:
     return A.forward_adjust(b, X.ledger(b)).select("symbol", "trading_date", F.round(F.col("close") + 0.0000003, 4).alias("close"), F.round("factor", 6).alias("factor"))
 
 
+@query(with_parts("factors") + FORWARD)
+def forward_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forward(X.bars_dense(spark, sf_dir))
+
+
+@query(with_parts("factors", wide=True) + FORWARD)
+def forward_adjust_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forward(X.bars_wide(spark, sf_dir))
+
+
 @query(with_parts("ledger") + "SELECT symbol, effective_date AS trading_date, round(cash_per_unit * 200, 4) AS cash_per_unit FROM ledger WHERE kind = 'cash' AND k % 4 = 0")
 def cash_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distributions that reach the previous close: every second one is made to."""
@@ -121,6 +132,11 @@ def monthly_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(W.monthly_targets(W.features(X.bars_dense(spark, sf_dir))), 8, "weight")
 
 
+@query(with_parts("targets", wide=True) + "SELECT signal_date, symbol, round(weight, 8) AS weight FROM targets")
+def monthly_targets_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(W.monthly_targets(W.features(X.bars_wide(spark, sf_dir))), 8, "weight")
+
+
 @query(with_parts("bars") + """
     , e AS (SELECT max(trading_date) AS signal_date FROM bars GROUP BY date_trunc('month', trading_date)), u AS (SELECT DISTINCT symbol FROM bars)
     SELECT signal_date, symbol, round(1.0 / (SELECT count(*) FROM u), 8) AS weight FROM e, u UNION ALL SELECT signal_date, 'CASH', 0.0 FROM e""")

@@ -144,16 +144,17 @@ PARTS: dict[str, tuple[str, tuple[str, ...]]] = {
 }
 
 
-def with_parts(*names: str) -> str:
-    """``WITH`` clause of the named tables and what they build on."""
+def with_parts(*names: str, wide: bool = False) -> str:
+    """``WITH`` clause of the named tables and what they build on; ``wide``: on the bars with a series per supplier."""
+    parts = dict(PARTS, bars=(_bars("bars", "CAST(l_suppkey AS VARCHAR)", "lineitem"), ())) if wide else PARTS
     done: list[str] = []
 
     def add(name: str) -> None:
-        for need in PARTS[name][1]:
+        for need in parts[name][1]:
             add(need)
         if name not in done:
             done.append(name)
 
     for n in names:
         add(n)
-    return "WITH " + ",".join(PARTS[n][0] for n in done) + "\n"
+    return "WITH " + ",".join(parts[n][0] for n in done) + "\n"
