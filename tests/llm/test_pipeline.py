@@ -1,3 +1,4 @@
+import random
 import re
 
 import corpus_pipeline as P
@@ -62,3 +63,42 @@ def test_empty_documents(spark, sf):
     for k, (_, f) in enumerate(P.STAGES):
         docs = stored(f(spark, docs, sf), f"e{k}")
         assert docs.count() == 0
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _salt int, more int, id long, node string"
+
+
+def stage(spark, name, rows, sf):
+    docs = stored(spark.createDataFrame([(*r, 1, 2, 3, "n") for r in rows], SCHEMA), "rows")
+    out = dict(P.STAGES)[name](spark, docs, sf)
+    if name != "best-fit packing":
+        assert out.columns == docs.columns
+    return sorted(((r["doc_id"], r["text"]) if name != "best-fit packing" else r["doc_id"] for r in out.collect()), key=str)
+
+
+def row(i, t):
+    return (i, t, "en" if t and t.isascii() else None, "src", len(t or ""))
+
+
+def test_stages_decide_row_by_row(spark, sf):
+    """Null ids, ids that rows share, equal rows, nulls in all columns, empty and very long texts, and further columns with clashing names."""
+    english = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en' and n_chars between 400 and 3000").select("text").distinct().orderBy("text").collect()]
+    starts = {tuple(t.split()[:4]): " ".join(t.split()[:60]) for t in english}  # no copies among them
+    a, b, c = list(starts.values())[:3]
+    rng, own = random.Random(6), " ".join(english).split()
+    long = " ".join(rng.choice(own) for _ in range(100_000))
+    assert len(long) > 500_000
+    junk = "日本語の文章です。" * 9
+    rows = [row(1, a), row(1, junk), row(None, a), row(None, junk), row(2, None), row(3, ""), (4, b, None, None, None), row(5, long)]
+    assert stage(spark, "language ID", [*rows, *(row(100 + k, t) for k, t in enumerate(english))], sf) == sorted(((r[0], r[1]) for r in [*rows, *(row(100 + k, t) for k, t in enumerate(english))] if r[1] and r[1] != junk), key=str)
+    rows = [row(7, a), row(7, a), row(7, b), row(None, b + " "), row(None, c), row(9, a), row(2, None), row(3, "  "), row(5, long)]
+    got = stage(spark, "exact dedup", rows, sf)
+    assert got == sorted([(7, a), (None, b + " "), (None, c), (3, "  "), (5, long)], key=str)
+    near = a + " more"
+    rows = [row(7, near), row(7, b), row(None, a), row(4, a + " end"), row(None, c), row(None, c), row(2, None), row(3, ""), row(5, long), row(6, long + " x")]
+    assert stage(spark, "SimHash near-dedup", rows, sf) == sorted([(4, a + " end"), (7, b), (None, c), (2, None), (3, ""), (5, long)], key=str)
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first()["text"]
+    rows = [row(1, a), row(1, f"{a} {item}"), row(None, f"{item} {b}"), row(None, b), row(None, b), row(2, None), row(5, long), row(6, f"{long} {item}")]
+    assert stage(spark, "benchmark decontamination", rows, sf) == sorted([(1, a), (None, b), (None, b), (2, None), (5, long)], key=str)
+    got = stage(spark, "best-fit packing", [row(1, "a"), row(1, "a"), row(None, None), row(2, "")], sf)
+    assert got == [1, 1, 2, None]
