@@ -94,7 +94,10 @@ def train(xp: np.ndarray, xu: np.ndarray, prior: float | None, hidden: int = 24,
     x = np.concatenate([xp, xu])
     # The many sparse features of content weigh a tenth each, so that they cannot learn the rows by heart.
     weight = np.where(np.arange(x.shape[1]) < N_FEATURES - 2 * SLOTS, 1.0, CONTENT)
-    m = {"mean": x.mean(0), "sd": (x.std(0) + 0.02) / weight, "w1": rng.normal(0, 1 / math.sqrt(x.shape[1]), (x.shape[1], hidden)), "b1": np.zeros(hidden), "w2": rng.normal(0, 0.3, hidden), "b2": np.zeros(1)}
+    mean = x.mean(0, dtype=np.float64)
+    sd = np.sqrt(np.maximum(np.einsum("ij,ij->j", x, x, dtype=np.float64) / len(x) - mean**2, 0))
+    del x
+    m = {"mean": mean.astype(xp.dtype), "sd": ((sd + 0.02) / weight).astype(xp.dtype), "w1": rng.normal(0, 1 / math.sqrt(xp.shape[1]), (xp.shape[1], hidden)), "b1": np.zeros(hidden), "w2": rng.normal(0, 0.3, hidden), "b2": np.zeros(1)}
     names = ("w1", "b1", "w2", "b2")
     mom, sq, step = {k: np.zeros_like(m[k]) for k in names}, {k: np.zeros_like(m[k]) for k in names}, 0
     zp, zu = (xp - m["mean"]) / m["sd"], (xu - m["mean"]) / m["sd"]
@@ -140,7 +143,7 @@ def _sample(docs: DataFrame, ids: DataFrame, rows: int, id_col: str, text_col: s
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(few), "id").mapInPandas(run, "id long, x binary")
     # One row per id, however many share it: the least by its features.
     got = found.groupBy("id").agg(F.min("x").alias("x")).toPandas().sort_values("id")
-    return np.stack([np.frombuffer(x, np.float32) for x in got["x"]]).astype(np.float64) if len(got) else np.empty((0, N_FEATURES))
+    return np.stack([np.frombuffer(x, np.float32) for x in got["x"]]) if len(got) else np.empty((0, N_FEATURES), np.float32)
 
 
 def fit(docs: DataFrame, positive_ids: DataFrame, unlabelled_ids: DataFrame, sample_positive: int = 4000, sample_unlabelled: int = 8000, id_col: str = "doc_id", text_col: str = "text") -> dict:
