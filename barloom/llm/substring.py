@@ -283,7 +283,7 @@ def repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col:
     places = occ.select("m", "doc", "th", "start", F.xxhash64("ctx").alias("c1"), F.xxhash64(F.lit(7), "ctx").alias("c2"))
     again_at = places.join(hits, ["m", "c1", "c2"]).where("not (fd = doc and fs = start + off)")
     span = F.struct((F.col("start") + F.col("off")).alias("a"), (F.col("start") + F.col("off") + F.col("len") + (window - 1)).alias("b"))
-    return texts, again_at.groupBy("doc", "th").agg(F.collect_list(span).alias("removed"))
+    return texts, again_at.groupBy("doc", "th").agg(F.collect_set(span).alias("removed"))
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", texts_too: bool = False) -> DataFrame:

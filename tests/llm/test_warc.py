@@ -25,7 +25,7 @@ def test_round_trip(spark):
 
 def test_index_points_at_records(spark):
     path = new_dir(spark, "warc")
-    index = warc.write_archives(pages(spark, ROWS).repartition(1), path, archive_bytes=3000)
+    index = warc.write_archives(pages(spark, ROWS).repartition(1), path, archive_bytes=600)
     rows = index.collect()
     assert len({r["archive"] for r in rows}) > 1
     for r in rows:
