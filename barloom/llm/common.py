@@ -69,17 +69,21 @@ BROADCAST_ROWS, BROADCAST_NUMBERS = 400_000, 2_000_000
 SALTS = 16
 
 
+def salted_join(rows: DataFrame, few: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """A shuffled join in which each row of ``few`` stands once in each of SALTS parts, so that a key that many ``rows`` hold is
+    spread. The part of a row is that of its task's number, which is the same when the task runs again."""
+    salted = rows.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    copies = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
 def joined(rows: DataFrame, few: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """``rows`` joined with ``few``, a stored table with one row per key: broadcast where its counted rows are few enough,
-    else by a shuffle in which each key of ``few`` stands once in each of SALTS parts, so that a key that many
-    ``rows`` hold is spread. The part of a row is that of its task's number, which is the same when the task runs
-    again."""
+    else by ``salted_join``."""
     number = len(few.dtypes) == 1 and few.dtypes[0][1] in ("int", "bigint")
     if few.count() <= (BROADCAST_NUMBERS if number else BROADCAST_ROWS):
         return rows.join(F.broadcast(few), keys, how)
-    salted = rows.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
-    copies = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    return salted_join(rows, few, keys, how)
 
 
 #: Stands for a null id inside Python functions, where a column of whole numbers with nulls would turn to floats.

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined, stored, text_or_empty
+from .common import joined, salted_join, stored, text_or_empty
 
 #: Token positions that each seed reads.
 MASKS = ((0, 2, 5, 6, 7, 8, 9), (0, 1, 2, 4, 6, 9, 10), (0, 1, 2, 3, 4, 6, 7))
@@ -60,7 +60,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).alias("id"), token_hashes(text_or_empty(text_col)).alias("h"))
     # A text is named by two hashes of its tokens; equal texts are looked at once. Hits are narrow rows, however long the text.
     name = [F.xxhash64("h").alias("c1"), F.xxhash64(F.lit(7), "h").alias("c2")]
-    at = _positions(rows.select("id", *name, "h"), "h", "id", "c1", "c2").join(F.broadcast(seeds) if small else seeds, "key")
+    at = _positions(rows.select("id", *name, "h"), "h", "id", "c1", "c2")
+    at = at.join(F.broadcast(seeds), "key") if small else salted_join(at, seeds, ["key"], "inner")
     hits = stored(at.select("id", "c1", "c2", "item", "length", (F.col("pos") - F.col("at")).alias("shift")).distinct(), "decontam-hits")
 
     # The tokens of each text with hits, read again for these alone, and of them what faces an item.

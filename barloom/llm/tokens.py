@@ -58,7 +58,8 @@ def section_tokens(docs: DataFrame, tokenizer: str, rule: str = "first", section
     in characters, ``n_tokens`` a whole number unless the rule is ``share``. The counts of a document's sections
     add up to the tokens of the whole document, whatever the rule.
 
-    Defined cases: null and empty texts have one empty section without tokens; repeated rows are counted
+    Defined cases: null and empty texts have one empty section without tokens; very long texts are encoded whole; a token with equal
+    parts in two sections is the earlier one's under ``most``; repeated rows, and rows that share an id, are counted
     once each; a null id stays null; an empty table gives an empty result; other columns are ignored."""
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")

@@ -37,3 +37,21 @@ def test_shuffled_join_agrees(spark, sf, monkeypatch):
 
 def test_empty_tables(spark):
     assert run(spark, [], [(1, ITEM)]) == set() and run(spark, [(1, ITEM)], []) == set()
+
+
+def test_very_long_texts_ties_and_refused_settings(spark, monkeypatch):
+    """A long text with many hits; items that match equally well are told all; settings the masks do not cover raise."""
+    import pytest
+
+    from barloom.llm import common
+
+    long = " ".join(["u v " * 100 + ITEM] * 400)
+    docs = [(1, long), (None, long), (1, "clean words only " * 30), (2, ITEM)]
+    want = {(1, 1), (1, 2), (None, 1), (None, 2), (2, 1), (2, 2)}
+    assert run(spark, docs, [(1, ITEM), (2, ITEM + " and more words of its own")]) == want
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "BROADCAST_NUMBERS", 0)
+    assert run(spark, docs, [(1, ITEM), (2, ITEM + " and more words of its own")]) == want
+    for setting in ({"window": 12}, {"differ": 3}):
+        with pytest.raises(ValueError):
+            decontam.contaminated(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string"), **setting)
