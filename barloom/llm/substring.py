@@ -32,9 +32,9 @@ from .common import batches, spent, stored
 
 ANCHOR = 8
 #: Contexts of a shard, and contexts of one anchor from which it is dealt by windows.
-SHARD = 3000
+SHARD = 1500
 #: Letters of each place of a spelled word: no node of an automaton has more branches.
-LETTERS = 128
+LETTERS = 256
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[32, 9, 10, 11, 12, 13]] = True
