@@ -23,9 +23,6 @@ from pyspark.sql import functions as F
 
 from .common import batches, id_in, id_out
 
-PATH, WORDS, SHAPE = 192, 48, 8
-N_IN = PATH + WORDS + SHAPE
-
 #: Elements without content, elements whose content is no text, and elements that do not end a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = "script|style|noscript|template|textarea|title|svg|iframe|canvas|object|math|select|option|button"
@@ -35,6 +32,13 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
 ENDS_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
+#: Each known tag has a slot of its own, and all others share one.
+TAG_SLOTS = {t: i for i, t in enumerate(sorted(VOID | INLINE | ENDS_P | {"body", "caption", "dd", "dt", "html", "li", "search", "tbody", "td", "tfoot", "th", "thead", "tr"}))}
+TAGS = len(TAG_SLOTS) + 1
+#: Slots of tag names and of the hashed parts of classes, ids and roles together, of hashed words, and shape counts.
+PATH, WORDS, SHAPE = TAGS + 192, 96, 12
+N_IN = PATH + WORDS + SHAPE
+
 #: Raw elements that run to the end of the page where their end tag is missing.
 TO_END = frozenset("script style textarea title".split())
 
@@ -45,8 +49,9 @@ _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?P<own>{_TAG})|<[!?][
 _RAW_END = {t: re.compile(rf"</{t}(?:\s[^>]*|/)?>", re.I) for t in RAW.split("|")}
 _RAW_END |= {t: re.compile(rf"</{t}(?:\s[^>]*|/)?>|(?P<again><{t}\b)", re.I) for t in ("button", "select", "canvas", "noscript", "iframe")}
 _RAW_END["option"] = re.compile(rf"</option(?:\s[^>]*|/)?>|(?=</?(?!(?:{'|'.join(sorted(INLINE))})\b)[a-z])", re.I)
-_ATTR = re.compile(r"\b(class|id|role|itemprop|hidden|aria-label)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_PART = re.compile(r"[a-z]+|\d+")
+_ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NAMED = frozenset("class id role itemprop hidden aria-label".split())
+_PART = re.compile(r"[a-z]+")
 
 
 @functools.lru_cache(1 << 16)
@@ -54,29 +59,41 @@ def _slot(word: str, size: int) -> int:
     return zlib.crc32(word.encode("utf-8", "replace")) % size
 
 
-@functools.lru_cache(1 << 16)
-def _word_slot(word: str) -> int:
-    return _slot(word.lower().strip(".,:;!?()"), WORDS)
+class _WordSlots(dict):
+    """Slots of words as they stand; emptied when it has grown large."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 1 << 18:
+            self.clear()
+        self[word] = slot = _slot(word.lower().strip(".,:;!?()"), WORDS)
+        return slot
+
+
+_WORD_SLOTS = _WordSlots()
 
 
 def path_slots(tag: str, attrs: str) -> list[int]:
-    """Hashed features of one tag: its name, and the parts of its class, id and role."""
-    out = [_slot("t:" + tag, PATH)]
+    """Features of one tag: its name, and the hashed parts, in letters, of its class, id and role."""
+    out, own = [TAG_SLOTS.get(tag, TAGS - 1)], lambda part: TAGS + _slot(part, PATH - TAGS)
     if attrs:
         for m in _ATTR.finditer(attrs):
             name, value = m.group(1).lower(), (m.group(2) or m.group(3) or m.group(4) or "").lower()
-            out.append(_slot(f"{name}=", PATH) if name == "hidden" else _slot("c:", PATH))
-            out += [_slot("c:" + p, PATH) for p in _PART.findall(value)]
+            if name in _NAMED:
+                out.append(own("hidden=" if name == "hidden" else "="))
+                out += map(own, _PART.findall(value))
     return out
 
 
 class Blocks:
-    """Texts of a page's blocks, and per block the slots of its path and its link share."""
+    """Texts of a page's blocks, and per block the slots of its path, its innermost tag that is not inline, its link share, and the
+    number of tags open above it."""
 
     def __init__(self) -> None:
         self.texts: list[str] = []
         self.paths: list[list[int]] = []
+        self.tags: list[str] = []
         self.links: list[float] = []
+        self.depths: list[int] = []
 
 
 def after_raw(page: str, tag: str, own: str, at: int, endless: set[str]) -> int:
@@ -96,6 +113,8 @@ def blocks(page: str | None) -> Blocks:
     references are decoded; white space within a block is one space; blocks without text are left out. Unclosed
     and misnested tags are closed as browsers close them: a paragraph ends at the next block-level tag."""
     out, stack, cache = Blocks(), [], {}
+    held: dict[int, int] = {}  # slots of the open tags
+    open_: dict[str, int] = {}  # how many tags of each name are open
     text: list[str] = []
     linked = depth = total = 0
     at = 0
@@ -108,15 +127,23 @@ def blocks(page: str | None) -> Blocks:
             t = " ".join((html.unescape(t) if "&" in t else t).split())
             if t:
                 out.texts.append(t)
-                out.paths.append([s for _, slots in stack for s in slots])
+                out.paths.append(list(held))
+                out.tags.append(next((t for t, _ in reversed(stack) if t not in INLINE), ""))
                 out.links.append(linked / max(total, 1))
+                out.depths.append(len(stack))
             text.clear()
         linked = total = 0
 
     def close_to(k: int) -> None:
         nonlocal depth
         while len(stack) > k:
-            depth -= stack.pop()[0] == "a"
+            tag, slots = stack.pop()
+            depth -= tag == "a"
+            open_[tag] -= 1
+            for s in slots:
+                held[s] -= 1
+                if not held[s]:
+                    del held[s]
 
     def add(piece: str) -> None:
         nonlocal linked, total
@@ -142,7 +169,7 @@ def blocks(page: str | None) -> Blocks:
             continue
         block = tag not in INLINE
         if m.group("end"):
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None) if open_.get(tag) else None
             if block:
                 flush()
             if k is not None and (block or all(t in INLINE for t, _ in stack[k:])):
@@ -150,31 +177,32 @@ def blocks(page: str | None) -> Blocks:
             continue
         if block:
             flush()
-            if tag in ENDS_P:
+            if tag in ENDS_P and open_.get("p"):
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == "p":
                         close_to(i)
                         break
                     if stack[i][0] not in INLINE:
                         break
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in STOPS.get(tag, ()):
-                    break
-                if stack[i][0] in CLOSES.get(tag, ()):
-                    close_to(i)
-                    break
-        if tag in VOID or m.group("attrs").endswith("/"):
+            if any(map(open_.get, CLOSES.get(tag, ()))):
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] in STOPS[tag]:
+                        break
+                    if stack[i][0] in CLOSES[tag]:
+                        close_to(i)
+                        break
+        if tag in VOID:  # a closing slash says nothing of other elements
             continue
         key = (tag, "" if tag == "a" else m.group("attrs"))
         slots = cache.get(key)
         if slots is None:
             slots = path_slots(*key)
-            if len(key[1]) < 200:  # longer ones seldom come again
-                cache[key] = slots
+            cache[key] = slots
         stack.append((tag, slots))
+        open_[tag] = open_.get(tag, 0) + 1
+        for i in slots:
+            held[i] = held.get(i, 0) + 1
         depth += tag == "a"
-        if len(stack) > 400:  # deeper nesting carries no more meaning; the text still counts
-            close_to(200)
     if at < len(page):
         add(page[at:])
     flush()
@@ -184,11 +212,14 @@ def blocks(page: str | None) -> Blocks:
 def vectors(b: Blocks) -> np.ndarray:
     """One row per block: path slots, hashed counts of all words (on a log scale), shape counts."""
     x = np.zeros((len(b.texts), N_IN), np.float32)
-    for i, (t, p, link) in enumerate(zip(b.texts, b.paths, b.links)):
+    slots: list[int] = []
+    for i, (t, p, link, tag, deep) in enumerate(zip(b.texts, b.paths, b.links, b.tags, b.depths)):
         x[i, p] = 1
         k, n = t.count(" ") + 1, len(t)
-        x[i, PATH : PATH + WORDS] = np.log1p(np.bincount([_word_slot(v) for v in t.split(" ")], minlength=WORDS)) / 2
-        x[i, PATH + WORDS :] = (math.log1p(k) / 5, math.log1p(n / k) / 3, link, sum(map(t.count, ".!?")) / k, sum(map(t.count, "|©·»›•")) / k, i / len(b.texts), 1.0 if i == 0 else 0.0, 1.0 if t[-1] in ".!?" else 0.0)
+        slots += [i * WORDS + v for v in map(_WORD_SLOTS.__getitem__, t.split(" "))]
+        x[i, PATH + WORDS :] = (math.log1p(k) / 5, math.log1p(n / k) / 3, link, sum(map(t.count, ".!?")) / k, sum(map(t.count, "|©·»›•")) / k, i / len(b.texts), 1.0 if i == 0 else 0.0, 1.0 if t[-1] in ".!?" else 0.0,
+            1.0 if tag in ("h1", "h2", "h3", "h4", "h5", "h6") else 0.0, 1.0 if tag in ("", "body", "div", "section", "td") else 0.0, 1.0 if tag == "li" else 0.0, math.log1p(deep) / 3)
+    x[:, PATH : PATH + WORDS] = np.log1p(np.bincount(slots, minlength=len(x) * WORDS).reshape(len(x), WORDS)) / 2
     return x
 
 
@@ -248,8 +279,8 @@ def label(pages: list[np.ndarray], p: dict, most_cells: int = 1 << 16) -> list[n
 def extract(pages: DataFrame, params: dict | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``id, url, text, n_chars, n_blocks`` per row: the blocks labelled main text, in page order, joined by line feeds.
 
-    Defined cases: null or empty html and pages without main text give the empty string; very long pages are read whole; repeated
-    rows give a row each; null ids and URLs stay null; an empty table gives an empty result; other columns are ignored."""
+    Defined cases: null or empty html and pages without main text give the empty string; very long pages, attributes and paths of open
+    tags are read whole; a block that is as likely main text as not is none; repeated rows, and rows that share an id, give a row each; null ids and URLs stay null; an empty table gives an empty result; other columns are ignored."""
     if params is None:
         from .html_model import load
 

@@ -29,7 +29,8 @@ def test_long_tags_and_long_blocks_are_read_whole():
     style = ' style="' + "color:red;" * 40 + '"'
     for tag in ("div", "nav"):
         short, long = (html_blocks.blocks(f'<{tag} class="sidebar"{x} id="ads" role="menu">Text</{tag}>').paths for x in ("", style))
-        assert short == long and len(short[0]) > 1
+        assert [set(p) for p in short] == [set(p) for p in long] and len(short[0]) > 1
+        assert html_blocks.path_slots(tag, ' data-id="ads" data-class="x" title=\' class="menu" id=y\'') == html_blocks.path_slots(tag, "")
     one, two, three = (html_blocks.vectors(html_blocks.blocks(f"<p>a b c d {w} e f</p>"))[0] for w in ("cookies", "history", "cookies cookies"))
     words = slice(html_blocks.PATH, html_blocks.PATH + html_blocks.WORDS)
     assert (one[words] != two[words]).any() and (one[words] != three[words]).any()
@@ -56,8 +57,38 @@ def test_whole_articles_of_the_table(spark, sf):
         assert got[r["page_id"]] == "\n".join(w for w in want if w)
 
 
+def test_a_closing_slash_opens_other_elements():
+    b = html_blocks.blocks("<div class=x/>one<a href=/x/>two</a> three</div><br/>four<hr/>five")
+    assert b.texts == ["onetwo three", "four", "five"] and set(b.paths[0]) == {s for t, a in (("div", "class=x"),) for s in html_blocks.path_slots(t, a)} and not b.paths[1]
+
+
+def test_deep_nesting_is_followed_to_the_end():
+    deep = '<div class="comments">' + "<div>" * 3000 + "deep" + "</div>" * 3000 + "</div>after"
+    b = html_blocks.blocks(deep)
+    assert b.texts == ["deep", "after"] and set(html_blocks.path_slots("div", 'class="comments"')) <= set(b.paths[0]) and not b.paths[1]
+    assert html_blocks.blocks("</p>" * 20_000 + "<b>" * 20_000 + "x" + "</i>" * 20_000).texts == ["x"]
+
+
+def main_text(page):
+    b = html_blocks.blocks(page)
+    return [t for t, y in zip(b.texts, html_blocks.label([html_blocks.vectors(b)], html_model.load())[0]) if y]
+
+
+STORY = ["This is the first paragraph of the story, which goes on for a while and says things.", "A second paragraph follows, with more to say about the same matter, and then some.", "At last the third one ends it all with a closing remark on what was said before."]
+
+
+def test_articles_without_telling_marks():
+    menu = '<div><ul><li><a href="/">Home</a></li><li><a href="/x">News</a></li></ul></div>'
+    assert main_text(f"<body>{menu}<div><h1>Big title here</h1>{''.join(f'<div>{x}</div>' for x in STORY)}</div><div>© 2024 Example Inc. All rights reserved</div></body>") == ["Big title here", *STORY]
+    assert main_text("<body>" + "<br><br>".join(STORY) + "</body>") == [" ".join(STORY)]
+    long = "x" * 220
+    assert main_text(f'<div class="content">{"".join(f"<p>{x}</p>" for x in STORY)}</div><div class="comments" data-q="{long}"><p>Nice story, thanks for the writing of it.</p><p>I do not agree with the author at all.</p></div>') == STORY
+
+
 def test_held_out_layouts():
-    assert html_model.accuracy(html_model.sample(range(500_000, 500_150)), html_model.load()) > 0.985
+    """Layouts not trained on, by kind: the share of right blocks is 0.98 or more in each."""
+    right = html_model.held_out(html_model.load(), 150)
+    assert set(right) == {"marked", "plain", "bare", "long attributes"} and min(right.values()) >= 0.98, right
 
 
 def test_gradients():
