@@ -33,8 +33,9 @@ from .common import batches, spent, stored
 ANCHOR = 8
 #: Contexts of a shard, and contexts of one anchor from which it is dealt by windows.
 SHARD = 1500
-#: Letters of each place of a spelled word: no node of an automaton has more branches.
-LETTERS = 256
+#: Words of a shard that are spelled in one letter, the first met, and second letters of the others, which have two: an automaton's
+#: root has few branches more, and no other node has more.
+SINGLE, SECOND = 192, 256
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[32, 9, 10, 11, 12, 13]] = True
@@ -127,7 +128,7 @@ def locate(f: pd.DataFrame, window: int) -> pd.DataFrame:
     windows of each context, with the place where their first occurrence begins.
 
     Windows whose hashes occur again are candidates. Their stretches where they first stand, the passages, are compiled into an
-    automaton, window by window, over words spelled in a few letters each, so that no node has many branches. All contexts are
+    automaton, window by window, over words spelled in one or two letters, so that no node has many branches. All contexts are
     streamed through it, and what it finds, word by word, gives the counts and the first places."""
     import ahocorasick
 
@@ -135,10 +136,9 @@ def locate(f: pd.DataFrame, window: int) -> pd.DataFrame:
     seqs = [[number.setdefault(w, len(number)) for w in c.split(" ")] for c in f["ctx"]]
     sizes = np.array([len(s) for s in seqs])
     ids = np.fromiter(chain.from_iterable(seqs), np.int64, int(sizes.sum()))
-    digits = 1
-    while LETTERS**digits < len(number):
-        digits += 1
-    letters = ["".join(chr(0x100 + k * LETTERS + w // LETTERS**k % LETTERS) for k in range(digits)) for w in range(len(number))]
+    # First letters and second letters differ, so no match begins within a word.
+    two = max(0, len(number) - SINGLE)
+    letters = [chr(0x100 + w) for w in range(min(len(number), SINGLE))] + [chr(0x1000 + SECOND + w // SECOND) + chr(0x1000 + w % SECOND) for w in range(two)]
     spelled = ["".join(map(letters.__getitem__, s)) for s in seqs]
 
     # Places of all windows: context and number within it.
@@ -155,23 +155,29 @@ def locate(f: pd.DataFrame, window: int) -> pd.DataFrame:
     wanted = np.zeros(len(ctx), bool)
     wanted[order] = np.repeat(many, np.diff(np.append(head, len(order))))
     new = order[head[many]]
-    hits: list[tuple[int, int, int]] = []
-    automaton, step, patterns = ahocorasick.Automaton(), digits * window, 0
+    wide = np.where(ids < SINGLE, 1, 2)
+    letter = np.concatenate([[0], np.cumsum(wide)])  # the first letter of each word, all contexts in a row
+    word_of = np.repeat(np.arange(len(ids)), wide)
+    c = k_ = p = np.empty(0, np.int64)
+    automaton, patterns, distinct = ahocorasick.Automaton(), 0, True  # at first, one pattern per hash
     while len(new):
-        for c, at in zip(ctx[new].tolist(), (k[new] * digits).tolist()):
-            word = spelled[c][at : at + step]
-            if word not in automaton:
+        a, z = first[ctx[new]] + k[new], first[ctx[new]] + k[new] + window
+        base = letter[first[ctx[new]]]
+        for i, x, y in zip(ctx[new].tolist(), (letter[a] - base).tolist(), (letter[z] - base).tolist()):
+            word = spelled[i][x:y]
+            if distinct or word not in automaton:
                 automaton.add_word(word, patterns)
                 patterns += 1
         automaton.make_automaton()
-        hits = [(c, end, p) for c, s in enumerate(spelled) for end, p in automaton.iter(s)]
+        found = [list(automaton.iter(s)) for s in spelled]
+        c = np.repeat(np.arange(len(found)), [len(x) for x in found])
+        ends, p = np.fromiter(chain.from_iterable(chain.from_iterable(found)), np.int64, 2 * len(c)).reshape(-1, 2).T
+        k_ = word_of[letter[first[c]] + ends] - first[c] - window + 1
         # A candidate that no pattern matches shares another window's hash: it is a pattern of its own.
-        place = np.array([(c, end + 1) for c, end, _ in hits], np.int64).reshape(-1, 2)
-        found = np.zeros(len(ctx), bool)
-        found[(np.cumsum(count) - count)[place[:, 0]] + place[:, 1] // digits - window] = True
-        new = np.flatnonzero(wanted & ~found)
-    hit = np.array(hits, np.int64).reshape(-1, 3)
-    c, k, p = hit[:, 0], (hit[:, 1] + 1) // digits - window, hit[:, 2]
+        known = np.zeros(len(ctx), bool)
+        known[(np.cumsum(count) - count)[c] + k_] = True
+        new, distinct = np.flatnonzero(wanted & ~known), False
+    k = k_
     times = np.bincount(p, weights=n[c], minlength=patterns)
     order = np.lexsort((start[c] + k, doc[c], p))
     top = order[np.concatenate([[True], p[order][1:] != p[order][:-1]])] if len(order) else order

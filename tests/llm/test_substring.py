@@ -78,5 +78,6 @@ def test_equal_hashes_of_different_windows(monkeypatch):
     assert want == [(1, 0, 0, 1, 1, 0, 1), (1, 1, 0, 0, 1, 0, 1), (1, 2, 0, 0, 1, 2, 0), (1, 3, 0, 0, 1, 2, 0), (1, 4, 0, 0, 1, 4, 0), (1, 4, 0, 1, 1, 4, 0)]
     monkeypatch.setattr(substring, "_window_hashes", lambda ids, w: np.zeros(max(0, len(ids) - w + 1), np.uint64))
     assert sorted(substring.locate(rows, 4).itertuples(index=False, name=None)) == want
-    monkeypatch.setattr(substring, "LETTERS", 2)
+    monkeypatch.setattr(substring, "SINGLE", 2)
+    monkeypatch.setattr(substring, "SECOND", 3)
     assert sorted(substring.locate(rows, 4).itertuples(index=False, name=None)) == want
