@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, spent, stored
+from .common import batches, joined, spent, stored
 
 ANCHOR = 8
 #: Contexts of a shard, and contexts of one anchor from which it is dealt by windows.
@@ -234,7 +234,6 @@ def repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col:
             yield pd.DataFrame({"m": own["m"], "k": np.minimum(own["k"], 2).astype(np.int32), "doc": f["doc"].to_numpy()[own["i"]], "th": f["th"].to_numpy()[own["i"]]})
 
     found = rows.mapInPandas(anchors, "m long, k int, doc long, th long")
-    found = stored(found, "found")
     again = stored(found.groupBy("m").agg(F.sum("k").alias("k")).where("k > 1").select("m"), "anchors")
     lists = found.select("m", "doc", "th").join(again, "m", "left_semi").groupBy("doc", "th").agg(F.collect_set("m").alias("ms"))
 
@@ -269,7 +268,7 @@ def repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col:
                 yield pd.DataFrame(out, columns=["m", "doc", "th", "start", "ctx"])
 
     occ = stored(texts.join(lists, ["doc", "th"]).mapInPandas(cut, "m long, doc long, th long, start long, ctx string"), "contexts")
-    spent(found, again)
+    spent(again)
     first = F.min(F.struct("doc", "start"))
     kinds = occ.groupBy("m", "ctx").agg(first.alias("f"), F.count("*").alias("n")).select("m", F.xxhash64("ctx").alias("c1"), F.xxhash64(F.lit(7), "ctx").alias("c2"), F.lit(0).alias("base"), "ctx", "f.doc", "f.start", "n")
     kinds = stored(kinds, "distinct-contexts")
@@ -284,7 +283,7 @@ def repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col:
         distinct = stored(hot_windows(of_hot, window), "hot-windows")
         dealt = distinct.withColumn("g", F.pmod(F.xxhash64("ctx"), F.lit(max(1, -(-distinct.count() // SHARD)))))
         sure = dealt.groupBy("g").applyInPandas(lambda f: locate(f, window), result).select("m", F.col("c1").alias("w1"), F.col("c2").alias("w2"), "fd", "fs")
-        found_in = windows_of(of_hot, window).select("m", "c1", "c2", "base", *_window_key()).join(sure, ["m", "w1", "w2"])
+        found_in = joined(windows_of(of_hot, window).select("m", "c1", "c2", "base", *_window_key()), stored(sure, "sure-windows"), ["m", "w1", "w2"], "inner")
         hits = hits.unionByName(found_in.select("m", "c1", "c2", F.col("base").alias("off"), F.lit(1).alias("len"), "fd", "fs"))
     places = occ.select("m", "doc", "th", "start", F.xxhash64("ctx").alias("c1"), F.xxhash64(F.lit(7), "ctx").alias("c2"))
     again_at = places.join(hits, ["m", "c1", "c2"]).where("not (fd = doc and fs = start + off)")
