@@ -111,7 +111,7 @@ class Places:
 def local_search(bins: list[list[int]], lengths: np.ndarray, most: int) -> list[list[int]]:
     """Empties bins: takes the emptiest one and passes its pieces to fuller underfull bins, moving a piece or two
     that fit, or exchanging one or two of its pieces for one smaller piece there, the exchange that fills most first, so that the sum of squared
-    fills rises with each step. Ends when the bins are as few as their contents allow, or a round over all bins empties none."""
+    fills rises with each step. Ends when the bins are as few as their contents allow, or a round over all bins finds no step; as the sum rises with each, that comes."""
     size = [int(x) for x in lengths]
     bins = [list(b) for b in bins if b]
     fill = [sum(size[i] for i in b) for b in bins]
@@ -119,9 +119,9 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, most: int) -> list[
     places = Places(len(bins))
     for k, b in enumerate(bins):
         places.put(k, most - fill[k], b, size)
-    before = live + 1
-    while before > live > least:
-        before = live
+    changed = True
+    while changed and live > least:
+        changed = False
         for src in sorted((k for k in range(len(bins)) if bins[k] and fill[k] < most), key=lambda k: fill[k]):
             places.take(src)
             while bins[src] and live > least:
@@ -148,6 +148,7 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, most: int) -> list[
                 fill[t] += gain
                 places.put(t, most - fill[t], bins[t], size)
                 live -= not bins[src]
+                changed = True
             if live <= least:
                 break
             if bins[src]:
