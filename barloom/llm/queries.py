@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact, html_blocks, langid, packing, pu_quality, simhash, substring, tokens, warc
+from . import decontam, exact, html_blocks, langid, packing, periodic, pu_quality, simhash, substring, tokens, warc
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -72,6 +72,29 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "section", "start", "length", F.col("n_tokens").cast("long").alias("n_tokens"), "n_crossing")
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of each document, after every word of a tail of one in ten documents (by the crc32 of its id) is replaced by one a period
+    before, as the contract asks."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    own = F.filter(F.split(F.coalesce("body", F.lit("")), r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
+    n, g = F.size("own").cast("long"), F.floor(F.col("h") / 10)
+    a = F.when(n > 0, F.pmod(g, F.greatest(n, F.lit(1))))
+    p = F.floor((n - F.col("a")) / (3 + F.pmod(g, F.lit(8)))) + 1
+    copied = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get("own", F.when(i < F.col("a"), i).otherwise(F.col("a") + F.pmod(i - F.col("a"), F.col("p"))).cast("int")))
+    docs = docs.withColumn("h", h).withColumn("own", F.when(F.pmod("h", F.lit(10)) == 0, own))
+    docs = docs.withColumn("a", a).withColumn("p", p).select("doc_id", F.when(n > 0, F.array_join(copied, " ")).otherwise(F.col("body")).alias("text"))
+    out = periodic.period_runs(docs)
+    best = F.array_min(F.transform("runs", lambda r: F.struct(-r["length"], r["start"], r["period"])))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    out = out.withColumn("best", best)
+    start, length, period = F.col("best.start"), -F.col("best.col1"), F.col("best.period")
+    return out.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"), F.sha2(F.encode(F.array_join(line, ""), "UTF-8"), 256).alias("runs_sha256"), F.sha2(F.encode("collapsed", "UTF-8"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_html_extraction": op2_html_extraction,
@@ -84,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_warc": op9_warc,
     "op10_token_counts": op10_token_counts,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
