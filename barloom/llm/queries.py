@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact, html_blocks, langid, packing, periodic, pu_quality, simhash, substring, tokens, warc
+from . import decontam, exact, html_blocks, langid, packing, periodic, pu_quality, simhash, spelling, substring, tokens, warc
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -72,6 +72,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "section", "start", "length", F.col("n_tokens").cast("long").alias("n_tokens"), "n_crossing")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants among the words of all documents, of which one in 97 loses a letter, as the contract asks."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), change=spelling.slipped)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of each document, after every word of a tail of one in ten documents (by the crc32 of its id) is replaced by one a period
     before, as the contract asks."""
@@ -107,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_warc": op9_warc,
     "op10_token_counts": op10_token_counts,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_periodic_runs": op12_periodic_runs,
 }
 
