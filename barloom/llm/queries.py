@@ -10,8 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact, html_blocks, langid, packing, periodic, pu_quality, simhash, spelling, substring, tokens, warc
-from .common import table
+from . import decontam, exact, html_blocks, langid, packing, periodic, pu_quality, simhash, spelling, substring, token_files, tokens, warc
+from .common import new_dir, table
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -100,6 +100,13 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the files of all documents' ids hold, read back from them."""
+    path = new_dir(spark, "ids")
+    files = token_files.write_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.read_files(files, path).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_html_extraction": op2_html_extraction,
@@ -114,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_token_files": op13_token_files,
 }
 
 ORACLES: dict[str, str] = {
