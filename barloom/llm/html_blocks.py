@@ -22,10 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, id_in, id_out
+from .html_scan import CLOSE, TEXT, scan
 
 #: Elements without content, elements whose content is no text, and elements that do not end a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|textarea|title|svg|iframe|canvas|object|math|select|option|button"
+RAW = frozenset("script style noscript template textarea title svg iframe canvas object math select option button".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that an opening tag of the key's kind closes.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -39,17 +40,8 @@ TAGS = len(TAG_SLOTS) + 1
 PATH, WORDS, SHAPE = TAGS + 192, 96, 12
 N_IN = PATH + WORDS + SHAPE
 
-#: Raw elements that run to the end of the page where their end tag is missing.
-TO_END = frozenset("script style textarea title".split())
-
-_TAG = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?P<own>{_TAG})|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
-#: Where the content of a raw element ends: at its end tag. An option also ends before any tag that is not inline; of those
-#: that never nest, a second opening tag (``again``) tells that the first has no end tag.
-_RAW_END = {t: re.compile(rf"</{t}(?:\s[^>]*|/)?>", re.I) for t in RAW.split("|")}
-_RAW_END |= {t: re.compile(rf"</{t}(?:\s[^>]*|/)?>|(?P<again><{t}\b)", re.I) for t in ("button", "select", "canvas", "noscript", "iframe")}
-_RAW_END["option"] = re.compile(rf"</option(?:\s[^>]*|/)?>|(?=</?(?!(?:{'|'.join(sorted(INLINE))})\b)[a-z])", re.I)
-_ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: An attribute inside a tag; a quote opens a value only after ``=``.
+_ATTR = re.compile(r"([^\t\n\f\r />][^\t\n\f\r />=]*+)(?:[\t\n\f\r ]*+=[\t\n\f\r ]*+(?>\"([^\"]*+)\"|'([^']*+)'|([^\t\n\f\r >]*+)))?+")
 _NAMED = frozenset("class id role itemprop hidden aria-label".split())
 _PART = re.compile(r"[a-z]+")
 
@@ -96,29 +88,16 @@ class Blocks:
         self.depths: list[int] = []
 
 
-def after_raw(page: str, tag: str, own: str, at: int, endless: set[str]) -> int:
-    """Where the raw element ends whose opening tag ends at ``at`` with ``own``. Without an end it is its tag alone, except for
-    the elements of ``TO_END``; ``endless`` keeps the names without any further end, which are not searched again."""
-    if tag in ("svg", "math") and own.endswith("/>"):
-        return at
-    end = None if tag in endless else _RAW_END[tag].search(page, at)
-    if end:
-        return at if end.groupdict().get("again") else end.end()
-    endless.add(tag)
-    return len(page) if tag in TO_END else at
-
-
 def blocks(page: str | None) -> Blocks:
     """The leaf blocks of a page in order. Raw elements, comments and declarations are no text; character
     references are decoded; white space within a block is one space; blocks without text are left out. Unclosed
     and misnested tags are closed as browsers close them: a paragraph ends at the next block-level tag."""
     out, stack, cache = Blocks(), [], {}
     held: dict[int, int] = {}  # slots of the open tags
-    open_: dict[str, int] = {}  # how many tags of each name are open
+    places: dict[str, list[int]] = {}  # places in the stack of the open tags of each name
+    outer: list[int] = []  # and of those that are not inline
     text: list[str] = []
     linked = depth = total = 0
-    at = 0
-    page = page or ""
 
     def flush() -> None:
         nonlocal linked, total
@@ -128,7 +107,7 @@ def blocks(page: str | None) -> Blocks:
             if t:
                 out.texts.append(t)
                 out.paths.append(list(held))
-                out.tags.append(next((t for t, _ in reversed(stack) if t not in INLINE), ""))
+                out.tags.append(stack[outer[-1]][0] if outer else "")
                 out.links.append(linked / max(total, 1))
                 out.depths.append(len(stack))
             text.clear()
@@ -139,72 +118,56 @@ def blocks(page: str | None) -> Blocks:
         while len(stack) > k:
             tag, slots = stack.pop()
             depth -= tag == "a"
-            open_[tag] -= 1
+            places[tag].pop()
+            if tag not in INLINE:
+                outer.pop()
             for s in slots:
                 held[s] -= 1
                 if not held[s]:
                     del held[s]
 
-    def add(piece: str) -> None:
-        nonlocal linked, total
-        text.append(piece)
-        n = len(piece.strip())
-        total += n
-        linked += n if depth else 0
-
-    endless: set[str] = set()
-    while m := _TOKEN.search(page, at):
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        if m.group("raw"):
-            at = after_raw(page, m.group("raw").lower(), m.group("own"), at, endless)
-            continue
-        tag = m.group("tag")
-        if not tag:
+    def last(*tags: str) -> int:
+        """The place of the innermost open tag of these names, or -1."""
+        return max((own[-1] for t in tags if (own := places.get(t))), default=-1)
+
+    for kind, tag, rest in scan(page or "", RAW, INLINE):
+        if kind == TEXT:
+            text.append(tag)
+            n = len(tag.strip())
+            total += n
+            linked += n if depth else 0
             continue
-        tag = tag.lower()
         if tag == "br":
             text.append(" ")
             continue
         block = tag not in INLINE
-        if m.group("end"):
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None) if open_.get(tag) else None
-            if block:
-                flush()
-            if k is not None and (block or all(t in INLINE for t, _ in stack[k:])):
+        if block:
+            flush()
+        if kind == CLOSE:
+            k = last(tag)
+            if k >= 0 and (block or not outer or outer[-1] < k):
                 close_to(k)
             continue
         if block:
-            flush()
-            if tag in ENDS_P and open_.get("p"):
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p":
-                        close_to(i)
-                        break
-                    if stack[i][0] not in INLINE:
-                        break
-            if any(map(open_.get, CLOSES.get(tag, ()))):
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in STOPS[tag]:
-                        break
-                    if stack[i][0] in CLOSES[tag]:
-                        close_to(i)
-                        break
+            # An open paragraph is closed unless another block stands inside it.
+            if tag in ENDS_P and outer and outer[-1] == last("p"):
+                close_to(outer[-1])
+            if tag in CLOSES and (k := last(*CLOSES[tag])) > last(*STOPS[tag]):
+                close_to(k)
         if tag in VOID:  # a closing slash says nothing of other elements
             continue
-        key = (tag, "" if tag == "a" else m.group("attrs"))
+        key = (tag, "" if tag == "a" else rest)
         slots = cache.get(key)
         if slots is None:
             slots = path_slots(*key)
             cache[key] = slots
+        places.setdefault(tag, []).append(len(stack))
+        if block:
+            outer.append(len(stack))
         stack.append((tag, slots))
-        open_[tag] = open_.get(tag, 0) + 1
         for i in slots:
             held[i] = held.get(i, 0) + 1
         depth += tag == "a"
-    if at < len(page):
-        add(page[at:])
     flush()
     return out
 

@@ -11,7 +11,6 @@ taken out first, so no text counts twice.
 from __future__ import annotations
 
 import html
-import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -21,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, hash_sample, id_in, id_out, joined, stored
+from .html_scan import TEXT, scan
 
 BUCKETS = 1 << 16
 KINDS = ("declared", "suffix", "domain", "host")
@@ -81,7 +81,7 @@ def page_evidence(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     named = lambda c: F.when(c != "", c)
     return pages.select(
         F.col(id_col).alias("id"), F.col("html").alias("text"), F.lit(True).alias("markup"),
-        named(F.lower(F.regexp_extract("html", r"(?i)<html[^>]*\blang\s*=\s*[\"']?([a-zA-Z]{2,3})", 1))).alias("declared"),
+        named(F.lower(F.regexp_extract(F.regexp_extract("html", r"(?i)<html([^<>]*+)", 1), r"(?i)\blang\s*+=\s*+[\"']?+([a-zA-Z]{2,3})", 1))).alias("declared"),
         named(F.regexp_extract(host, r"([^.]+)$", 1)).alias("suffix"), named(domain).alias("domain"), F.when(host != domain, named(host)).alias("host"),
     )
 
@@ -100,12 +100,12 @@ def background(b: np.ndarray, single: np.ndarray) -> float:
     return float((np.logaddexp(own[:-2] + own[1:-1] + own[2:], -np.log(BUCKETS)) - np.log(2)).sum())
 
 
-_UNREAD = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->", re.I | re.S)
-_TAG = re.compile(r"<[^>]*>")
+_UNREAD = frozenset(("script", "style"))
 
 
 def between_tags(page: str) -> str:
-    return html.unescape(_TAG.sub(" ", _UNREAD.sub(" ", page)))
+    """The text between the tags of a page, without scripts and styles, character references decoded."""
+    return html.unescape(" ".join(text for kind, text, _ in scan(page, _UNREAD) if kind == TEXT))
 
 
 def identify(rows: DataFrame, model: dict, smoothing: float = 20.0, accept: float = 0.5, carry: tuple[str, ...] = ()) -> DataFrame:

@@ -113,3 +113,48 @@ def test_gradients():
 def test_training_learns():
     pages = html_model.sample(range(120))
     assert html_model.accuracy(pages, html_model.train(pages, hidden=8, epochs=4)) > 0.85
+
+
+def test_quotes_open_values_only_after_an_equals_sign():
+    one = "<article><p title=don't>First.</p><p>It's second.</p></article>"
+    assert html_blocks.blocks(one).texts == ["First.", "It's second."]
+    assert html_blocks.blocks("""<p' class="x"" >text</p>""").texts == ["text"]
+    assert html_blocks.blocks("""<p a='1>2' b = "x>y" c=">" d>text</p>""").texts == ["text"]
+    assert html_blocks.blocks('<p a="never closed>text</p><p>more</p>').texts == ["text", "more"]
+    assert html_blocks.blocks('<p a="x>text</p><p b="y">more</p>').texts == ['more']  # as browsers read it: the value ends at the next quote
+    for attrs in ("class=nav", "class='nav'", ' CLASS = "nav"', "x=don't class=nav", "/class=nav/", 'y"z class=nav'):
+        assert html_blocks.path_slots("div", attrs)[1:] == html_blocks.path_slots("div", 'class="nav"')[1:], attrs
+
+
+def test_nested_and_odd_elements():
+    for tag in ("svg", "template", "object", "math"):
+        assert html_blocks.blocks(f"a<{tag}>no<{tag}>no</{tag}>no</{tag}>b").texts == ["ab"], tag
+        assert html_blocks.blocks(f"a<{tag}>b</div>c").texts == ["ab", "c"], tag
+    assert html_blocks.blocks("<svg><svg></svg>LABEL</svg>text").texts == ["text"]
+    assert html_blocks.blocks("<svg><g/><svg/></svg>text").texts == ["text"]
+    assert html_blocks.blocks("a<!-->b<!--->c<!-- x --!>d<!doctype x>e<?x>f</>g</ x>h").texts == ["abcdefgh"]
+    assert html_blocks.blocks("1 < 2 <3 a<b<!-- no end").texts == ["1 < 2 <3 a<b<!-- no end"]
+    assert html_blocks.blocks("a < b <!-- x > y").texts == ["a < b"]
+    assert html_blocks.blocks("<p>x<script>if (a < b) '</div>'</script >y").texts == ["xy"]
+    assert html_blocks.blocks("<textarea><p>no</p></textarea><title>a<b></title >t").texts == ["t"]
+
+
+def test_pages_made_to_take_long():
+    """What never ends is passed in one scan, by both operators."""
+    import time
+
+    from barloom.llm import langid
+
+    n = 1_000_000
+    for unit in ("<p", "<", "<!", "<!--", "<script>x", "<script", "</script ", "<svg>", "<option>", "<p a=\"", "<p a='>", "<button>x", "</", "<a b=c", "<svg", "&", "<i"):
+        for page in (unit * (n // len(unit)), "<p>" + unit * (n // len(unit)) + ">", "<script>" + unit * (n // len(unit)) + "</script>'\">"):
+            began = time.process_time()
+            for _ in html_blocks.scan(page, html_blocks.RAW, html_blocks.INLINE):
+                pass
+            for _ in html_blocks.scan(page, frozenset(("script", "style"))):
+                pass
+            assert time.process_time() - began < 5, (unit, page[:20])
+    for page in ("<p" * 200_000 + ">", "<b><div>" + "<i>" * 100_000 + "</b>" * 100_000, "<table>" + "<td>x<div>" * 30_000 + "</p>" * 30_000, "<p><b>" + "<i>" * 50_000 + "<div>" * 50_000 + "<p>" * 50_000):
+        began = time.process_time()
+        html_blocks.blocks(page), langid.between_tags(page)
+        assert time.process_time() - began < 20, page[:20]
