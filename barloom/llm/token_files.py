@@ -13,9 +13,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,12 +40,12 @@ class WordEncoder:
     """Ids of whole texts by the ``tokenizers`` library, for files that normalise by NFC, one space for white space and lower case, and split off
     words before they merge within them. White space of ASCII then ends a word whatever surrounds it, so a text's ids are those of its pieces
     between such white space, each looked up once. A piece of ASCII and letters up to U+00FF is its own normal form but for case, and is split
-    by the file's pattern here; the library's model merges its words. Any other piece, and one with an added token, goes through the whole library.
+    by the file's pattern here; the library's model merges its words. Any other piece, and a text with an added token, goes through the whole library.
 
     Other files are used as they are, text by text."""
 
     #: Pieces and words that are remembered, and the longest of them in bytes.
-    KEPT, LONGEST = 500_000, 64
+    KEPT, LONGEST = 700_000, 64
 
     def __init__(self, path: str) -> None:
         import regex
@@ -60,8 +62,11 @@ class WordEncoder:
         self.by_piece = (spec.get("normalizer") or {}).get("normalizers") == normal and split[0].get("type") == "Split" and split[0].get("behavior") == "Removed" and split[0].get("invert") is True and split[1:] == [bytewise] and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
         self.by_piece = self.by_piece and not any(any(c.isspace() for c in t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec.get("added_tokens") or [])
         if self.by_piece:
-            self.plain = regex.compile("[!-~À-ÖØ-öø-ÿ]+")
             self.words = regex.compile(split[0]["pattern"]["Regex"])
+            self.plain = regex.compile("[!-~À-ÖØ-öø-ÿ]+")
+            # Letters, and marks after them other than apostrophes: two words by the pattern, whatever they are.
+            self.simple = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+            self.simple_ok = all(self.words.findall(t) == [t[:-2], t[-2:]] for t in ("ab.,", "éÿ$]"))
             self.letter = {b: c for c, b in _byte_of().items()}
             self.merge = self.whole.model.tokenize
             self.word_ids: dict[str, bytes] = {}
@@ -70,24 +75,27 @@ class WordEncoder:
     def _word(self, w: str) -> bytes:
         out = self.word_ids.get(w)
         if out is None:
-            out = np.array([t.id for t in self.merge("".join(map(self.letter.__getitem__, w.encode())))], "<u4").tobytes()
+            # Printable ASCII stands for itself in such files.
+            out = array("I", [t.id for t in self.merge(w if w.isascii() else "".join(map(self.letter.__getitem__, w.encode())))]).tobytes()
             if len(w) <= self.LONGEST:
                 self.word_ids[w] = out
         return out
 
     def _piece(self, piece: bytes) -> bytes:
         text = piece.decode()
-        if self.plain.fullmatch(text) and not any(a in text for a in self.added):
+        if self.simple_ok and (m := self.simple.fullmatch(text)):
+            out = self._word(m[1].lower()) + (self._word(m[2]) if m[2] else b"")
+        elif self.plain.fullmatch(text):
             out = b"".join(map(self._word, self.words.findall(text.lower())))
         else:
-            out = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            out = array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         if len(piece) <= self.LONGEST:
             self.piece_ids[piece] = out
         return out
 
     def ids(self, text: str) -> bytes:
         """Ids of the text as little-endian unsigned 32-bit integers."""
-        if not self.by_piece:
+        if not self.by_piece or any(a in text for a in self.added):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self.piece_ids) > self.KEPT or len(self.word_ids) > self.KEPT:
             self.piece_ids.clear()
