@@ -4,12 +4,13 @@ The file's vocabulary is run through tiktoken, whose merges go by the id of the
 whose ids follow the order of their merges, which is checked when the file is loaded, the ids are those of the
 ``tokenizers`` library, at about four times its speed; ``tests/llm/test_packing.py`` compares the two
 on texts with every kind of white space and with the file's added tokens, which both libraries cut out of a text before anything
-else. Spans come from the lengths of the tokens' bytes, as both count them.
+else. A text with a run of white space too long for tiktoken's pattern, which backtracks, is encoded by the ``tokenizers`` library itself. Spans come from the lengths of the tokens' bytes, as both count them.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -52,6 +53,20 @@ def load(path: str):
     return _LOADED[path]
 
 
+#: White space in a row from which a text goes to the ``tokenizers`` library.
+_RUN = re.compile(r"\s{100000}")
+_WHOLE: dict[str, object] = {}
+
+
+def _whole(path: str):
+    """The ``tokenizers`` library's own tokenizer of a file, once per process."""
+    if path not in _WHOLE:
+        from tokenizers import Tokenizer
+
+        _WHOLE[path] = Tokenizer.from_file(path)
+    return _WHOLE[path]
+
+
 @dataclass
 class Encoded:
     """Ids of a batch in one array, ``bounds[i]:bounds[i + 1]`` those of text i; with spans, also the first
@@ -66,7 +81,7 @@ class Encoded:
 def encode(texts: Sequence[str | None], path: str, spans: bool = False) -> Encoded:
     enc, size = load(path)
     clean = [(t or "").encode("utf-8", "replace").decode() for t in texts]
-    own = [np.array(enc.encode(t, allowed_special="all"), np.int64) for t in clean]
+    own = [np.array(_whole(path).encode(t, add_special_tokens=False).ids if len(t) >= 100_000 and _RUN.search(t) else enc.encode(t, allowed_special="all"), np.int64) for t in clean]
     bounds = np.concatenate([[0], np.cumsum([len(x) for x in own], dtype=np.int64)]).astype(np.int64)
     out = Encoded(np.concatenate([np.empty(0, np.int64), *own]), bounds)
     if spans:

@@ -88,3 +88,14 @@ def test_equal_rows_spread_over_groups(spark):
     assert sum(sizes) == 7000 and len(sizes) == 14 and max(sizes) < 700
     got = packing.pack_pieces(pieces, group=500).collect()
     assert len(got) == 7000 and len({r["sequence_id"] for r in got}) == 7000 and all(r["offset"] == 0 for r in got)
+
+
+@pytest.mark.parametrize("unit", [" ", "\n", "\t", "\x0b", "\r", "\u3000", "a", "ab ", "1", "!"])
+def test_long_runs_of_anything_have_the_ids_of_the_library(unit):
+    library = Tokenizer.from_file(PATH)
+    for n in (99_998, 100_001, 1_200_000):
+        text = "y" + unit * (n // len(unit)) + "z <|endoftext|> é"
+        e = encode(["x", text], PATH, spans=True)
+        own = library.encode(text, add_special_tokens=False)
+        assert e.ids[e.bounds[1] :].tolist() == own.ids
+        assert e.first[e.bounds[1]] == 0 and e.end[-1] == len(text)
