@@ -3,7 +3,7 @@
 Each stage is ``(name, function)``; a function takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is
 written as Parquet and read again as the next one's ``docs``. All but the last return the columns of documents.
 
-Stages decide row by row, not by ``doc_id``. Defined cases: a null id, or one that other rows share, is judged by its own text;
+Stages decide row by row, not by ``doc_id``: each stores its rows once with a number of their own, by which what it removes is named. Defined cases: a null id, or one that other rows share, is judged by its own text;
 of equal rows one stays; null and empty texts have no language and go in the first stage; very long texts are read whole; of copies with equal
 lengths the smallest id stays; an empty table stays empty through all stages; further columns, whatever
 their names, are passed on."""
@@ -17,31 +17,37 @@ from pyspark.sql import functions as F
 from barloom.llm import decontam, exact, langid, packing, simhash
 from barloom.llm.common import joined, numbered, stored, table
 
+#: The number of a row within a stage. A column of that name is carried under another one.
 ROW = "_row"
+_KEPT = "_row_of_docs"
+
+
+def rows_of(docs: DataFrame) -> DataFrame:
+    return numbered(docs.withColumnRenamed(ROW, _KEPT), ROW)
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs``, numbered, less the rows that ``gone`` names."""
-    return joined(docs, stored(gone.select(ROW), "gone"), [ROW], "left_anti").drop(ROW)
+    return joined(docs, stored(gone.select(ROW), "gone"), [ROW], "left_anti").drop(ROW).withColumnRenamed(_KEPT, ROW)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is known."""
-    docs = numbered(docs, ROW)
+    docs = rows_of(docs)
     found = langid.identify(langid.document_evidence(docs, ROW), langid.fit(docs))
     return without(docs, found.where(~F.col("kept")).withColumnRenamed("id", ROW))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of equal texts."""
-    docs = numbered(docs, ROW)
+    docs = rows_of(docs)
     found = exact.exact_dedup(docs, ROW, rank_col="doc_id")
     return without(docs, found.where(~F.col("kept")).withColumnRenamed("id", ROW))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies: five-word shingles, similarity 0.8."""
-    docs = numbered(docs, ROW)
+    docs = rows_of(docs)
     found = stored(simhash.near_copies(docs, ROW).withColumnRenamed("id", ROW), "near")
     found = stored(joined(docs.select(ROW, "doc_id"), found, [ROW], "inner"), "near-ids")
     stays = found.groupBy("component").agg(F.min_by(ROW, F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias(ROW))
@@ -50,7 +56,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that hold no passage of a benchmark item."""
-    docs = numbered(docs, ROW)
+    docs = rows_of(docs)
     found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark"), ROW)
     return without(docs, found.select(F.col("id").alias(ROW)).distinct())
 
