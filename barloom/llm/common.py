@@ -58,9 +58,9 @@ def spent(*tables: DataFrame) -> None:
 
 
 def numbered(docs: DataFrame, name: str) -> DataFrame:
-    """Adds a number of its own to each row, whatever ids the rows have. ``docs`` must be read from files: their splits, and so the
-    numbers, are the same in every plan of a session and when a task runs again."""
-    return docs.withColumn(name, F.monotonically_increasing_id())
+    """Adds a number of its own to each row, whatever ids the rows have, and stores the rows with it: later plans read the number, since one
+    that is computed again differs when files are split otherwise, as they are when executors come or go."""
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
 #: Rows of a stored table of keys that are broadcast (about 100 bytes each), and rows of one whole number alone (16 bytes each).
