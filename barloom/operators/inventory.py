@@ -10,28 +10,65 @@ from .reconcile import scale_equal
 from .validate import reasons
 
 
-def candidate_event_match(events: DataFrame, candidates: DataFrame, bars: DataFrame) -> DataFrame:
-    """``event_id, candidate_id``: of the kind and value of the event, on its application session or the next. Only
-    events with exactly one candidate match; a candidate that fits two events goes to the earlier.
-
-    ``events`` need ``application_date`` and ``official_value``, its value as reported text."""
-    by = shared_series(events, bars)
+def fitting(events: DataFrame, candidates: DataFrame, bars: DataFrame) -> DataFrame:
+    """Candidates of the kind and value of an event, on its application session or the next: the columns that name a series on both sides, then ``event_id,
+    effective_date, application_date, reach`` (the later of the two sessions), ``candidate_id, candidate_date``."""
+    by, own = shared_series(events, bars), shared_series(events, candidates)
     w = Window.partitionBy(*by).orderBy("trading_date")
     nxt = bars.select(*by, "trading_date").distinct().select(*by, F.col("trading_date").alias("application_date"), F.lead("trading_date").over(w).alias("next_date"))
-    e = events.join(nxt, [*by, "application_date"], "left").select("symbol", "event_id", "effective_date", "kind", "official_value", F.explode(F.array("application_date", "next_date")).alias("candidate_date")).where("candidate_date is not null")
-    fits = e.join(candidates, ["symbol", "kind", "candidate_date"]).where(scale_equal(F.col("value"), F.col("official_value")))
-    alone = fits.withColumn("n", F.count("*").over(Window.partitionBy("event_id"))).where("n = 1")
-    first = alone.withColumn("k", F.row_number().over(Window.partitionBy("candidate_id").orderBy("effective_date", "event_id")))
-    return first.where("k = 1").select("symbol", "event_id", "candidate_id", "candidate_date")
+    e = events.where("application_date is not null").join(nxt, [*by, "application_date"], "left").withColumn("reach", F.coalesce("next_date", "application_date"))
+    e = e.select(*own, "event_id", "effective_date", "application_date", "reach", "kind", "official_value", F.explode(F.array_distinct(F.array("application_date", "reach"))).alias("candidate_date"))
+    fits = e.join(candidates.select(*own, "kind", "candidate_date", "candidate_id", "value"), [*own, "kind", "candidate_date"]).where(scale_equal(F.col("value"), F.col("official_value")))
+    return fits.select(*own, "event_id", "effective_date", "application_date", "reach", "candidate_id", "candidate_date").distinct()
+
+
+def consumed(fits: DataFrame, *own: str) -> DataFrame:
+    """``own, event_id, candidate_id, candidate_date``: the events of each series are visited in the order of their dates (then ids); one that exactly one
+    unused candidate fits takes it, and the candidate is used from then on.
+
+    Events that could want the same candidate stand on sessions that touch, so the ledger falls into islands between which nothing is shared; each
+    is folded by itself, in order. An event that more candidates fit than its island has events can never be left with one, as each event before it takes one
+    at most: it takes none, and its fits are not gathered."""
+    events = fits.groupBy(*own, "event_id", "effective_date", "application_date", "reach").agg(F.count("*").alias("n"))
+    order = Window.partitionBy(*own).orderBy("effective_date", "event_id")
+    fresh = F.coalesce(F.col("application_date") > F.max("reach").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    events = events.withColumn("fresh", fresh.cast("int")).withColumn("island", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    events = events.withColumn("m", F.count("*").over(Window.partitionBy(*own, "island"))).where("n <= m").select(*own, "event_id", "island")
+    fit = F.struct("candidate_id", "candidate_date")
+    rows = fits.join(events, [*own, "event_id"]).groupBy(*own, "island", "event_id", "effective_date", "application_date").agg(F.collect_list(fit).alias("fits"))
+    islands = rows.groupBy(*own, "island").agg(F.array_sort(F.collect_list(F.struct("effective_date", "event_id", "application_date", "fits"))).alias("events"))
+    kind = {c: t for c, t in fits.dtypes}
+    used = f"array<struct<candidate_id:{kind['candidate_id']},candidate_date:date>>"
+    taken = f"array<struct<event_id:{kind['event_id']},candidate_id:{kind['candidate_id']},candidate_date:date>>"
+
+    def visit(state, e):
+        open_ = F.filter(e["fits"], lambda c: ~F.exists(state["used"], lambda u: u["candidate_id"] == c["candidate_id"]))
+        # Later events apply no earlier than this one, so candidates before it are of no more use.
+        live = F.filter(state["used"], lambda u: u["candidate_date"] >= e["application_date"])
+        one, first = F.size(open_) == 1, F.get(open_, F.lit(0))
+        got = F.array(F.struct(e["event_id"].alias("event_id"), first["candidate_id"].alias("candidate_id"), first["candidate_date"].alias("candidate_date")))
+        return F.struct(F.when(one, F.concat(live, open_)).otherwise(live).alias("used"), F.when(one, F.concat(state["taken"], got)).otherwise(state["taken"]).alias("taken"))
+
+    start = F.struct(F.array().cast(used).alias("used"), F.array().cast(taken).alias("taken"))
+    out = islands.select(*own, F.explode(F.aggregate("events", start, visit, lambda state: state["taken"])).alias("t"))
+    return out.select(*own, "t.event_id", "t.candidate_id", "t.candidate_date")
+
+
+def candidate_event_match(events: DataFrame, candidates: DataFrame, bars: DataFrame) -> DataFrame:
+    """Matches of ledger events and provider candidates, in ledger order, each candidate used once: the columns that name a series on both sides, then
+    ``event_id, candidate_id, candidate_date`` (see ``fitting`` and ``consumed``). ``events`` need ``application_date`` and ``official_value``, its value
+    as reported text."""
+    return consumed(fitting(events, candidates, bars), *shared_series(events, candidates))
 
 
 def event_inventory(events: DataFrame, candidates: DataFrame, matches: DataFrame) -> DataFrame:
     """Every ledger event with its match, and every candidate that no event explains."""
-    own = events.join(matches.select("event_id", "candidate_id"), "event_id", "left").select(
+    by = shared_series(events, matches)
+    own = events.join(matches.select(*by, "event_id", "candidate_id"), [*by, "event_id"], "left").select(
         "symbol", "event_id", "candidate_id", F.col("effective_date").alias("event_date"), "kind", F.col("candidate_id").isNotNull().alias("provider_confirmed"), (F.col("status") == "verified").alias("verified"),
         F.when(F.col("kind") == "split", "SPLIT").otherwise("DIVIDEND").alias("classification"),
     )
-    rest = candidates.join(matches, "candidate_id", "left_anti").select("symbol", F.lit(None).cast("string").alias("event_id"), "candidate_id", F.col("candidate_date").alias("event_date"), "kind", F.lit(True).alias("provider_confirmed"), F.lit(False).alias("verified"), F.lit("UNEXPLAINED").alias("classification"))
+    rest = candidates.join(matches, [*shared_series(candidates, matches), "candidate_id"], "left_anti").select("symbol", F.lit(None).cast("string").alias("event_id"), "candidate_id", F.col("candidate_date").alias("event_date"), "kind", F.lit(True).alias("provider_confirmed"), F.lit(False).alias("verified"), F.lit("UNEXPLAINED").alias("classification"))
     return own.unionByName(rest)
 
 

@@ -626,6 +626,13 @@ def candidate_event_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matched(spark, sf_dir)[3]
 
 
+@query(with_parts("crowded", wide=True) + "SELECT symbol, event_id, candidate_id, candidate_date FROM crowded_matches")
+def candidate_event_match_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a series per supplier that compete for candidates on neighbouring sessions."""
+    b = stored(X.bars_wide(spark, sf_dir), "bars")
+    return I.candidate_event_match(X.crowded_ledger(b), X.crowded_candidates(b), b).select("symbol", "event_id", "candidate_id", "candidate_date")
+
+
 @query(with_parts("inventory") + "SELECT * FROM inventory")
 def event_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, led, cand, m = matched(spark, sf_dir)

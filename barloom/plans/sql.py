@@ -15,6 +15,23 @@ def _bars(name: str, symbol: str, source: str) -> str:
         FROM {name}_px GROUP BY ALL)"""
 
 
+def _walk(events: str, fits: str, name: str) -> str:
+    """``name``: the events of each symbol visited in order, each taking the one unused candidate that fits it, if there is exactly one."""
+    return f""",
+    {name}_in_order AS (
+        SELECT symbol, event_id, k, coalesce(list(candidate_id) FILTER (candidate_id IS NOT NULL), []) AS own
+        FROM (SELECT symbol, event_id, row_number() OVER (PARTITION BY symbol ORDER BY effective_date, event_id) AS k FROM {events}) LEFT JOIN (SELECT DISTINCT symbol, event_id, candidate_id FROM {fits}) USING (symbol, event_id)
+        GROUP BY symbol, event_id, k),
+    {name}_walk AS (
+        SELECT DISTINCT symbol, 0::BIGINT AS k, []::VARCHAR[] AS used, NULL::VARCHAR AS event_id, NULL::VARCHAR AS candidate_id FROM {events}
+        UNION ALL
+        SELECT w.symbol, e.k, CASE WHEN len(list_filter(e.own, lambda c: NOT list_contains(w.used, c))) = 1 THEN list_concat(w.used, list_filter(e.own, lambda c: NOT list_contains(w.used, c))) ELSE w.used END, e.event_id,
+               CASE WHEN len(list_filter(e.own, lambda c: NOT list_contains(w.used, c))) = 1 THEN list_filter(e.own, lambda c: NOT list_contains(w.used, c))[1] END
+        FROM {name}_walk w JOIN {name}_in_order e ON e.symbol = w.symbol AND e.k = w.k + 1),
+    {name} AS (
+        SELECT DISTINCT w.symbol, w.event_id, w.candidate_id, f.candidate_date FROM {name}_walk w JOIN {fits} f USING (symbol, event_id, candidate_id) WHERE w.candidate_id IS NOT NULL)"""
+
+
 PARTS: dict[str, tuple[str, tuple[str, ...]]] = {
     "bars": (_bars("bars", "p_type", "lineitem JOIN part ON l_partkey = p_partkey"), ()),
     "wide": (_bars("wide", "CAST(l_suppkey AS VARCHAR)", "lineitem"), ()),
@@ -84,11 +101,18 @@ PARTS: dict[str, tuple[str, tuple[str, ...]]] = {
     fits AS (
         SELECT a.symbol, a.event_id, a.effective_date, c.candidate_id, c.candidate_date FROM applied a JOIN candidates c
         ON c.symbol = a.symbol AND c.kind = a.kind AND c.value = coalesce(a.split_ratio, a.cash_per_unit)
-        AND (c.candidate_date = a.application_date OR c.candidate_date = (SELECT min(b.trading_date) FROM bars b WHERE b.symbol = a.symbol AND b.trading_date > a.application_date))),
-    matches AS (
-        SELECT symbol, event_id, candidate_id, candidate_date FROM (
-            SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY effective_date, event_id) AS k FROM (
-                SELECT *, count(*) OVER (PARTITION BY event_id) AS n FROM fits) WHERE n = 1) WHERE k = 1)""", ("applied", "candidates")),
+        AND (c.candidate_date = a.application_date OR c.candidate_date = (SELECT min(b.trading_date) FROM bars b WHERE b.symbol = a.symbol AND b.trading_date > a.application_date)))""" + _walk("applied", "fits", "matches"), ("applied", "candidates")),
+    "crowded": ("""
+    crowded AS (
+        SELECT *, rn % 20 AS place, rn // 20 AS block, CASE WHEN rn // 20 % 5 = 4 THEN 'cash' ELSE 'split' END AS kind
+        FROM (SELECT exchange, symbol, trading_date, row_number() OVER (PARTITION BY exchange, symbol ORDER BY trading_date) AS rn FROM bars)),
+    crowded_events AS (SELECT symbol, symbol || '-' || rn AS event_id, trading_date AS effective_date, rn, kind FROM crowded WHERE place BETWEEN 5 AND 7),
+    crowded_candidates AS (
+        SELECT symbol, 'c-' || symbol || '-' || rn || '-' || copy AS candidate_id, trading_date AS candidate_date, rn, kind
+        FROM crowded, (VALUES ('a'), ('b')) v(copy)
+        WHERE place BETWEEN 5 AND 8 AND ((block % 16) >> (place - 5)) & 1 = 1 AND (copy = 'a' OR block % 7 = 3 AND place = 6)),
+    crowded_fits AS (
+        SELECT e.symbol, e.event_id, c.candidate_id, c.candidate_date FROM crowded_events e JOIN crowded_candidates c ON c.symbol = e.symbol AND c.kind = e.kind AND c.rn IN (e.rn, e.rn + 1))""" + _walk("crowded_events", "crowded_fits", "crowded_matches"), ("bars",)),
     "inventory": ("""
     inventory AS (
         SELECT l.symbol, l.event_id, m.candidate_id, l.effective_date AS event_date, l.kind, m.candidate_id IS NOT NULL AS provider_confirmed, l.status = 'verified' AS verified,
@@ -157,4 +181,4 @@ def with_parts(*names: str, wide: bool = False) -> str:
 
     for n in names:
         add(n)
-    return "WITH " + ",".join(parts[n][0] for n in done) + "\n"
+    return "WITH RECURSIVE " + ",".join(parts[n][0] for n in done) + "\n"

@@ -82,6 +82,26 @@ def candidates(bars: DataFrame) -> DataFrame:
     return own.unionByName(more)
 
 
+def crowded_ledger(bars: DataFrame) -> DataFrame:
+    """Three events on neighbouring bars of every twenty, of one kind and value, so that they want the same candidates: ``event_id, effective_date,
+    application_date, kind, official_value``."""
+    return crowded(bars).where("place between 5 and 7").select("exchange", "symbol", F.concat_ws("-", "symbol", "rn").alias("event_id"), F.col("trading_date").alias("effective_date"), F.col("trading_date").alias("application_date"), "kind", F.when(F.col("kind") == "cash", "0.25").otherwise("2.0").alias("official_value"))
+
+
+def crowded(bars: DataFrame) -> DataFrame:
+    w = Window.partitionBy("exchange", "symbol").orderBy("trading_date")
+    rows = bars.select("exchange", "symbol", "trading_date", F.row_number().over(w).alias("rn"))
+    rows = rows.withColumn("place", F.col("rn") % 20).withColumn("block", F.floor(F.col("rn") / 20))
+    return rows.withColumn("kind", F.when(F.col("block") % 5 == 4, "cash").otherwise("split"))
+
+
+def crowded_candidates(bars: DataFrame) -> DataFrame:
+    """Candidates on some of the bars of ``crowded_ledger`` and the one after, each choice of the four in turn; in every seventh block two on one bar."""
+    rows = crowded(bars).where("place between 5 and 8 and (shiftright(cast(block % 16 as int), cast(place - 5 as int)) & 1) = 1")
+    own = rows.withColumn("copy", F.explode(F.when((F.col("block") % 7 == 3) & (F.col("place") == 6), F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a")))))
+    return own.select("exchange", "symbol", F.concat_ws("-", F.lit("c"), "symbol", "rn", "copy").alias("candidate_id"), F.col("trading_date").alias("candidate_date"), "kind", F.when(F.col("kind") == "cash", 0.25).otherwise(2.0).alias("value"))
+
+
 def folds(spark: SparkSession) -> DataFrame:
     return spark.sql("SELECT y - 1997 AS fold, make_date(y - 3, 1, 1) AS train_start, make_date(y - 1, 12, 31) AS train_end, make_date(y, 1, 1) AS test_start, make_date(y, 12, 31) AS test_end FROM (SELECT explode(sequence(1998, 2001)) AS y)")
 
