@@ -42,12 +42,6 @@ def load_faults(bars: DataFrame, *rules: tuple[str, Column]) -> DataFrame:
     return bars.withColumn("_n", n).withColumn("reason", first_reason([*rules, keyed, *ohlc_row_rules(), ("duplicate", F.col("_n") > 1)])).drop("_n")
 
 
-def whole_load(bars: DataFrame, *rules: tuple[str, Column]) -> DataFrame:
-    """``bars``, all of them or none: the job ends with an error at the first faulty row."""
-    what = F.concat_ws(" ", F.lit("load rejected:"), "reason", "symbol", F.col("trading_date").cast("string"))
-    return load_faults(bars, *rules).where(F.when(F.col("reason").isNull(), True).otherwise(F.raise_error(what).cast("boolean"))).drop("reason")
-
-
 def duplicate_bars(bars: DataFrame) -> DataFrame:
     return bars.groupBy(*KEY).agg(F.count("*").alias("n")).where("n > 1")
 

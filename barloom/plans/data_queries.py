@@ -129,23 +129,71 @@ def kline_positional_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.kline_positional_rejects(spark, path + "/*")
 
 
-@query(with_parts("bars") + f"SELECT symbol, 'SSE' AS exchange, 'raw' AS price_basis, trading_date, open, high, low, close, volume FROM bars WHERE symbol <> 'LARGE'")
-def scan_kline_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One file states a wrong count and is rejected."""
+def counted_files(spark: SparkSession, bars: DataFrame, wrong: str | None = None) -> str:
+    """A counted file per symbol; that of ``wrong`` states one row more than it has."""
     path = new_dir(spark, "kline")
     row = F.array(F.date_format("trading_date", "yyyyMMdd"), *(F.col(c).cast("string") for c in ("open", "high", "low", "close", "volume")))
-    doc = X.bars_dense(spark, sf_dir).groupBy("symbol").agg(F.collect_list(row).alias("kline"))
-    total = F.size("kline") + F.when(F.col("symbol") == "LARGE", 1).otherwise(0)
+    doc = bars.groupBy("symbol").agg(F.collect_list(row).alias("kline"))
+    total = F.size("kline") + F.when(F.col("symbol") == wrong, 1).otherwise(0) if wrong else F.size("kline")
     _text(doc.select(F.to_json(F.struct(F.col("symbol").alias("code"), total.alias("total"), "kline")).alias("value"), F.col("symbol").alias("part")), path)
-    return as_double(scans.scan_kline_counted(spark, path + "/*", "SSE"))
+    return path + "/*"
+
+
+@query(with_parts("bars") + "SELECT symbol, 'SSE' AS exchange, 'raw' AS price_basis, trading_date, open, high, low, close, volume FROM bars WHERE trading_date >= DATE '1996-01-01'")
+def scan_kline_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_double(scans.scan_kline_counted(spark, counted_files(spark, X.bars_dense(spark, sf_dir)), "SSE", start="1996-01-01"))
+
+
+@query(with_parts("bars") + "SELECT symbol, count(*) + 1 AS total, count(*) AS found FROM bars WHERE symbol = 'LARGE' GROUP BY symbol")
+def kline_counted_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file states a wrong count."""
+    return scans.kline_counted_rejects(spark, counted_files(spark, X.bars_dense(spark, sf_dir), "LARGE"))
+
+
+FAULTS = with_parts("bars") + DIRTY + """,
+    twice AS (SELECT * FROM dirty, (VALUES (1), (2)) v(copy) WHERE copy = 1 OR day(trading_date) = 13),
+    ruled AS (
+        SELECT symbol, trading_date, CASE WHEN least(open, high, low, close) <= 0 THEN 'price_not_positive' WHEN volume < 0 THEN 'volume_negative' WHEN low > least(open, close) THEN 'low_above_body'
+            WHEN high < greatest(open, close) THEN 'high_below_body' WHEN low > high THEN 'low_above_high' WHEN day(trading_date) = 13 THEN 'duplicate' END AS reason
+        FROM twice WHERE trading_date <= DATE '1999-12-31')
+"""
+
+
+def faulty_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars with every kind of fault, and each thirteenth day twice."""
+    b = dirty(X.bars_dense(spark, sf_dir))
+    return b.unionByName(b.where(F.dayofmonth("trading_date") == 13))
+
+
+@query(FAULTS + "SELECT symbol, trading_date, CASE WHEN symbol = 'LARGE' THEN 'wrong_count' ELSE reason END AS reason FROM ruled WHERE reason IS NOT NULL AND symbol <> 'LARGE' UNION ALL SELECT symbol, trading_date, 'wrong_count' FROM twice WHERE symbol = 'LARGE'")
+def kline_counted_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that is wrong with counted files up to a date; of the file with a wrong count, every row."""
+    return scans.kline_counted_faults(spark, counted_files(spark, faulty_bars(spark, sf_dir), "LARGE"), "SSE", as_of="1999-12-31")
+
+
+@query(FAULTS + "SELECT symbol, trading_date, reason FROM ruled WHERE reason IS NOT NULL")
+def kline_positional_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_dir(spark, "kline")
+    row = F.array(F.col("trading_date").cast("string"), *(F.col(c).cast("string") for c in ("open", "close", "low", "high")), F.lit("0"), F.lit("0"), F.col("volume").cast("string"), F.lit("0"))
+    doc = faulty_bars(spark, sf_dir).groupBy("symbol").agg(F.collect_list(row).alias("rows"))
+    _text(doc.select(F.to_json(F.struct(F.lit("0").alias("code"), F.struct(F.col("symbol").alias("code"), F.col("rows").alias("picupdata")).alias("data"))).alias("value"), F.col("symbol").alias("part")), path)
+    return scans.kline_positional_faults(spark, path + "/*", "SZSE", as_of="1999-12-31")
+
+
+def decoded_files(spark: SparkSession, bars: DataFrame) -> str:
+    path = new_dir(spark, "decoded")
+    bars.select("symbol", F.concat(F.col("trading_date").cast("string"), F.when(F.dayofmonth("trading_date") % 2 == 0, F.lit("T00:00:00.000Z")).otherwise(F.lit(""))).alias("date"), *(F.col(c).cast("string").alias(c) for c in VALUES)).write.json(path)
+    return path
 
 
 @query(with_parts("bars") + f"SELECT symbol, 'SSE' AS exchange, 'raw' AS price_basis, trading_date, open, high, low, close, volume FROM bars WHERE trading_date BETWEEN DATE '1997-01-01' AND DATE '1999-12-31'")
 def scan_decoded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = new_dir(spark, "decoded")
-    b = X.bars_dense(spark, sf_dir)
-    b.select("symbol", F.concat(F.col("trading_date").cast("string"), F.when(F.dayofmonth("trading_date") % 2 == 0, F.lit("T00:00:00.000Z")).otherwise(F.lit(""))).alias("date"), *(F.col(c).cast("string").alias(c) for c in VALUES)).write.json(path)
-    return as_double(V.range_filter(scans.scan_decoded_rows(spark, path, "SSE"), "1997-01-01", "1999-12-31"))
+    return as_double(scans.scan_decoded_rows(spark, decoded_files(spark, X.bars_dense(spark, sf_dir)), "SSE", start="1997-01-01", as_of="1999-12-31"))
+
+
+@query(FAULTS + "SELECT symbol, trading_date, reason FROM ruled WHERE reason IS NOT NULL")
+def decoded_rows_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.decoded_rows_faults(spark, decoded_files(spark, faulty_bars(spark, sf_dir)), "SSE", as_of="1999-12-31")
 
 
 ANNOUNCED = """,

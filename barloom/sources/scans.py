@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import content_hash, parse_date, parse_decimal
-from ..operators.validate import load_faults, whole_load
+from ..operators.validate import load_faults
 from ..schema import BAR, MANIFEST, PRICES
+from .publish import load_whole
 
 #: Column names of tabular exports, by bar column.
 EXPORT_COLUMNS = {"trading_date": "日期", "open": "开盘", "close": "收盘", "high": "最高", "low": "最低", "volume": "成交量"}
@@ -17,9 +18,9 @@ def _bars_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(BAR).option("header", True).option("mode", "FAILFAST").csv(path)
 
 
-def scan_bars_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Daily bars from CSV with a header. A malformed or invalid row, or a repeated key, fails the whole load."""
-    return whole_load(_bars_csv(spark, path))
+def scan_bars_csv(spark: SparkSession, path: str, to: str | None = None) -> DataFrame:
+    """Daily bars from CSV with a header, published at ``to``. A malformed or invalid row, or a repeated key, fails the whole load."""
+    return load_whole(_bars_csv(spark, path), to=to)
 
 
 def bars_csv_rejects(spark: SparkSession, path: str) -> DataFrame:
@@ -41,11 +42,11 @@ def _export(spark: SparkSession, path: str, symbol: str | None, exchange: str, b
     return rows, [("unreadable_date", day.isNull()), ("out_of_range", (day < F.lit(start).cast("date")) | (day > F.lit(as_of).cast("date")))]
 
 
-def scan_provider_export(spark: SparkSession, path: str, symbol: str | None, exchange: str, basis: str, start: str | None = None, as_of: str | None = None) -> DataFrame:
+def scan_provider_export(spark: SparkSession, path: str, symbol: str | None, exchange: str, basis: str, start: str | None = None, as_of: str | None = None, to: str | None = None) -> DataFrame:
     """A tabular export: its columns and at least one row must be there; rows as bars. Without ``symbol``, that of a row is named by its file's folder
     (``symbol=...``). A value that is no date or number, a date outside ``start`` to ``as_of``, an invalid bar or a repeated key fails the whole load."""
     rows, rules = _export(spark, path, symbol, exchange, basis, start, as_of)
-    return whole_load(rows, *rules)
+    return load_whole(rows, *rules, to=to)
 
 
 def provider_export_rejects(spark: SparkSession, path: str, symbol: str | None, exchange: str, basis: str, start: str | None = None, as_of: str | None = None) -> DataFrame:
@@ -58,48 +59,96 @@ def _bar(symbol, exchange: str, basis: str, day, items: dict) -> list:
     return [symbol.alias("symbol"), F.lit(exchange).alias("exchange"), F.lit(basis).alias("price_basis"), day.alias("trading_date"), *(parse_decimal(items[c]).alias(c) for c in (*PRICES, "volume"))]
 
 
-def _positional(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of positional K-line files with the reason that makes one unfit."""
+#: What is wrong with an answer as a whole or the shape of one of its rows, and a row's date.
+SHAPES = ("answer_refused", "wrong_symbol", "wrong_count", "short_row", "unreadable_date")
+
+
+def _ranged(rows: DataFrame, start: str | None, as_of: str | None) -> tuple[DataFrame, list]:
+    """Rows with their fault in ``_fault``, without those whose date is read and outside ``start`` to ``as_of``, and the rules of their faults."""
+    day = F.col("trading_date")
+    rows = rows.withColumn("_fault", F.coalesce("_fault", F.when(day.isNull(), "unreadable_date")))
+    inside = F.coalesce(day >= F.lit(start).cast("date"), F.lit(True)) & F.coalesce(day <= F.lit(as_of).cast("date"), F.lit(True))
+    return rows.where(F.col("_fault").isNotNull() | inside), [(name, F.coalesce(F.col("_fault") == name, F.lit(False))) for name in SHAPES]
+
+
+def _faulty(rows: DataFrame, rules: list) -> DataFrame:
+    return load_faults(rows, *rules).where("reason is not null").select("symbol", "trading_date", "reason")
+
+
+def _positional(spark: SparkSession, path: str, exchange: str, basis: str) -> DataFrame:
+    """Rows of positional K-line files, with what makes one unfit in ``_fault``; an answer without rows is one such row."""
     doc = F.from_json("value", "code string, data struct<code:string,picupdata:array<array<string>>>")
     rows = spark.read.text(path, wholetext=True).select(doc.alias("d")).select(F.col("d.data.code").alias("symbol"), F.coalesce(F.col("d.code") == "0", F.lit(False)).alias("good"), F.explode_outer("d.data.picupdata").alias("r"))
-    return rows.withColumn("reason", F.when(~F.col("good"), "answer_refused").when(F.col("r").isNotNull() & (F.size("r") < 9), "short_row")).where("r is not null or not good")
+    fault = F.when(~F.col("good") | F.col("r").isNull() & F.col("symbol").isNull(), "answer_refused").when(F.col("r").isNull() | (F.size("r") < 9), "short_row")
+    at = lambda k: F.get("r", F.lit(k))
+    return rows.select(*_bar(F.col("symbol"), exchange, basis, parse_date(at(0)), {"open": at(1), "close": at(2), "low": at(3), "high": at(4), "volume": at(7)}), fault.alias("_fault"))
 
 
-def scan_kline_positional(spark: SparkSession, path: str, exchange: str, basis: str = "raw") -> DataFrame:
-    """Positional K-line files ``{code, data: {code, picupdata: [[date, open, close, low, high, _, _, volume, ...]]}}``; an
-    answer with a code other than 0 or a row of fewer than nine items fails the whole load."""
-    what = F.concat_ws(" ", F.lit("load rejected:"), "reason", "symbol")
-    rows = _positional(spark, path).where(F.when(F.col("reason").isNull(), True).otherwise(F.raise_error(what).cast("boolean")))
-    r = F.col("r")
-    return rows.select(*_bar(F.col("symbol"), exchange, basis, parse_date(r[0]), {"open": r[1], "close": r[2], "low": r[3], "high": r[4], "volume": r[7]}))
+def scan_kline_positional(spark: SparkSession, path: str, exchange: str, basis: str = "raw", start: str | None = None, as_of: str | None = None, to: str | None = None) -> DataFrame:
+    """Positional K-line files ``{code, data: {code, picupdata: [[date, open, close, low, high, _, _, volume, ...]]}}``, published at ``to``. Rows outside ``start`` to
+    ``as_of`` are left out. An answer with a code other than 0 or without rows, a row of fewer than nine items, an unreadable date or number, an invalid bar, a repeated key, or no row at
+    all fails the whole load."""
+    rows, rules = _ranged(_positional(spark, path, exchange, basis), start, as_of)
+    return load_whole(rows, *rules, to=to, least=1)
 
 
-def kline_positional_rejects(spark: SparkSession, path: str) -> DataFrame:
-    return _positional(spark, path).where("reason is not null").groupBy("symbol", "reason").agg(F.count("*").alias("n"))
+def kline_positional_faults(spark: SparkSession, path: str, exchange: str, basis: str = "raw", start: str | None = None, as_of: str | None = None) -> DataFrame:
+    """``symbol, trading_date, reason`` of the rows that fail such a load."""
+    return _faulty(*_ranged(_positional(spark, path, exchange, basis), start, as_of))
 
 
-def scan_kline_counted(spark: SparkSession, path: str, exchange: str, basis: str = "raw") -> DataFrame:
-    """Counted K-line files ``{code, total, kline: [[yyyymmdd, open, high, low, close, volume]]}``. A wrong count or row width rejects
-    the file's rows: they are not returned (see ``kline_counted_rejects``)."""
-    rows = _counted(spark, path).where("ok").select("symbol", F.explode("kline").alias("r"))
-    r = F.col("r")
-    return rows.select(*_bar(F.col("symbol"), exchange, basis, parse_date(r[0]), {"open": r[1], "high": r[2], "low": r[3], "close": r[4], "volume": r[5]}))
+def kline_positional_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """Refused answers and rows of a wrong shape, counted by symbol."""
+    return _positional(spark, path, "", "raw").where("_fault is not null").groupBy("symbol", F.col("_fault").alias("reason")).agg(F.count("*").alias("n"))
 
 
 def _counted(spark: SparkSession, path: str) -> DataFrame:
     doc = F.from_json("value", "code string, total int, kline array<array<string>>")
-    rows = spark.read.text(path, wholetext=True).select(doc.alias("d")).select(F.col("d.code").alias("symbol"), "d.total", "d.kline")
-    return rows.withColumn("ok", F.coalesce((F.size("kline") == F.col("total")) & F.forall("kline", lambda r: F.size(r) == 6), F.lit(False)))
+    return spark.read.text(path, wholetext=True).select(doc.alias("d")).select(F.col("d.code").alias("symbol"), "d.total", "d.kline")
+
+
+def _counted_rows(spark: SparkSession, path: str, exchange: str, basis: str, symbol: str | None) -> DataFrame:
+    fits = F.coalesce(F.size("kline") == F.col("total"), F.lit(False))
+    other = F.lit(False) if symbol is None else ~F.coalesce(F.col("symbol") == symbol, F.lit(False))
+    rows = _counted(spark, path).withColumn("of", F.when(other, "wrong_symbol").when(~fits, "wrong_count")).select("symbol", "of", F.explode_outer("kline").alias("r")).where("r is not null or of is not null")
+    at = lambda k: F.get("r", F.lit(k))
+    fault = F.coalesce("of", F.when(F.coalesce(F.size("r") != 6, F.lit(True)), "short_row"))
+    return rows.select(*_bar(F.col("symbol"), exchange, basis, parse_date(at(0)), {"open": at(1), "high": at(2), "low": at(3), "close": at(4), "volume": at(5)}), fault.alias("_fault"))
+
+
+def scan_kline_counted(spark: SparkSession, path: str, exchange: str, basis: str = "raw", start: str | None = None, as_of: str | None = None, symbol: str | None = None, to: str | None = None) -> DataFrame:
+    """Counted K-line files ``{code, total, kline: [[yyyymmdd, open, high, low, close, volume]]}``, published at ``to``. Rows outside ``start`` to ``as_of`` are left out. A code other than
+    ``symbol`` (if given), a wrong count or row width, an unreadable date or number, an invalid bar, a repeated key, or no row at all fails the whole load."""
+    rows, rules = _ranged(_counted_rows(spark, path, exchange, basis, symbol), start, as_of)
+    return load_whole(rows, *rules, to=to, least=1)
+
+
+def kline_counted_faults(spark: SparkSession, path: str, exchange: str, basis: str = "raw", start: str | None = None, as_of: str | None = None, symbol: str | None = None) -> DataFrame:
+    """``symbol, trading_date, reason`` of the rows that fail such a load."""
+    return _faulty(*_ranged(_counted_rows(spark, path, exchange, basis, symbol), start, as_of))
 
 
 def kline_counted_rejects(spark: SparkSession, path: str) -> DataFrame:
-    return _counted(spark, path).where("not ok").select("symbol", "total", F.size("kline").alias("found"))
+    """Files whose count is wrong, with the one stated and the one found."""
+    found = F.coalesce(F.size("kline"), F.lit(-1))
+    return _counted(spark, path).select("symbol", "total", found.alias("found")).where("not coalesce(found = total, false)")
 
 
-def scan_decoded_rows(spark: SparkSession, path: str, exchange: str, basis: str = "raw") -> DataFrame:
-    """Decoded rows as JSON lines of text values; dates may carry a time."""
+def _decoded(spark: SparkSession, path: str, exchange: str, basis: str) -> DataFrame:
     df = spark.read.schema("symbol string, date string, open string, high string, low string, close string, volume string").json(path)
-    return df.select(*_bar(F.col("symbol"), exchange, basis, parse_date(F.col("date")), {c: F.col(c) for c in (*PRICES, "volume")}))
+    return df.select(*_bar(F.col("symbol"), exchange, basis, parse_date(F.col("date")), {c: F.col(c) for c in (*PRICES, "volume")}), F.lit(None).cast("string").alias("_fault"))
+
+
+def scan_decoded_rows(spark: SparkSession, path: str, exchange: str, basis: str = "raw", start: str | None = None, as_of: str | None = None, to: str | None = None) -> DataFrame:
+    """Decoded rows as JSON lines of text values, published at ``to``; dates may carry a time. Rows outside ``start`` to ``as_of`` are left out. An unreadable date or number, an invalid
+    bar, a repeated key, or no row at all fails the whole load."""
+    rows, rules = _ranged(_decoded(spark, path, exchange, basis), start, as_of)
+    return load_whole(rows, *rules, to=to, least=1)
+
+
+def decoded_rows_faults(spark: SparkSession, path: str, exchange: str, basis: str = "raw", start: str | None = None, as_of: str | None = None) -> DataFrame:
+    """``symbol, trading_date, reason`` of the rows that fail such a load."""
+    return _faulty(*_ranged(_decoded(spark, path, exchange, basis), start, as_of))
 
 
 def scan_announcements(spark: SparkSession, path: str) -> DataFrame:

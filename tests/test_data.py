@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions import scalar
 from barloom.operators import calendar, inventory, reconcile, validate
-from barloom.sources import scans
+from barloom.sources import publish, scans
 from barloom.streaming import validators
 
 
@@ -79,7 +79,8 @@ def test_parsers(spark, tmp_path):
     r = scans.scan_kline_positional(spark, str(tmp_path / "k.json"), "SZSE").collect()
     assert len(r) == 1 and (float(r[0]["open"]), float(r[0]["close"]), float(r[0]["low"]), float(r[0]["high"]), float(r[0]["volume"])) == (1, 3, 0.5, 4, 700)
     (tmp_path / "c.json").write_text('{"code":"510300","total":2,"kline":[[20240102,1,2,1,2,5]]}')
-    assert scans.scan_kline_counted(spark, str(tmp_path / "c.json"), "SSE").count() == 0
+    with pytest.raises(publish.LoadRejected, match="wrong_count"):
+        scans.scan_kline_counted(spark, str(tmp_path / "c.json"), "SSE")
     assert scans.kline_counted_rejects(spark, str(tmp_path / "c.json")).first()["found"] == 1
     (tmp_path / "f.js").write_text('var x={"symbol":"A","data":[{"d":"1900-01-01","s":"1","u":"0"},{"d":"2024-01-02","s":"2","u":"0"}]}\n/* cached */')
     assert [(r["split"]) for r in scans.scan_factor_changes(spark, str(tmp_path / "f.js")).collect()] == [2.0]
@@ -100,6 +101,40 @@ def test_bad_csv_fails(spark, tmp_path):
         scans.scan_bars_csv(spark, str(tmp_path / "b.csv")).collect()
 
 
+def test_no_filter_passes_a_faulty_load_by(spark, tmp_path):
+    """Each loader checks all rows before a reader is given any; what is rejected leaves nothing behind."""
+    import os
+
+    (tmp_path / "b.csv").write_text("symbol,exchange,price_basis,trading_date,open,high,low,close,volume\nA,T,raw,2024-01-02,1,1,1,1,1\nB,T,raw,2024-01-02,1,1,-4,1,1\n")
+    row = lambda *v: "[" + ",".join(map(str, v)) + "]"
+    positional = lambda *rows: '{"code":"0","data":{"code":"A","picupdata":[' + ",".join(rows) + "]}}"
+    good = row('"2024-01-02"', 1, 1, 1, 1, 0, 0, 5, 9)
+    bad = {"unreadable_date": row('"soon"', 1, 1, 1, 1, 0, 0, 5, 9), "missing": row('"2024-01-03"', '"junk"', 1, 1, 1, 0, 0, 5, 9), "price_not_positive": row('"2024-01-03"', 1, 1, -4, 1, 0, 0, 5, 9), "duplicate": good, "short_row": row('"2024-01-03"', 1)}
+    for reason, r in bad.items():
+        (tmp_path / f"{reason}.json").write_text(positional(good, r))
+    (tmp_path / "none.json").write_text(positional())
+    (tmp_path / "c.json").write_text('{"code":"A","total":2,"kline":[[20240102,1,1,1,1,5],[20240102,1,1,1,1,5]]}')
+    (tmp_path / "d.json").write_text('{"symbol":"A","date":"2024-01-02T00:00","open":"1","high":"1","low":"1","close":"x","volume":"5"}')
+    loads = {"b.csv": (scans.scan_bars_csv, (), "price_not_positive B 2024-01-02"), "c.json": (scans.scan_kline_counted, ("SSE",), "duplicate"), "d.json": (scans.scan_decoded_rows, ("SSE",), "missing"), "none.json": (scans.scan_kline_positional, ("SZSE",), "short_row|answer_refused")}
+    loads |= {f"{reason}.json": (scans.scan_kline_positional, ("SZSE",), reason) for reason in bad}
+    before = sorted(os.listdir(tmp_path))
+    for name, (load, args, reason) in loads.items():
+        with pytest.raises(publish.LoadRejected, match=reason):
+            load(spark, str(tmp_path / name), *args, to=str(tmp_path / "table")).where("symbol = 'A'").limit(1).count()
+        assert sorted(os.listdir(tmp_path)) == before
+    (tmp_path / "g.json").write_text(positional(good, row('"2025-01-02"', '"junk"', 1, 1, 1, 0, 0, 5, 9)))
+    got = scans.scan_kline_positional(spark, str(tmp_path / "g.json"), "SZSE", as_of="2024-12-31", to=str(tmp_path / "table"))
+    assert [str(r["trading_date"]) for r in got.collect()] == ["2024-01-02"]
+    with pytest.raises(publish.LoadRejected, match="already"):
+        scans.scan_kline_positional(spark, str(tmp_path / "g.json"), "SZSE", as_of="2024-12-31", to=str(tmp_path / "table"))
+    with pytest.raises(publish.LoadRejected, match="0 rows"):
+        scans.scan_kline_positional(spark, str(tmp_path / "g.json"), "SZSE", as_of="2023-12-31")
+    (tmp_path / "w.json").write_text('{"code":"A","total":1,"kline":[[20240102,1,1,1,1,5]]}')
+    with pytest.raises(publish.LoadRejected, match="wrong_symbol"):
+        scans.scan_kline_counted(spark, str(tmp_path / "w.json"), "SSE", symbol="B")
+    assert scans.scan_kline_counted(spark, str(tmp_path / "w.json"), "SSE", symbol="A").count() == 1
+
+
 def test_order_id_is_uuid5(spark):
     import uuid
 
