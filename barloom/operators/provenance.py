@@ -13,14 +13,22 @@ def series_fingerprint(rows: DataFrame, value: str, *keys: str, scale: int = 6)
 
 
 def artifact_verify(manifests: DataFrame, files: DataFrame) -> DataFrame:
-    """Status of each manifest against ``files(path, length, sha256)``: ok, missing, mismatch, path_mismatch, or ambiguous when several
-    manifests claim one hash."""
-    claims = manifests.groupBy("sha256").agg(F.count("*").alias("claims"))
-    at = files.select("path", F.col("sha256").alias("found"))
-    elsewhere = files.select("sha256").distinct().withColumn("elsewhere", F.lit(True))
+    """Status of each manifest against ``files(path, length, sha256)``. The file is looked for first: ``missing``, or ``path_mismatch`` where another path has its hash.
+    Then its hash (``mismatch``, or ``path_mismatch``), that no other manifest claims it (``ambiguous``), and where manifests have ``size_bytes`` or ``context`` (and
+    files ``context``, see ``scan_file_contexts``), its size and what its footer says (``mismatch``); else ``ok``. A manifest with a null size or context is
+    not held to it."""
+    claims = manifests.groupBy("sha256").agg(F.count("*").alias("_claims"))
+    own = [c for c in ("length", "context") if c in files.columns]
+    at = files.select("path", F.col("sha256").alias("_found"), *(F.col(c).alias(f"_{c}") for c in own))
+    elsewhere = files.select("sha256").distinct().withColumn("_elsewhere", F.lit(True))
     out = manifests.join(claims, "sha256").join(at, "path", "left").join(elsewhere, "sha256", "left")
-    status = F.when(F.col("claims") > 1, "ambiguous").when(F.col("found") == F.col("sha256"), "ok").when(F.col("elsewhere").isNotNull(), "path_mismatch").when(F.col("found").isNull(), "missing").otherwise("mismatch")
-    return out.select("manifest_id", "path", status.alias("status"))
+    other = F.lit(False)
+    for wanted, found in (("size_bytes", "_length"), ("context", "_context")):
+        if wanted in manifests.columns and found in out.columns:
+            other = other | F.col(wanted).isNotNull() & ~F.col(wanted).eqNullSafe(F.col(found))
+    moved = F.col("_elsewhere").isNotNull()
+    status = F.when(F.col("_found").isNull(), F.when(moved, "path_mismatch").otherwise("missing")).when(F.col("_found") != F.col("sha256"), F.when(moved, "path_mismatch").otherwise("mismatch"))
+    return out.select("manifest_id", "path", status.when(F.col("_claims") > 1, "ambiguous").when(other, "mismatch").otherwise("ok").alias("status"))
 
 
 def evidence_verify(cited: DataFrame, archive: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -340,13 +342,37 @@ def scan_files_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_parts("bars") + MANIFESTS + """
     SELECT manifest_id, CASE WHEN provider = 'alpha' AND symbol <> 'SMALL' THEN 'ok' WHEN provider = 'alpha' THEN 'mismatch' WHEN symbol < 'L' THEN 'path_mismatch' ELSE 'missing' END AS status FROM manifests WHERE provider <> 'gamma'
-    UNION ALL SELECT manifest_id, 'ambiguous' FROM manifests WHERE provider = 'gamma'""")
+    UNION ALL SELECT manifest_id, CASE WHEN symbol < 'M' THEN 'ambiguous' ELSE 'path_mismatch' END FROM manifests WHERE provider = 'gamma'""")
 def artifact_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Manifests against a file table: alpha's files are in place, beta's partly elsewhere, and gamma's manifests claim one hash."""
+    """Manifests against a file table: alpha's files are in place, beta's partly elsewhere, and gamma's manifests claim one hash, that some files have."""
     m = manifests(X.bars_dense(spark, sf_dir)).withColumn("path", F.concat_ws("/", "provider", "symbol")).withColumn("sha256", F.when(F.col("provider") == "gamma", F.lit("0" * 64)).otherwise(F.col("sha256")))
     files = m.where("provider = 'alpha'").select("path", F.lit(1).alias("length"), F.sha2(F.concat_ws("|", "symbol", "provider"), 256).alias("sha256"))
     other = m.where("provider = 'beta' and symbol < 'L'").select(F.concat(F.lit("else/"), "path").alias("path"), F.lit(1).alias("length"), "sha256")
-    return P.artifact_verify(m, files.unionByName(other)).select("manifest_id", "status")
+    shared = m.where("provider = 'gamma' and symbol < 'M'").select("path", F.lit(1).alias("length"), "sha256")
+    return P.artifact_verify(m, files.unionByName(other).unionByName(shared)).select("manifest_id", "status")
+
+
+def files_by_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of the bars of each exchange, made under a context of its own: ``symbol`` and what ``scan_file_contexts`` tells."""
+    path, b = new_dir(spark, "contexts"), X.bars_dense(spark, sf_dir)
+    for exchange in ("SSE", "SZSE"):
+        scans.sink_bars_parquet(b.where(F.col("exchange") == exchange), f"{path}/{exchange}", hashlib.sha256(f"ctx|{exchange}".encode()).hexdigest())
+    found, sums = scans.scan_file_contexts(spark, path), scans.scan_files_binary(spark, path).select("path", "sha256")
+    return found.join(sums, "path").withColumn("symbol", F.regexp_extract("path", "symbol=([^/]+)/", 1))
+
+
+@query(with_parts("bars") + "SELECT symbol, sha256('ctx|' || exchange) AS context, count(*) AS rows, 'decimal(28,10)' AS price_type FROM bars GROUP BY symbol, exchange")
+def scan_file_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files_by_context(spark, sf_dir).select("symbol", "context", "rows", "price_type")
+
+
+@query(with_parts("bars") + "SELECT symbol, CASE WHEN symbol IN ('LARGE', 'SMALL') THEN 'mismatch' ELSE 'ok' END AS status FROM bars GROUP BY symbol")
+def artifact_verify_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifests against stored files: one states another size, one another context, and one, of old, no context."""
+    files = stored(files_by_context(spark, sf_dir), "files")
+    context = F.when(F.col("symbol") == "SMALL", F.lit("0" * 64)).when(F.col("symbol") != "PROMO", F.col("context"))
+    m = files.select(F.col("symbol").alias("manifest_id"), "path", "sha256", (F.col("length") + (F.col("symbol") == "LARGE").cast("int")).alias("size_bytes"), context.alias("context"))
+    return P.artifact_verify(m, files.select("path", "length", "sha256", "context")).select(F.col("manifest_id").alias("symbol"), "status")
 
 
 @query(with_parts("ledger") + "SELECT kind, count(*) AS records, count(*) AS ids FROM ledger GROUP BY kind")

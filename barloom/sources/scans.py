@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalar import content_hash, parse_date, parse_decimal
 from ..operators.validate import load_faults
@@ -168,9 +173,14 @@ def scan_factor_changes(spark: SparkSession, path: str) -> DataFrame:
     return d.where(F.year("day") != 1900)
 
 
-def scan_bars_parquet(spark: SparkSession, root: str, **parts: str) -> DataFrame:
-    """Stored bars; exchange, symbol and basis are partition columns, so naming them prunes folders."""
-    df = spark.read.schema(BAR).parquet(root)
+#: Types of canonical values, where they differ from those of BAR: room for products of prices and factors.
+CANONICAL = {c: T.DecimalType(38, 28) for c in PRICES} | {"volume": T.DecimalType(38, 6)}
+
+
+def scan_bars_parquet(spark: SparkSession, root: str, canonical: bool = False, **parts: str) -> DataFrame:
+    """Stored bars; exchange, symbol and basis are partition columns, so naming them prunes folders. ``canonical`` as they were written."""
+    schema = T.StructType([T.StructField(f.name, CANONICAL.get(f.name, f.dataType), False) for f in BAR.fields]) if canonical else BAR
+    df = spark.read.schema(schema).parquet(root)
     for name, value in parts.items():
         df = df.where(F.col(name) == value)
     return df
@@ -185,9 +195,41 @@ def scan_files_binary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
-def sink_bars_parquet(bars: DataFrame, path: str) -> None:
-    typed = bars.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in BAR.fields))
-    typed.repartition("exchange", "symbol", "price_basis").write.partitionBy("exchange", "symbol", "price_basis").option("compression", "zstd").mode("errorifexists").parquet(path)
+#: The name of the context hash in the metadata of a column, which Spark keeps in the footer of each file.
+CONTEXT = "context_sha256"
+
+
+def sink_bars_parquet(bars: DataFrame, path: str, context: str | None = None, canonical: bool = False) -> None:
+    """Bars as zstd Parquet in folders by series. ``context``: a hash of what they were made by, stored in the footer of each file. ``canonical``: prices as decimals
+    of 28 places, for adjusted ones, instead of ten; a price of ten digits or more before the point is an error then."""
+    typed = [F.col(f.name).cast(CANONICAL.get(f.name, f.dataType) if canonical else f.dataType) for f in BAR.fields]
+    named = [c.alias(f.name, metadata={CONTEXT: context}) if context and f.name == "trading_date" else c.alias(f.name) for c, f in zip(typed, BAR.fields)]
+    bars.select(*named).repartition("exchange", "symbol", "price_basis").write.partitionBy("exchange", "symbol", "price_basis").option("compression", "zstd").mode("errorifexists").parquet(path)
+
+
+def scan_file_contexts(spark: SparkSession, path: str) -> DataFrame:
+    """``path, length, context, rows, price_type`` of every Parquet file under ``path``, from its size and its footer: no data page is read. ``context`` is null where a file
+    holds none. A file that is no Parquet file is an error."""
+
+    def footers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+        from pyarrow import parquet as pq
+
+        for f in frames:
+            out = []
+            for name in f["path"]:
+                store, at = fs.FileSystem.from_uri("file://" + name.removeprefix("file:") if name.startswith("file:/") and not name.startswith("file://") else name)
+                with store.open_input_file(at) as file:
+                    meta = pq.read_metadata(file)
+                spec = json.loads((meta.metadata or {}).get(b"org.apache.spark.sql.parquet.row.metadata", b"{}"))
+                fields = {c["name"]: c for c in spec.get("fields", [])}
+                held = [c["metadata"][CONTEXT] for c in fields.values() if CONTEXT in c["metadata"]]
+                out.append((held[0] if held else None, meta.num_rows, str(fields.get("close", {}).get("type", ""))))
+            yield pd.DataFrame({"path": f["path"], "length": f["length"], "context": [x[0] for x in out], "rows": [x[1] for x in out], "price_type": [x[2] for x in out]})
+
+    # The content column is not asked for, so files are listed and not read.
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path).select("path", "length")
+    return files.repartition("path").mapInPandas(footers, "path string, length long, context string, rows long, price_type string")
 
 
 def sink_reports_json(records: DataFrame, path: str) -> None:

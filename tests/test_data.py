@@ -174,3 +174,36 @@ def test_instruments_without_overlap_are_blocked(spark):
     o = reconcile.reconcile_overlap(a, a.where("symbol = 'A'").withColumn("volume", F.lit(1.0)), spark.createDataFrame([], "symbol string, application_date date"))
     got = {r["symbol"]: (r["overlap"], r["status"], r["reason"]) for r in reconcile.reconciliation_report(o, reconcile.adjudicate(o, a), a).collect()}
     assert got == {"A": (2, "pass", None), "B": (0, "blocked", "no_overlap")}
+
+
+def test_contexts_are_told_by_footers(spark, tmp_path):
+    from barloom.operators import provenance
+
+    b = bars(spark, [1, 2]).unionByName(bars(spark, [3], "B"))
+    scans.sink_bars_parquet(b, str(tmp_path / "x"), "ab" * 32)
+    scans.sink_bars_parquet(b.where("symbol = 'A'"), str(tmp_path / "y"))
+    found = scans.scan_file_contexts(spark, str(tmp_path)).collect()
+    assert sorted((r["path"].split("/")[-5], r["context"], r["rows"]) for r in found) == [("x", "ab" * 32, 1), ("x", "ab" * 32, 2), ("y", None, 2)]
+    sizes = {r["path"]: r["length"] for r in found}
+    assert all((tmp_path / p.split(str(tmp_path) + "/")[1]).stat().st_size == n for p, n in sizes.items())
+    plan = scans.scan_file_contexts(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan
+    at = "m string, manifest_id string, path string, sha256 string, size_bytes long, context string"
+    files = spark.createDataFrame([("p", 5, "h", "c"), ("q", 6, "k", None), ("r", 7, "two", "c"), ("z", 8, "moved", "c")], "path string, length long, sha256 string, context string")
+    want = [("ok", "p", "h", 5, "c"), ("mismatch", "p", "h2", 5, "c"), ("missing", "no", "h3", 5, "c"), ("path_mismatch", "away", "moved", 8, "c"), ("ambiguous", "r", "two", 7, "c"), ("missing", "gone", "twin", 7, "c"), ("missing", "gone2", "twin", 7, "c"), ("path_mismatch", "s", "two", 7, "c")]
+    for status, size, context in (("mismatch", 7, None), ("mismatch", 6, "other"), ("ok", 6, None), ("ok", None, None)):
+        m = spark.createDataFrame([("x", "i", "q", "k", size, context)], at)
+        assert provenance.artifact_verify(m, files).first()["status"] == status
+    m = spark.createDataFrame([(w[0], f"i{k}", *w[1:]) for k, w in enumerate(want)], at)
+    got = {r["manifest_id"]: r["status"] for r in provenance.artifact_verify(m, files).collect()}
+    assert got == {f"i{k}": w[0] for k, w in enumerate(want)}
+
+
+def test_canonical_types_are_stored(spark, tmp_path):
+    b = bars(spark, [1]).selectExpr("symbol", "exchange", "price_basis", "trading_date", *(f"cast('1.2345678901234567890123456789' as decimal(38,28)) as {c}" for c in ("open", "high", "low", "close")), "volume")
+    scans.sink_bars_parquet(b, str(tmp_path / "c"), "ab" * 32, canonical=True)
+    assert str(scans.scan_bars_parquet(spark, str(tmp_path / "c"), canonical=True).first()["close"]) == "1.2345678901234567890123456789"
+    assert scans.scan_file_contexts(spark, str(tmp_path / "c")).first()["price_type"] == "decimal(38,28)"
+    huge = bars(spark, [10**10])
+    with pytest.raises(Exception, match="(?i)overflow|numeric_value_out_of_range"):
+        scans.sink_bars_parquet(huge, str(tmp_path / "h"), canonical=True)
