@@ -48,6 +48,27 @@ def forward_adjust_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forward(X.bars_wide(spark, sf_dir))
 
 
+def as_decimals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Bars of a series per supplier and their events, as decimals."""
+    b = X.bars_wide(spark, sf_dir)
+    led = X.ledger(b)
+    money = lambda c: F.col(c).cast("decimal(28,10)")
+    return b.withColumns({c: money(c) for c in ("open", "high", "low", "close")}), led.withColumns({c: money(c) for c in ("cash_per_unit", "split_ratio")})
+
+
+@query(with_parts("factors", wide=True) + FORWARD)
+def exact_forward_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In 28 digits; here shown to the places that SQL in doubles can tell."""
+    out = A.exact_forward_adjust(*as_decimals(spark, sf_dir))
+    return out.select("symbol", "trading_date", F.round(F.col("close").cast("double") + 0.0000003, 4).alias("close"), F.round(F.col("factor").cast("double"), 6).alias("factor"))
+
+
+@query(with_parts("factors", wide=True) + "SELECT symbol, trading_date, round(close * backward + 0.0000003, 4) AS close, round(backward, 8) AS factor FROM factors")
+def exact_backward_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = A.exact_backward_adjust(*as_decimals(spark, sf_dir))
+    return out.select("symbol", "trading_date", F.round(F.col("close").cast("double") + 0.0000003, 4).alias("close"), F.round(F.col("factor").cast("double"), 8).alias("factor"))
+
+
 @query(with_parts("ledger") + "SELECT symbol, effective_date AS trading_date, round(cash_per_unit * 200, 4) AS cash_per_unit FROM ledger WHERE kind = 'cash' AND k % 4 = 0")
 def cash_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distributions that reach the previous close: every second one is made to."""
