@@ -9,7 +9,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The white space that word and text rules use: space, tab, line feed, vertical tab, form feed, return.
@@ -58,9 +59,17 @@ def spent(*tables: DataFrame) -> None:
 
 
 def numbered(docs: DataFrame, name: str) -> DataFrame:
-    """Adds a number of its own to each row, whatever ids the rows have, and stores the rows with it: later plans read the number, since one
-    that is computed again differs when files are split otherwise, as they are when executors come or go."""
-    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    """Adds a number of its own to each row, whatever ids the rows have: that of its file, files taken in the order of their paths, and its place in it. So it is the
+    same in every plan, however the files are split, and nothing is written but a table of files. Rows that do not come straight from files are
+    stored with their numbers."""
+    try:
+        placed = docs.select("*", F.col("_metadata.file_path").alias("_numbered_file"), F.col("_metadata.row_index").alias("_numbered_at"))
+    except AnalysisException:
+        return stored(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    order = Window.orderBy("_numbered_file")  # one row a file
+    files = stored(placed.select("_numbered_file").distinct().withColumn("_numbered_of", F.row_number().over(order).cast("long")), "numbered-files")
+    out = joined(placed, files, ["_numbered_file"], "inner")
+    return out.select(*docs.columns, (F.shiftleft("_numbered_of", 40) + F.col("_numbered_at")).alias(name))
 
 
 #: Rows of a stored table of keys that are broadcast (about 100 bytes each), and rows of one whole number alone (16 bytes each).
