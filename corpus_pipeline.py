@@ -3,7 +3,7 @@
 Each stage is ``(name, function)``; a function takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is
 written as Parquet and read again as the next one's ``docs``. All but the last return the columns of documents.
 
-Stages decide row by row, not by ``doc_id``: each stores its rows once with a number of their own, by which what it removes is named. Defined cases: a null id, or one that other rows share, is judged by its own text;
+Stages decide row by row, not by ``doc_id``: each row has a number by its file and place, by which what a stage removes is named. Defined cases: a null id, or one that other rows share, is judged by its own text;
 of equal rows one stays; null and empty texts have no language and go in the first stage; very long texts are read whole; of copies with equal
 lengths the smallest id stays; an empty table stays empty through all stages; further columns, whatever
 their names, are passed on."""
