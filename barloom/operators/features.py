@@ -4,21 +4,39 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import SERIES
 
 
+#: Decimals of running sums: twenty places, and eighteen before the point.
+SUMS = "decimal(38,20)"
+
+
 def features(bars: DataFrame, average: int = 200, lags: Sequence[int] = (63, 126, 252), volatility: int = 60) -> DataFrame:
-    """Bars with ``ma``, ``mom_<k>`` and ``vol``, null until each window is full. All share one sort per series."""
+    """Bars with ``ma``, ``mom_<k>`` and ``vol``, null until each window is full. All share one sort per series.
+
+    Sums over a window are differences of two running sums, so a row costs the same however long the window is. The sums are of decimals and so exact, whatever was
+    added before: only the squares of a window's own returns are rounded. A window whose returns are all equal has a volatility of exactly zero."""
     w = Window.partitionBy(*SERIES).orderBy("trading_date")
-    close = F.col("close").cast("double")
-    rows = bars.withColumn("_c", close).withColumn("_rn", F.row_number().over(w)).withColumn("_r", F.col("_c") / F.lag("_c").over(w) - 1)
-    out = rows.withColumn("ma", F.when(F.col("_rn") >= average, F.avg("_c").over(w.rowsBetween(1 - average, 0))))
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+
+    def over(total: str, n: int) -> Column:
+        return F.col(total) - F.coalesce(F.lag(total, n).over(w), F.lit(0))
+
+    rows = bars.withColumn("_c", F.col("close").cast("double")).withColumn("_rn", F.row_number().over(w)).withColumn("_r", F.col("_c") / F.lag("_c").over(w) - 1)
+    # The last row whose return differs from the one before.
+    rows = rows.withColumn("_new", F.when(~F.col("_r").eqNullSafe(F.lag("_r").over(w)), F.col("_rn")))
+    sums = {"_sc": F.col("_c"), "_sr": F.col("_r"), "_sq": F.col("_r") * F.col("_r")}
+    rows = rows.withColumns({name: F.sum(of.cast(SUMS)).over(so_far) for name, of in sums.items()} | {"_new": F.max("_new").over(so_far)})
+    out = rows.withColumn("ma", F.when(F.col("_rn") >= average, over("_sc", average).cast("double") / average))
     for k in lags:
         out = out.withColumn(f"mom_{k}", F.col("_c") / F.lag("_c", k).over(w) - 1)
-    return out.withColumn("vol", F.when(F.col("_rn") > volatility, F.stddev_pop("_r").over(w.rowsBetween(1 - volatility, 0)))).drop("_c", "_rn", "_r")
+    mean = over("_sr", volatility).cast("double") / volatility
+    spread = F.greatest(over("_sq", volatility).cast("double") / volatility - mean * mean, F.lit(0.0))
+    flat = F.col("_rn") - F.col("_new") >= volatility - 1
+    return out.withColumn("vol", F.when(F.col("_rn") > volatility, F.when(flat, 0.0).otherwise(F.sqrt(spread)))).drop("_c", "_rn", "_r", "_new", *sums)
 
 
 def momentum_rank(rows: DataFrame, momentum: str = "mom_126", hold: int = 2) -> DataFrame:

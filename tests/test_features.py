@@ -97,3 +97,45 @@ def test_long_series_take_linear_time(spark):
     began = time.perf_counter()
     assert adjust.backward_adjust(b, e).where("factor = 1").count() == n and adjust.forward_adjust(b, e).where("factor = 1").count() == n
     assert time.perf_counter() - began < 60
+
+
+def test_running_sums_equal_sliding_frames(spark):
+    """Windows of many lengths against frames evaluated row by row: noise, jumps of a thousand, tiny prices, and stretches without any change."""
+    import random
+
+    from pyspark.sql import Window
+
+    rng = random.Random(2)
+    closes = {"noise": [], "jumps": [], "tiny": [], "flat": [5.0] * 400, "steps": []}
+    for k in range(400):
+        closes["noise"].append((closes["noise"] or [100.0])[-1] * (1 + rng.uniform(-0.03, 0.03)))
+        closes["jumps"].append(rng.choice((0.5, 1.0, 900.0)) * rng.uniform(0.9, 1.1))
+        closes["tiny"].append(1e-4 * rng.uniform(0.9, 1.1))
+        closes["steps"].append(10.0 if k % 150 < 100 else 10.0 + rng.random())
+    b = None
+    for name, own in closes.items():
+        b = bars(spark, own, name) if b is None else b.unionByName(bars(spark, own, name))
+    w = Window.partitionBy("exchange", "symbol", "price_basis").orderBy("trading_date")
+    r = b.withColumn("r", F.col("close") / F.lag("close").over(w) - 1).withColumn("rn", F.row_number().over(w))
+    for n, v in ((200, 60), (2, 2), (350, 390)):
+        want = {(x["symbol"], x["trading_date"]): x for x in r.withColumn("ma", F.when(F.col("rn") >= n, F.avg("close").over(w.rowsBetween(1 - n, 0)))).withColumn("vol", F.when(F.col("rn") > v, F.stddev_pop("r").over(w.rowsBetween(1 - v, 0)))).collect()}
+        for x in features.features(b, n, (), v).collect():
+            y = want[x["symbol"], x["trading_date"]]
+            for c in ("ma", "vol"):
+                assert (x[c] is None) == (y[c] is None) and (x[c] is None or x[c] == pytest.approx(y[c], rel=1e-11, abs=1e-12)), (x, y)
+            if x["symbol"] == "flat":
+                assert x["vol"] in (None, 0.0)
+
+
+def test_long_windows_cost_no_more(spark):
+    import time
+
+    b = spark.range(200_000).selectExpr("'A' symbol", "'X' exchange", "'raw' price_basis", "date_add(date'1500-01-01', cast(id as int)) trading_date", "100 + id % 17 + rand(3) close").persist()
+    b.count()
+    took = {}
+    for n in (10, 10, 5000, 10, 5000):
+        began = time.perf_counter()
+        features.features(b, n, (), n).write.format("noop").mode("overwrite").save()
+        took[n] = min(took.get(n, 1e9), time.perf_counter() - began)
+    b.unpersist()
+    assert took[5000] < 2.5 * took[10], took
