@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import days_in
+
 YEAR = 252
 
 
@@ -129,9 +131,8 @@ def chained_oos_curve(curves: DataFrame, *keys: str, start: float = 100000.0) ->
 
 
 def fold_assignment(curves: DataFrame, folds: DataFrame) -> DataFrame:
-    """Rows within each fold's test interval (folds are a few rows: a range join with a broadcast side)."""
-    f = folds.select("fold", "test_start", "test_end")
-    return curves.join(f, (F.col("trading_date") >= F.col("test_start")) & (F.col("trading_date") <= F.col("test_end")))
+    """Rows within each fold's test interval."""
+    return days_in(curves, folds.select("fold", "test_start", "test_end"), "trading_date", "test_start", "test_end")
 
 
 def fold_bounds(assigned: DataFrame, *keys: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .intervals import latest_covering
+
 
 def series_fingerprint(rows: DataFrame, value: str, *keys: str, scale: int = 6) -> DataFrame:
     """SHA-256 of each series in date order, its values first cast to a fixed scale."""
@@ -61,10 +63,10 @@ def frozen_input_drift(frozen: DataFrame, current: DataFrame, key: str, *columns
 
 
 def covering_request(requests: DataFrame, manifests: DataFrame) -> DataFrame:
-    """For each request the latest captured manifest of its series whose interval contains it; null where none does."""
-    m = manifests.select("exchange", "symbol", "price_basis", F.col("start_date").alias("m_start"), F.col("as_of_date").alias("m_end"), "manifest_id", "captured_at")
-    on = requests.join(m, ["exchange", "symbol", "price_basis"]).where((F.col("m_start") <= F.col("start_date")) & (F.col("m_end") >= F.col("as_of_date")))
-    best = on.groupBy("request_id").agg(F.max_by("manifest_id", F.struct("captured_at", "manifest_id")).alias("manifest_id"))
+    """For each request the latest captured manifest of its series whose interval contains it; null where none does. Request ids are distinct."""
+    m = manifests.select("exchange", "symbol", "price_basis", F.col("start_date").alias("start"), F.col("as_of_date").alias("end"), "manifest_id", "captured_at")
+    r = requests.select("exchange", "symbol", "price_basis", "request_id", F.col("start_date").alias("start"), F.col("as_of_date").alias("end"))
+    best = latest_covering(r, m, ["exchange", "symbol", "price_basis"], "manifest_id", "captured_at")
     return requests.select("request_id").join(best, "request_id", "left")
 
 

@@ -812,6 +812,20 @@ def covering_request(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.covering_request(r.select(F.concat_ws("-", "symbol", "n").alias("request_id"), "exchange", "symbol", "price_basis", F.date_add("f", F.col("n")).alias("start_date"), "as_of_date"), manifests(b))
 
 
+@query("""
+    WITH m AS (SELECT o_orderpriority AS symbol, o_orderkey AS manifest_id, CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 900 AS INTEGER) AS e, o_custkey AS captured FROM orders WHERE o_orderkey % 7 = 0),
+    r AS (SELECT o_orderpriority AS symbol, o_orderkey AS request_id, CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) + CAST(o_custkey % 60 AS INTEGER) AS e FROM orders WHERE o_orderkey % 7 <> 0)
+    SELECT request_id, CAST(arg_max(manifest_id, (captured, manifest_id)) AS VARCHAR) AS manifest_id FROM r LEFT JOIN m ON m.symbol = r.symbol AND m.s <= r.s AND m.e >= r.e GROUP BY request_id""")
+def covering_request_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five series with many overlapping manifests each: of every seventh order, for the others as requests."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    day = F.col("o_orderdate").cast("date")
+    series = [F.lit("SSE").alias("exchange"), F.col("o_orderpriority").alias("symbol"), F.lit("raw").alias("price_basis")]
+    m = o.where("o_orderkey % 7 = 0").select(*series, F.col("o_orderkey").alias("manifest_id"), day.alias("start_date"), F.date_add(day, (F.col("o_orderkey") % 900).cast("int")).alias("as_of_date"), F.col("o_custkey").alias("captured_at"))
+    r = o.where("o_orderkey % 7 <> 0").select(*series, F.col("o_orderkey").alias("request_id"), day.alias("start_date"), F.date_add(day, (F.col("o_custkey") % 60).cast("int")).alias("as_of_date"))
+    return P.covering_request(r, m).withColumn("manifest_id", F.col("manifest_id").cast("string"))
+
+
 @query(with_parts("bars") + MANIFESTS + "SELECT symbol, arg_max(manifest_id, (captured, manifest_id)) AS manifest_id FROM manifests GROUP BY symbol")
 def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.latest_per_key(manifests(X.bars_dense(spark, sf_dir)), "manifest_id", "captured_at", "symbol")
