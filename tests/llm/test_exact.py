@@ -33,3 +33,20 @@ def test_repeated_rows_and_empty(spark):
 def test_native(spark, sf):
     plan = exact.exact_dedup(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_a_full_bitmap_loses_nothing(spark, monkeypatch):
+    """With as few bits as pairs, texts that only seem to have company are hashed too, and found to be alone."""
+    monkeypatch.setattr(exact, "BITS", 7)
+    rows = [(k, f"text {k // 2 if k < 400 else k} {'x' * (k % 300)}" if k >= 400 else f"text {k // 2}") for k in range(900)] + [(None, "text 3"), (900, None), (901, " ")]
+    want = brute([r for r in rows if r[0] is not None])
+    got = exact.exact_dedup(table(spark, rows)).collect()
+    own = {r["id"]: r for r in got if r["id"] is not None}
+    assert {i: r["keep_id"] for i, r in own.items()} == {i: w[0] for i, w in want.items()}
+    assert sum(r["text_sha256"] is not None for r in got) > 450
+    monkeypatch.setattr(exact, "BITS", 27)
+    again = exact.exact_dedup(table(spark, rows)).collect()
+    plain = lambda rs: sorted((str(r["id"]), r["keep_id"], r["group_size"], r["kept"]) for r in rs)
+    assert plain(got) == plain(again)
+    # Unique texts are not hashed when the bitmap has room.
+    assert all((r["text_sha256"] is None) == (r["group_size"] == 1) for r in again)
