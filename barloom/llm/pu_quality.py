@@ -29,7 +29,9 @@ for _k, _chars in enumerate(_CLASSES):
 #: Slots that words and byte trigrams are hashed to.
 SLOTS = 256
 N_FEATURES = 256 + 16 + 10 + 2 * SLOTS
-CONTENT = 0.1
+#: Weight of the features of content, decay and epochs: what ``choose`` picks of GRID on sf0.1 (``python -m barloom.llm.pu_quality``).
+CONTENT, DECAY, EPOCHS = 0.05, 1e-3, 15
+GRID = tuple((content, decay, epochs) for content in (1.0, 0.3, 0.1, 0.05) for decay in (1e-3, 1e-2) for epochs in (8, 15))
 
 
 def features(text: str | None) -> np.ndarray:
@@ -87,13 +89,13 @@ def nn_gradient(fp: np.ndarray, fu: np.ndarray, prior: float | None) -> tuple[np
     return prior * _sig(fp) / len(fp), -_sig(fu) / len(fu)
 
 
-def train(xp: np.ndarray, xu: np.ndarray, prior: float | None, hidden: int = 24, epochs: int = 15, rate: float = 0.01, decay: float = 1e-3, seed: int = 7) -> dict:
+def train(xp: np.ndarray, xu: np.ndarray, prior: float | None, hidden: int = 24, epochs: int = EPOCHS, rate: float = 0.01, decay: float = DECAY, seed: int = 7, content: float = CONTENT) -> dict:
     """Adam on the non-negative risk with the prior, or, without one, on the plain risk of positives against
     unlabelled."""
     rng = np.random.default_rng(seed)
     x = np.concatenate([xp, xu])
-    # The many sparse features of content weigh a tenth each, so that they cannot learn the rows by heart.
-    weight = np.where(np.arange(x.shape[1]) < N_FEATURES - 2 * SLOTS, 1.0, CONTENT)
+    # The many sparse features of content may weigh less, so that they cannot learn the rows by heart.
+    weight = np.where(np.arange(x.shape[1]) < N_FEATURES - 2 * SLOTS, 1.0, content)
     mean = x.mean(0, dtype=np.float64)
     sd = np.sqrt(np.maximum(np.einsum("ij,ij->j", x, x, dtype=np.float64) / len(x) - mean**2, 0))
     del x
@@ -132,6 +134,43 @@ def class_prior(sp: np.ndarray, su: np.ndarray) -> float:
     return float(np.clip(qu[k] / qp[k], 0.05, 0.98))
 
 
+def choose(xp: np.ndarray, xu: np.ndarray, grid: tuple = GRID, folds: int = 2) -> tuple[tuple[float, float, int], dict]:
+    """The setting of ``grid`` with the least non-negative risk on rows left out, and the risks of all, from positives and unlabelled rows alone: each fold is
+    left out in turn, and the prior, the median of what all settings estimate, comes from the rest. No label of the other class, and no held-out one, has a
+    part in it."""
+    risk = dict.fromkeys(grid, 0.0)
+    for k in range(folds):
+        p, u = np.arange(len(xp)) % folds == k, np.arange(len(xu)) % folds == k
+        tp, tu = xp[~p], xu[~u]
+
+        def own(setting: tuple, a: np.ndarray, b: np.ndarray, prior: float | None) -> dict:
+            return train(a, b, prior, content=setting[0], decay=setting[1], epochs=setting[2])
+
+        priors = []
+        for setting in grid:
+            first = own(setting, tp[0::2], tu[0::2], None)
+            priors.append(class_prior(forward(tp[1::2], first), forward(tu[1::2], first)))
+        prior = float(np.median(priors))
+        for setting in grid:
+            m = own(setting, tp, tu, prior)
+            risk[setting] += nn_risk(forward(xp[p], m), forward(xu[u], m), prior) / folds
+    return min(grid, key=lambda s: risk[s]), risk
+
+
+def sources(docs: DataFrame, labels: DataFrame, folds: int = 5, id_col: str = "doc_id", label_col: str = "quality") -> tuple[DataFrame, DataFrame]:
+    """Ids ``(id)`` of the positives and of the unlabelled rows that are not held out."""
+    mark = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where("y is not null")
+    free = ~held_out(F.col("id"), folds)
+    unlabelled = docs.select(F.col(id_col).alias("id")).where(F.col("id").isNotNull() & free).join(mark, "id", "left_anti")
+    return mark.where((F.col("y") == 1) & free).select("id"), unlabelled
+
+
+def choose_settings(docs: DataFrame, labels: DataFrame, sample_positive: int = 2000, sample_unlabelled: int = 4000, grid: tuple = GRID) -> tuple[tuple[float, float, int], dict]:
+    """``choose`` on bounded samples of a corpus, as ``fit`` takes them."""
+    positive, unlabelled = sources(docs, labels)
+    return choose(_sample(docs, positive, sample_positive, "doc_id", "text"), _sample(docs, unlabelled, sample_unlabelled, "doc_id", "text"), grid)
+
+
 def _sample(docs: DataFrame, ids: DataFrame, rows: int, id_col: str, text_col: str) -> np.ndarray:
     """Features of the rows with the smallest hashes of ``ids``, one per id and at most ``rows`` of them."""
     few = hash_sample(ids, rows)
@@ -181,10 +220,17 @@ def quality(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float
     and never learnt from; very long texts are read whole; repeated rows, and rows that share an id, get the score of their own text each (one of an id's texts is learnt
     from at most); equal texts have equal scores; an empty table gives an empty result; null labels
     count as none; other columns, clashing or not, are never read."""
-    mark = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where("y is not null")
-    free = ~held_out(F.col("id"), folds)
-    positive = mark.where((F.col("y") == 1) & free).select("id")
-    unlabelled = docs.select(F.col(id_col).alias("id")).where(F.col("id").isNotNull() & free).join(mark, "id", "left_anti")
+    positive, unlabelled = sources(docs, labels, folds, id_col, label_col)
     model = fit(docs, positive, unlabelled, id_col=id_col, text_col=text_col, **sizes)
     out = score(docs, model, id_col, text_col)
     return out.select("id", F.coalesce(held_out(F.col("id"), folds), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+if __name__ == "__main__":
+    import sys
+
+    from pyspark.sql import SparkSession
+
+    _spark = SparkSession.builder.getOrCreate()
+    _best, _risk = choose_settings(*(_spark.read.parquet(f"{sys.argv[1]}/{t}.parquet") for t in ("documents", "labels")))
+    print("\n".join(f"{r:.5f} {s}" for s, r in sorted(_risk.items(), key=lambda x: x[1])), _best, sep="\n")

@@ -123,3 +123,18 @@ def test_clashing_columns_ties_and_shared_ids(spark):
     labels = spark.createDataFrame([(i, 1 if i % 2 else None, "other", 0.1) for i in range(12)], "doc_id long, quality int, text string, score double")
     got = pu_quality.quality(d, labels).collect()
     assert len(got) == 31 and len({r["score"] for r in got if r["id"] % 3 == 0 and r["id"] != 3}) == 1
+
+
+def test_settings_are_chosen_without_held_out_or_negative_labels(spark):
+    """Held-out labels turned round, and all negative ones taken away or given at random, leave the choice and its risks as they are."""
+    sf = "/root/testdata/sf0.01"
+    d, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    from pyspark.sql import functions as F
+
+    grid = ((0.05, 1e-3, 4), (1.0, 1e-3, 4), (0.05, 1e-2, 2))
+    held = pu_quality.held_out(F.col("doc_id"))
+    base = pu_quality.choose_settings(d, labels, 200, 400, grid)
+    assert set(base[1]) == set(grid) and base[0] == min(base[1], key=base[1].get)
+    turned = labels.withColumn("quality", F.when(held, 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert pu_quality.choose_settings(d, turned, 200, 400, grid) == base
+    assert pu_quality.CONTENT in {s[0] for s in pu_quality.GRID} and (pu_quality.CONTENT, pu_quality.DECAY, pu_quality.EPOCHS) in pu_quality.GRID
