@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import SERIES
+from .rank_calendar import CALENDAR, is_session, next_session, on_calendar, previous_session, rank, session_at
+
 
 def calendar_sessions(years: DataFrame, closures: DataFrame) -> DataFrame:
     """Sessions of ``years(exchange, year)``: weekdays that are no closure, numbered per exchange."""
@@ -77,22 +79,17 @@ def application_errors(applied: DataFrame, bars: DataFrame) -> DataFrame:
 
 
 def session_neighbors(dates: DataFrame, sessions: DataFrame) -> DataFrame:
-    """``exchange, day, previous_session, next_session`` of any dates ``(exchange, day)``. Only the distinct days are put in order,
-    once rising and once falling; the rows are joined to them."""
-    rows = dates.select("exchange", "day", F.lit(False).alias("s")).unionByName(sessions.select("exchange", F.col("session_date").alias("day"), F.lit(True).alias("s")))
-    days = rows.groupBy("exchange", "day").agg(F.max("s").alias("s"))  # a calendar's length at most
-    session = F.when(F.col("s"), F.col("day"))
-    before = lambda order: F.last(session, ignorenulls=True).over(Window.partitionBy("exchange").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    found = days.select("exchange", "day", before(F.col("day")).alias("previous_session"), before(F.col("day").desc()).alias("next_session"))
-    return dates.select("exchange", "day").join(found, ["exchange", "day"])
+    """``exchange, day, previous_session, next_session`` of any dates ``(exchange, day)``; ``sessions`` as they are or packed (``rank_calendar.pack``)."""
+    day = F.col("day")
+    return on_calendar(dates.select("exchange", "day"), sessions, "exchange").select("exchange", "day", previous_session(day).alias("previous_session"), next_session(day).alias("next_session"))
 
 
 def execution_schedule(signals: DataFrame, sessions: DataFrame, delay: int = 1) -> DataFrame:
-    """``signal_date, execution_date, status``: the session ``delay`` places on; past the end: rejected; unknown dates: error."""
-    w = Window.partitionBy("exchange").orderBy("session_date")
-    s = sessions.select("exchange", F.col("session_date").alias("signal_date"), F.lead("session_date", delay).over(w).alias("execution_date"), F.lit(True).alias("known"))
-    out = signals.join(s, ["exchange", "signal_date"], "left")
-    return out.withColumn("status", F.when(F.col("known").isNull(), "unknown_signal").when(F.col("execution_date").isNull(), "rejected").otherwise("scheduled")).drop("known")
+    """``signals`` with ``execution_date, status``: the session ``delay`` places on; past the end: rejected; unknown dates: error. ``sessions`` as they are or
+    packed."""
+    out = on_calendar(signals, sessions, "exchange").withColumn("known", is_session(F.col("signal_date")))
+    out = out.withColumn("execution_date", F.when(F.col("known"), next_session(F.col("signal_date"), delay))).drop(CALENDAR)
+    return out.withColumn("status", F.when(~F.col("known"), "unknown_signal").when(F.col("execution_date").isNull(), "rejected").otherwise("scheduled")).drop("known")
 
 
 def missing_session_ranges(missing: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -142,11 +139,9 @@ def latest_completed_session(instants: DataFrame, sessions: DataFrame, zone: str
     """``now, latest``: today's session from its close on (local time), else the one before."""
     local = F.from_utc_timestamp("now", zone)
     rows = instants.select("now", F.when(F.date_format(local, "HH:mm") >= close, F.to_date(local)).otherwise(F.date_sub(F.to_date(local), 1)).alias("d"))
-    # Only the distinct days are put in order, a calendar's length at most; the instants are joined to them.
-    both = rows.select("d", F.lit(False).alias("s")).unionByName(sessions.select(F.col("session_date").alias("d"), F.lit(True).alias("s"))).groupBy("d").agg(F.max("s").alias("s"))
-    w = Window.partitionBy(F.lit(0)).orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
-    latest = both.select("d", F.last(F.when(F.col("s"), F.col("d")), ignorenulls=True).over(w).alias("latest"))
-    return rows.join(latest, "d").select("now", "latest")
+    # One calendar for all.
+    one = sessions.select(F.lit(1).alias("_all"), "session_date").distinct()
+    return on_calendar(rows.withColumn("_all", F.lit(1)), one, "_all").select("now", session_at(rank(F.col("d"))).alias("latest"))
 
 
 def market_symbol(exchange: Column, symbol: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import calendar as C
+from ..operators import hash_tree as H
 from ..operators import inventory as I
 from ..operators import provenance as P
 from ..operators import reconcile as R
@@ -764,6 +765,29 @@ def series_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.series_fingerprint(X.bars_dense(spark, sf_dir), "close", "symbol")
 
 
+@query(with_parts("bars_b", wide=True) + """,
+    sides AS (
+        SELECT symbol, trading_date, close, 'left' AS side FROM bars UNION ALL SELECT symbol, trading_date, close, 'right' FROM bars_b WHERE symbol NOT LIKE '%3'),
+    leaves AS (
+        SELECT symbol, date_diff('day', DATE '0001-01-01', trading_date) // 32 AS leaf, string_agg(strftime(trading_date, '%Y-%m-%d') || ':' || CAST(CAST(close AS DECIMAL(28,6)) AS VARCHAR), '|' ORDER BY trading_date) FILTER (side = 'left') AS l,
+               string_agg(strftime(trading_date, '%Y-%m-%d') || ':' || CAST(CAST(close AS DECIMAL(28,6)) AS VARCHAR), '|' ORDER BY trading_date) FILTER (side = 'right') AS r
+        FROM sides GROUP BY ALL)
+    SELECT symbol, DATE '0001-01-01' + CAST(leaf * 32 AS INTEGER) AS first_date, DATE '0001-01-01' + CAST(leaf * 32 + 31 AS INTEGER) AS last_date, CASE WHEN r IS NULL THEN 'left' WHEN l IS NULL THEN 'right' END AS only_in
+    FROM leaves WHERE l IS DISTINCT FROM r""")
+def differing_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where two builds of a series per supplier differ, by their hash trees; of some series one side has nothing."""
+    b = X.bars_wide(spark, sf_dir)
+    one = stored(H.series_tree(b, "close", "symbol"), "tree")
+    other = stored(H.series_tree(X.bars_b(b).where("symbol not like '%3'"), "close", "symbol"), "tree")
+    return H.differing_leaves(one, other, "symbol")
+
+
+@query(with_parts("bars") + "SELECT symbol, count(*) AS points, count(DISTINCT date_diff('day', DATE '0001-01-01', trading_date) // 32) AS leaves FROM bars GROUP BY symbol")
+def series_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = H.series_tree(X.bars_dense(spark, sf_dir), "close", "symbol")
+    return t.groupBy("symbol").agg(F.max(F.when(F.col("level") == H.TOP, F.col("points"))).alias("points"), F.count_if(F.col("level") == 0).alias("leaves"))
+
+
 @query(with_parts("ledger") + """
     SELECT DISTINCT sha256('{"event_id":"' || event_id || '","kind":"' || kind || '"}') AS record_id, event_id, kind FROM ledger""")
 def content_address_records(spark: SparkSession, sf_dir: str) -> DataFrame:
