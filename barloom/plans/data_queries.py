@@ -15,6 +15,7 @@ from ..operators import provenance as P
 from ..operators import reconcile as R
 from ..operators import validate as V
 from ..schema import KEY, PRICES
+from ..sources import backfill as K
 from ..sources import fixtures as X
 from ..sources import scans
 from ..sources.workdir import new_dir, stored
@@ -515,6 +516,25 @@ def missing_session_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.missing_session_ranges(missing(spark, b), sessions(spark, b)).drop("exchange")
 
 
+@query(with_parts("bars", "sessions") + """,
+    lacked AS (SELECT * FROM bars WHERE dayofyear(trading_date) % 40 BETWEEN 10 AND 19),
+    filled AS (SELECT l.* FROM lacked l JOIN sessions s ON s.exchange = l.exchange AND s.session_date = l.trading_date WHERE trading_date BETWEEN DATE '1996-01-01' AND DATE '2001-06-29')
+    SELECT symbol, CAST(year(trading_date) AS BIGINT) AS year, count(*) AS gained FROM filled GROUP BY ALL""")
+def backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars stored with gaps, and what a backfill of the sessions from 1996 on adds by year; a second one adds nothing."""
+    b, path = stored(X.bars_dense(spark, sf_dir), "bars"), new_dir(spark, "years")
+    gap = F.dayofyear("trading_date") % 40
+    s, none = stored(sessions(spark, b), "sessions"), documented(spark, b).limit(0)
+    universe = X.universe(b).withColumn("effective_to", F.lit(None).cast("date"))
+    K.backfill(spark, path, b.where(~gap.between(10, 19)), b.select("exchange", "symbol", F.lit("1900-01-01").cast("date").alias("range_start"), F.lit("2100-01-01").cast("date").alias("range_end")).distinct())
+    gained = None
+    for _ in range(2):
+        whole = K.ranges_to_ask(spark, path, s, universe, none, "raw", "1996-01-01", AS_OF, LATEST)
+        out = K.backfill(spark, path, b, stored(whole, "ranges"))
+        gained = out if gained is None else gained.unionByName(out)
+    return gained.select("symbol", F.col("year").cast("long").alias("year"), "gained")
+
+
 @query(with_parts("sessions") + "SELECT exchange, min(session_date) AS first_session, max(session_date) AS last_session, count(*) AS sessions FROM sessions WHERE session_date BETWEEN DATE '1997-12-20' AND DATE '1999-02-10' AND session_date NOT IN (SELECT trading_date FROM bars WHERE month(trading_date) = 2) GROUP BY 1")
 def request_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = X.bars_dense(spark, sf_dir)
