@@ -118,15 +118,25 @@ def words(text: str | None) -> list[str]:
 
 def batches(frames: Iterator[pd.DataFrame], column: str, most_chars: int = 4_000_000) -> Iterator[pd.DataFrame]:
     """Cuts frames so that the texts of each piece stay within ``most_chars`` (one longer text stays
-    alone): what a task holds does not depend on how long the texts of a batch happen to be."""
-    for frame in frames:
-        if len(frame) == 0:
-            continue
-        size = np.array([len(t) if t is not None else 0 for t in frame[column]], np.int64)
-        part = np.maximum.accumulate((np.cumsum(size) - size) // most_chars)
-        edges = [0, *(np.flatnonzero(np.diff(part)) + 1), len(frame)]
-        for a, b in zip(edges, edges[1:]):
-            yield frame.iloc[a:b]
+    alone): what a task holds does not depend on how long the texts of a batch happen to be. A frame is let go before the next one is
+    asked for, and what Arrow keeps of it is given back."""
+    import pyarrow as pa
+
+    frames = iter(frames)
+    while True:
+        frame = next(frames, None)
+        if frame is None:
+            return
+        if len(frame):
+            size = np.array([len(t) if t is not None else 0 for t in frame[column]], np.int64)
+            part = np.maximum.accumulate((np.cumsum(size) - size) // most_chars)
+            edges = [0, *(np.flatnonzero(np.diff(part)) + 1), len(frame)]
+            # Copies hold the texts of their own rows alone.
+            pieces = [frame.iloc[a:b].copy() for a, b in zip(edges, edges[1:])][::-1]
+            del frame
+            while pieces:
+                yield pieces.pop()
+        pa.default_memory_pool().release_unused()
 
 
 def hash_sample(ids: DataFrame, rows: int) -> DataFrame:
