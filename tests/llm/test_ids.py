@@ -46,7 +46,6 @@ def test_paths_beyond_the_broadcast_bound_agree(spark, monkeypatch):
     want = key(exact.exact_dedup(docs(spark), digests="all")), key(warc.round_trip(pages(spark)))
     monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(common, "BROADCAST_NUMBERS", 0)
-    monkeypatch.setattr(exact, "BROADCAST_ROWS", 0)
     assert want == (key(exact.exact_dedup(docs(spark), digests="all")), key(warc.round_trip(pages(spark))))
 
 
