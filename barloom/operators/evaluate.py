@@ -89,9 +89,14 @@ def active_returns(curves: DataFrame, benchmark: DataFrame, keys: tuple[str, ...
     return daily_returns(curves, *keys).join(b, [*on, "trading_date"]).withColumn("active", F.col("ret") - F.col("bench_ret"))
 
 
-def relative_metrics(curves: DataFrame, benchmark: DataFrame, keys: tuple[str, ...], on: tuple[str, ...]) -> DataFrame:
+def relative_metrics(curves: DataFrame, benchmark: DataFrame, keys: tuple[str, ...], on: tuple[str, ...], strict: bool = False) -> DataFrame:
     """Differences of each curve's metrics to those of the benchmark with the same ``on`` values (some of ``keys``),
-    and the tracking error."""
+    and the tracking error. ``strict``: a curve whose dates are not those of its benchmark ends the job (``unmatched_dates`` lists them); else
+    the tracking error is that of the dates that both have."""
+    if strict:
+        bad = unmatched_dates(curves, benchmark, keys, on).groupBy(*keys).agg(F.count("*").alias("_n"))
+        what = F.concat_ws(" ", F.lit("a curve and its benchmark have other dates:"), *(F.col(k).cast("string") for k in keys))
+        curves = curves.join(bad, list(keys), "left").where(F.when(F.col("_n").isNull(), True).otherwise(F.raise_error(what).cast("boolean"))).drop("_n")
     own = curve_metrics(curves, *keys)
     base = curve_metrics(benchmark, *on).select(*on, *(F.col(c).alias("b_" + c) for c in ("cagr", "sharpe", "max_drawdown")))
     error = active_returns(curves, benchmark, keys, on).groupBy(*keys).agg((F.stddev_pop("active") * F.sqrt(F.lit(float(YEAR)))).alias("tracking_error"))

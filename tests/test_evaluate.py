@@ -44,3 +44,18 @@ def test_chained_curve_starts_each_fold_flat(spark):
 def test_outcomes(spark):
     e = spark.createDataFrame([(False, True), (True, True), (True, False), (True, None)], "ok boolean, t boolean")
     assert [r["outcome"] for r in evaluate.outcome_classification(e, "ok", "t").collect()] == ["INVALID", "ROBUST", "NO_EVIDENCE", "NO_EVIDENCE"]
+
+
+def test_curves_with_other_dates_are_refused(spark):
+
+
+    rows = lambda name, days: [(name, day(i), 100.0 + i * i) for i in days]
+    schema = "curve string, trading_date date, equity double"
+    base = spark.createDataFrame(rows("all", range(5)), schema).withColumn("fold", F.lit(1)).drop("curve")
+    curve = lambda days: spark.createDataFrame(rows("c", days), schema).withColumn("fold", F.lit(1))
+    args = (("curve", "fold"), ("fold",))
+    assert evaluate.relative_metrics(curve(range(5)), base, *args, strict=True).first()["tracking_error"] == 0
+    for days in (range(1, 5), range(6), (0, 1, 2, 4)):
+        with pytest.raises(Exception, match="other dates: c 1"):
+            evaluate.relative_metrics(curve(days), base, *args, strict=True).collect()
+        assert evaluate.relative_metrics(curve(days), base, *args).count() == 1
