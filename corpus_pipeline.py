@@ -22,7 +22,12 @@ ROW = "_row"
 _KEPT = "_row_of_docs"
 
 
+#: Rows that pass between Spark and a Python task at a time: whole texts are long, and each side holds a batch twice.
+BATCH = 1000
+
+
 def rows_of(docs: DataFrame) -> DataFrame:
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
     return numbered(docs.withColumnRenamed(ROW, _KEPT), ROW)
 
 
@@ -63,6 +68,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of at most 1024 tokens."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
     out = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
