@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import SERIES
+from .prefix_scan import cut, running
 from .rank_calendar import CALENDAR, is_session, next_session, on_calendar, previous_session, rank, session_at
 
 
@@ -68,6 +69,18 @@ def asof_forward(events: DataFrame, bars: DataFrame, date: str = "effective_date
     return e.unionByName(b).withColumn("application_date", nxt).where("_bar = 0").select(*by, "_e.*", "application_date")
 
 
+def asof_forward_long(events: DataFrame, bars: DataFrame, date: str = "effective_date", blocks: int = 256) -> DataFrame:
+    """``asof_forward`` for series too long for one task: the bar so far, in falling order, by a two-level scan over blocks of dates (or of timestamps). Events
+    without a date have no application date."""
+    by = shared_series(events, bars)
+    e = events.select(*by, F.col(date).alias("_d"), F.lit(0).alias("_bar"), F.struct(*(c for c in events.columns if c not in by)).alias("_e"))
+    b = bars.select(*by, F.col("trading_date").alias("_d"), F.lit(1).alias("_bar"), F.lit(None).cast(e.schema["_e"].dataType).alias("_e"))
+    rows = e.unionByName(b)
+    order = F.when(F.col("_d").isNotNull(), F.struct("_d", "_bar"))
+    out = running(rows, by, order, cut(rows, "_d", blocks), {"application_date": ("last", F.when(F.col("_bar") == 1, F.col("_d")))}, falling=True)
+    return out.where("_bar = 0").select(*by, "_e.*", "application_date")
+
+
 def application_errors(applied: DataFrame, bars: DataFrame) -> DataFrame:
     """Events that no bar follows, that share a session with another, or that land on the first bar."""
     by = shared_series(applied, bars)

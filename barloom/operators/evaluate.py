@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intervals import days_in
+from .prefix_scan import cut, running
 
 YEAR = 252
 
@@ -23,6 +24,13 @@ def drawdown(curves: DataFrame, *keys: str) -> DataFrame:
     return curves.withColumn("dd", F.col("equity") / top - 1)
 
 
+def drawdown_long(curves: DataFrame, *keys: str, date: str = "trading_date", tie: str | None = None, blocks: int = 256) -> DataFrame:
+    """``drawdown`` for curves too long for one task: the high so far by a two-level scan over blocks of ``date``. ``tie`` orders the rows of one date."""
+    order = F.col(date) if tie is None else F.when(F.col(date).isNotNull(), F.struct(date, tie))
+    out = running(curves, list(keys), order, cut(curves, date, blocks), {"dd": ("max", F.col("equity"))})
+    return out.withColumn("dd", F.col("equity").cast("double") / F.col("dd").cast("double") - 1)
+
+
 def drawdown_streak(curves: DataFrame, *keys: str) -> DataFrame:
     """Longest run of rows below the high so far."""
     d = drawdown(curves, *keys).withColumn("island", F.sum(F.when(F.col("dd") >= 0, 1).otherwise(0)).over(_by(keys)))
@@ -135,6 +143,15 @@ def chained_oos_curve(curves: DataFrame, *keys: str, start: float = 100000.0) ->
     return r.withColumn("chained", start * F.product(1 + F.col("ret")).over(w))
 
 
+def chained_oos_curve_long(curves: DataFrame, *keys: str, start: float = 100000.0, blocks: int = 256) -> DataFrame:
+    """``chained_oos_curve`` for curves too long for one task: returns and their product by two-level scans over blocks of dates in each fold."""
+    order, block = F.when(F.col("trading_date").isNotNull(), F.struct("fold", "trading_date")), F.when(F.col("trading_date").isNotNull(), F.struct("fold", cut(curves, "trading_date", blocks).alias("b")))
+    r = running(curves, list(keys), order, block, {"_before": ("lag", F.struct("fold", "equity"))})
+    same = F.col("_before.fold").eqNullSafe(F.col("fold"))
+    r = r.withColumn("ret", F.coalesce(F.when(same, F.col("equity") / F.col("_before.equity") - 1), F.lit(0.0))).drop("_before")
+    return running(r, list(keys), order, block, {"chained": ("product", 1 + F.col("ret"))}).withColumn("chained", start * F.col("chained"))
+
+
 def fold_assignment(curves: DataFrame, folds: DataFrame) -> DataFrame:
     """Rows within each fold's test interval."""
     return days_in(curves, folds.select("fold", "test_start", "test_end"), "trading_date", "test_start", "test_end")

@@ -598,6 +598,14 @@ def asof_forward_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.asof_forward(X.ledger(b), b).select("symbol", "event_id", "effective_date", "application_date")
 
 
+@query("""
+    SELECT e.event_id, e.event_type, r.ts AS next_error FROM events e ASOF LEFT JOIN (SELECT DISTINCT ts FROM events WHERE event_type = 'error') r ON e.ts <= r.ts""")
+def asof_forward_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one series: the time of the first error at or after each."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", "ts")
+    return C.asof_forward_long(e, e.where("event_type = 'error'").select(F.col("ts").alias("trading_date")), "ts").select("event_id", "event_type", F.col("application_date").alias("next_error"))
+
+
 @query(with_parts("applied") + """
     , e AS (SELECT symbol, event_id, effective_date FROM ledger UNION ALL SELECT symbol, event_id || '+', effective_date FROM ledger WHERE k = 2
             UNION ALL SELECT symbol, symbol || '-early', min(trading_date) - 9 FROM bars GROUP BY symbol UNION ALL SELECT symbol, symbol || '-late', max(trading_date) + 1 FROM bars GROUP BY symbol),

@@ -12,6 +12,7 @@ from ..operators import evaluate as E
 from ..operators import features as W
 from ..operators import provenance as P
 from ..operators import validate as V
+from ..operators.prefix_scan import cut, running
 from ..sources import fixtures as X
 from ..sources.workdir import stored
 from .registry import query
@@ -334,14 +335,34 @@ def outcome_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.outcome_classification(f, "integrity", "t1", "t2", "t3").select("curve", "outcome")
 
 
-@query(with_parts("curves") + """
+CHAINED = with_parts("curves") + """
     SELECT curve, fold, trading_date, round(chained / 100000, 5) AS growth FROM (SELECT curve, fold, trading_date, 100000 * exp(sum(ln(1 + coalesce(r, 0))) OVER (PARTITION BY curve ORDER BY fold, trading_date ROWS UNBOUNDED PRECEDING)) AS chained FROM (
-        SELECT *, equity / lag(equity) OVER (PARTITION BY curve, fold ORDER BY trading_date) - 1 AS r FROM curves))""")
+        SELECT *, equity / lag(equity) OVER (PARTITION BY curve, fold ORDER BY trading_date) - 1 AS r FROM curves))"""
+
+
+@query(CHAINED)
 def chained_oos_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = E.chained_oos_curve(curves(spark, sf_dir), "curve")
     return c.select("curve", "fold", "trading_date", F.round(F.col("chained") / 100000, 5).alias("growth"))
 
 
+@query(CHAINED)
+def chained_oos_curve_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = E.chained_oos_curve_long(curves(spark, sf_dir), "curve", blocks=16)
+    return c.select("curve", "fold", "trading_date", F.round(F.col("chained") / 100000, 5).alias("growth"))
+
+
+@query("""
+    WITH flow AS (SELECT event_id, ts, CAST(1000000 AS DECIMAL(38, 2)) + sum(CAST(CASE WHEN event_id % 2 = 0 THEN value ELSE -value END AS DECIMAL(18, 2))) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS equity FROM events)
+    SELECT event_id, CAST(equity AS DOUBLE) AS equity, round(CAST(equity AS DOUBLE) / CAST(max(equity) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS DOUBLE) - 1, 9) AS dd FROM flow""")
+def drawdown_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one curve: the running sum of signed values, and its drawdown."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "value")
+    signed = F.when(F.col("event_id") % 2 == 0, F.col("value")).otherwise(-F.col("value")).cast("decimal(18,2)")
+    flow = running(e, [], F.struct("ts", "event_id"), cut(e, "ts"), {"equity": ("sum", signed)}).withColumn("equity", (F.col("equity") + F.lit(1000000)).cast("decimal(38,2)"))
+    return E.drawdown_long(flow, date="ts", tie="event_id").select("event_id", F.col("equity").cast("double").alias("equity"), F.round("dd", 9).alias("dd"))
+
+
 @query(with_parts("curves") + """
     SELECT c.curve, f.y - 1997 AS fold, min(trading_date) AS first_date, max(trading_date) AS last_date, min(trading_date) = make_date(f.y, 1, 1) AND max(trading_date) = make_date(f.y, 12, 31) AS compatible
     FROM curves c JOIN (SELECT unnest(generate_series(1998, 2001)) AS y) f ON c.trading_date BETWEEN make_date(f.y, 1, 1) AND make_date(f.y, 12, 31) GROUP BY c.curve, f.y""")
