@@ -143,9 +143,9 @@ def counted_files(spark: SparkSession, bars: DataFrame, wrong: str | None = None
     return path + "/*"
 
 
-@query(with_parts("bars") + "SELECT symbol, 'SSE' AS exchange, 'raw' AS price_basis, trading_date, open, high, low, close, volume FROM bars WHERE trading_date >= DATE '1996-01-01'")
+@query(with_parts("bars") + "SELECT symbol, 'SSE' AS exchange, 'raw' AS price_basis, trading_date, open, high, low, close, volume FROM bars")
 def scan_kline_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_double(scans.scan_kline_counted(spark, counted_files(spark, X.bars_dense(spark, sf_dir)), "SSE", start="1996-01-01"))
+    return as_double(scans.scan_kline_counted(spark, counted_files(spark, X.bars_dense(spark, sf_dir)), "SSE"))
 
 
 @query(with_parts("bars") + "SELECT symbol, count(*) + 1 AS total, count(*) AS found FROM bars WHERE symbol = 'LARGE' GROUP BY symbol")

@@ -135,6 +135,23 @@ def test_no_filter_passes_a_faulty_load_by(spark, tmp_path):
     assert scans.scan_kline_counted(spark, str(tmp_path / "w.json"), "SSE", symbol="A").count() == 1
 
 
+def test_counted_files_are_read_whole(spark, sf):
+    """The query gives back every bar its files were made of; a range is left to the caller of the reader."""
+    from barloom.plans import data_queries
+    from barloom.sources import fixtures
+
+    key = ("symbol", "trading_date")
+    made, got = fixtures.bars_dense(spark, sf).select(*key), data_queries.scan_kline_counted(spark, sf).select(*key)
+    assert made.where("trading_date < '1996-01-01'").count() > 0
+    assert made.exceptAll(got).count() == 0 and got.exceptAll(made).count() == 0
+
+
+def test_range_of_counted_files(spark, tmp_path):
+    (tmp_path / "r.json").write_text('{"code":"A","total":4,"kline":[[20240102,1,1,1,1,5],[20240103,1,1,1,1,5],[20240104,1,1,1,1,5],[20240105,1,1,1,1,5]]}')
+    for bounds, days in (({}, [2, 3, 4, 5]), ({"start": "2024-01-03"}, [3, 4, 5]), ({"start": "2024-01-03", "as_of": "2024-01-04"}, [3, 4])):
+        assert sorted(r["trading_date"].day for r in scans.scan_kline_counted(spark, str(tmp_path / "r.json"), "SSE", **bounds).collect()) == days
+
+
 def test_order_id_is_uuid5(spark):
     import uuid
 
