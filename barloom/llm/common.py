@@ -80,10 +80,11 @@ SALTS = 16
 
 def salted_join(rows: DataFrame, few: DataFrame, keys: list[str], how: str) -> DataFrame:
     """A shuffled join in which each row of ``few`` stands once in each of SALTS parts, so that a key that many ``rows`` hold is
-    spread. The part of a row is that of its task's number, which is the same when the task runs again."""
+    spread. The part of a row is that of its task's number, which is the same when the task runs again. The hint keeps Spark from broadcasting the
+    copies, which it takes for no larger than the file of ``few``."""
     salted = rows.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
     copies = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    return salted.join(copies.hint("merge"), [*keys, "_salt"], how).drop("_salt")
 
 
 def joined(rows: DataFrame, few: DataFrame, keys: list[str], how: str = "left") -> DataFrame:

@@ -57,7 +57,8 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             if len(total) > HELD:
                 yield pd.DataFrame({"word": list(total.keys()), "n": list(total.values())})
                 total.clear()
-        yield pd.DataFrame({"word": list(total.keys()), "n": list(total.values())})
+        if total:  # a frame of empty lists has columns of floats, which Spark cannot send as words
+            yield pd.DataFrame({"word": list(total.keys()), "n": list(total.values())})
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import re
 import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from barloom.llm import queries
-from barloom.llm.spelling import spelling_variants, variants
+from barloom.llm import common, queries
+from barloom.llm.spelling import HELD, slipped, spelling_variants, variants, word_counts
 
 COLUMNS = ("word", "form", "root", "n", "n_near", "form_n")
 ALPHABET = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0xC0, 0x100)))
@@ -85,6 +87,36 @@ def test_odd_rows(spark):
     assert spelling_variants(docs.limit(0)).collect() == []
 
 
+def test_tasks_without_words(spark):
+    """More tasks than rows, as when a file has more splits than row groups, and tasks whose texts have no word."""
+    rows = [(1, "Strasse Strasse Strasse"), (2, "Strassen strassen strassen strasse strasse strasse"), (3, None), (4, "12 345")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    assert rows_of(spelling_variants(docs, change=slipped)) == searched(counted(rows)) != []
+    empty = docs.where("doc_id > 2")
+    assert spelling_variants(empty).collect() == [] and spelling_variants(empty.where("doc_id > 4")).collect() == []
+
+
+def test_nothing_left_after_the_last_words_were_passed_on(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["x" + "".join(w) for w in itertools.product(letters, repeat=4)]
+    assert len(words) > HELD
+    docs = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+    found = word_counts(docs).agg(F.count("*"), F.sum("n"), F.count_distinct("word")).first()
+    assert tuple(found) == (len(words),) * 3
+
+
+def test_tables_too_large_to_be_broadcast_are_not(spark, monkeypatch):
+    """Spark takes the copies for as large as the small files they come from."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 10)
+    words = {"a" * k: 3 << k for k in range(1, 30)}
+    out = variants(spark.createDataFrame(list(words.items()), "word string, n long"))
+    last = common.joined(*(common.stored(out.select("word", c), c) for c in ("n", "root")), ["word"])
+    assert rows_of(out) == searched(words) and last.count() == len(words)
+    for df in (out, last):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_ratio_under_two_is_refused(spark):
     with pytest.raises(ValueError):
         variants(spark.createDataFrame([], "word string, n long"), ratio=1)
